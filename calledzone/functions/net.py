@@ -12,27 +12,33 @@ def logistic(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def net_score(
-    inputs: Sequence[Column],
-    w_hidden: Column | None = None,
-    w_out: Column | None = None,
-    max_hidden: int = MAX_HIDDEN,
-) -> Column:
-    """Called-strike probability of one hidden layer of logistic units.
-
-    Written out unit by unit, because array lambdas leave generated code. Units
-    a model does not have add nothing; a model without weights gives null.
+def weight_columns(inputs: int, prefix: str = "") -> dict[str, Column]:
+    """A model's weights as plain numbers, to be taken out before it meets pitches or cells.
+
+    Units a model does not have get zeros and add nothing to the score; a model
+    without weights gets a null bias, and with it a null score.
+    """
+    w_hidden, w_out = F.col("w_hidden"), F.col("w_out")
+    columns = {f"{prefix}o0": F.get(w_out, F.lit(0))}
+    for unit in range(1, MAX_HIDDEN + 1):
+        columns[f"{prefix}o{unit}"] = F.coalesce(F.get(w_out, F.lit(unit)), F.lit(0.0))
+        weights = F.get(w_hidden, F.lit(unit - 1))
+        for i in range(inputs + 1):
+            columns[f"{prefix}h{unit}_{i}"] = F.coalesce(F.get(weights, F.lit(i)), F.lit(0.0))
+    return columns
+
+
+def net_score(inputs: Sequence[Column], prefix: str = "") -> Column:
+    """Called-strike probability: one hidden layer of logistic units over `weight_columns`.
+
+    Written out unit by unit, because array lambdas leave generated code.
     """
-    w_hidden = F.col("w_hidden") if w_hidden is None else w_hidden
-    w_out = F.col("w_out") if w_out is None else w_out
-    total = F.get(w_out, F.lit(0))
-    for unit in range(max_hidden):
-        weights = F.get(w_hidden, F.lit(unit))
-        drive = F.get(weights, F.lit(0))
+    total = F.col(f"{prefix}o0")
+    for unit in range(1, MAX_HIDDEN + 1):
+        drive = F.col(f"{prefix}h{unit}_0")
         for i, value in enumerate(inputs, start=1):
-            drive = drive + F.get(weights, F.lit(i)) * value
-        share = F.get(w_out, F.lit(unit + 1)) * logistic(drive)
-        total = total + F.when(F.size(w_hidden) > unit, share).otherwise(F.lit(0.0))
+            drive = drive + F.col(f"{prefix}h{unit}_{i}") * value
+        total = total + F.col(f"{prefix}o{unit}") * logistic(drive)
     return logistic(total)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from calledzone import schema as S
 from calledzone.functions import net
+from calledzone.operators.models import lookup_weights
 from calledzone.session import spread
 
 
@@ -33,36 +34,33 @@ def _steps(ends: tuple[int, int], per_foot: int):
 
 
 def over_grid(models: DataFrame, grid: Grid) -> DataFrame:
-    """One row per model and cell, with its coordinates x, z and probability p."""
+    """One row per usable model and cell, with its coordinates x, z and probability p."""
+    weights = lookup_weights(models, 2, "model_key")
     cells = (
-        spread(models, "model_key")
+        spread(weights, "model_key")
         .withColumn("ix", F.explode(_steps(grid.x, grid.per_foot)))
         .withColumn("iz", F.explode(_steps(grid.z, grid.per_foot)))
     )
     scale = F.lit(float(grid.per_foot))
     cells = cells.withColumn("x", F.col("ix") / scale).withColumn("z", F.col("iz") / scale)
-    return cells.withColumn("p", net.net_score([F.col("x"), F.col("z")])).drop("ix", "iz")
+    return cells.select("model_key", "x", "z", net.net_score([F.col("x"), F.col("z")]).alias("p"))
 
 
 def zone_extents(models: DataFrame, grid: Grid = BATTER_GRID) -> DataFrame:
     """Highest and lowest cell each model calls a strike at least half the time."""
     strike_z = F.when(F.col("p") >= 0.5, F.col("z"))
-    return over_grid(models.select("model_key", "w_hidden", "w_out"), grid).groupBy("model_key").agg(
+    return over_grid(models, grid).groupBy("model_key").agg(
         F.max(strike_z).alias("sz_top"), F.min(strike_z).alias("sz_bot")
     )
 
 
 def strike_cells(models: DataFrame, grid: Grid = AREA_GRID) -> DataFrame:
     """Cells each model calls a strike more often than not."""
-    return over_grid(models.select("model_key", "w_hidden", "w_out"), grid).groupBy("model_key").agg(
+    return over_grid(models, grid).groupBy("model_key").agg(
         F.sum((F.col("p") > 0.5).cast("int")).alias("cells")
     )
 
 
-def heat_map(models: DataFrame, grid: Grid = AREA_GRID) -> DataFrame:
-    return over_grid(models, grid).select("model_key", "x", "z", "p")
-
-
 def square_inches(cells, height, per_foot: int = S.AREA_CELLS_PER_FOOT):
     """Area of scaled cells: a cell's height is half the zone's height per unit."""
     per_unit = F.lit(float(per_foot * per_foot))

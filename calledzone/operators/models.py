@@ -7,7 +7,11 @@ from calledzone import schema as S
 from calledzone.functions import net
 from calledzone.session import small_side
 
-WEIGHTS = ("w_hidden", "w_out")
+
+def lookup_weights(models: DataFrame, inputs: int, *keys, prefix: str = "") -> DataFrame:
+    """Keys and plain weight columns of usable models, ready to be joined to pitches."""
+    columns = net.weight_columns(inputs, prefix)
+    return usable_models(models).select(*keys, *[c.alias(name) for name, c in columns.items()])
 
 
 def usable_models(models: DataFrame) -> DataFrame:
@@ -55,21 +59,21 @@ def with_fallback(batters: DataFrame, hands: DataFrame, own: DataFrame, pooled:
 
 def umpire_health(models: DataFrame) -> DataFrame:
     """Umpire models with `test`: usable weights and a sure strike in the middle of the zone."""
-    centre = net.net_score([F.lit(0.0)] * 2)
-    moving = net.net_score([F.lit(0.0)] * 4)
-    p = F.when(F.col("kind") == S.UMPIRE_MOVEMENT, moving).otherwise(centre)
-    sound = (F.col("status") == "ok") & (p >= S.UMPIRE_HEALTH_FLOOR)
-    return models.withColumn("p_centre", p).withColumn("test", F.coalesce(sound, F.lit(False)))
+    weights = net.weight_columns(0)
+    tested = models.withColumns(weights).withColumn("p_centre", net.net_score([]))
+    sound = (F.col("status") == "ok") & (F.col("p_centre") >= S.UMPIRE_HEALTH_FLOOR)
+    return tested.withColumn("test", F.coalesce(sound, F.lit(False))).drop(*weights)
 
 
 def batter_health(models: DataFrame) -> DataFrame:
     """Batter models with `test`: usable weights and no strike at any far-off point."""
+    weights = net.weight_columns(2)
     far = [
         net.net_score([F.lit(float(x)), F.lit(float(z))]) for x, z in S.BATTER_HEALTH_PROBES
     ]
-    worst = F.greatest(*far)
-    sound = (F.col("status") == "ok") & (worst <= S.BATTER_HEALTH_CEILING)
-    return models.withColumn("p_worst", worst).withColumn("test", F.coalesce(sound, F.lit(False)))
+    tested = models.withColumns(weights).withColumn("p_worst", F.greatest(*far))
+    sound = (F.col("status") == "ok") & (F.col("p_worst") <= S.BATTER_HEALTH_CEILING)
+    return tested.withColumn("test", F.coalesce(sound, F.lit(False))).drop(*weights)
 
 
 def failing(tested: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from calledzone.functions import net
 from calledzone.functions import pitch as P
 from calledzone.operators import calendars as C
 from calledzone.operators.buckets import bucket_score
-from calledzone.operators.models import WEIGHTS, of_kind, usable_models
+from calledzone.operators.models import lookup_weights, of_kind
 from calledzone.session import small_side
 
 def season_scores(fact: DataFrame, models: DataFrame) -> DataFrame:
@@ -16,8 +16,9 @@ def season_scores(fact: DataFrame, models: DataFrame) -> DataFrame:
 
     Hands and seasons without a usable model drop out.
     """
-    pooled = usable_models(of_kind(models, S.UMPIRE_GENERIC, C.SEASON))
-    scored = fact.join(small_side(pooled.select("season", "stand", *WEIGHTS)), ["season", "stand"])
+    pooled = of_kind(models, S.UMPIRE_GENERIC, C.SEASON)
+    weights = lookup_weights(pooled, len(S.ZONE_FEATURES), "season", "stand")
+    scored = fact.join(small_side(weights), ["season", "stand"])
     scored = scored.withColumn("p", net.net_score([F.col(f) for f in S.ZONE_FEATURES]))
     return scored.select(
         F.col("pitch_id").alias("gamedayPitchID"),
@@ -54,16 +55,14 @@ def compare_models(
         pitch_day = C.previous_month(F.col("game_date"))
         model_day = C.model_month(F.col("d_e"))
 
-    def lookup(kind, span, name, *extra):
-        rows = usable_models(of_kind(models, kind, span))
-        return rows.select(
-            model_day.alias("model_day"), "stand", *extra, F.struct(*WEIGHTS).alias(name)
-        )
+    def lookup(kind, span, features, prefix, *extra):
+        keys = (model_day.alias("model_day"), "stand", *extra)
+        return lookup_weights(of_kind(models, kind, span), len(features), *keys, prefix=prefix)
 
-    pooled = lookup(S.UMPIRE_GENERIC, pooled_span, "gen")
-    moving = lookup(S.UMPIRE_MOVEMENT, pooled_span, "pdata")
+    pooled = lookup(S.UMPIRE_GENERIC, pooled_span, S.ZONE_FEATURES, "gen_")
+    moving = lookup(S.UMPIRE_MOVEMENT, pooled_span, S.MOVEMENT_FEATURES, "pdata_")
     own = lookup(
-        S.UMPIRE_INDIVIDUAL, own_span, "own",
+        S.UMPIRE_INDIVIDUAL, own_span, S.ZONE_FEATURES, "own_",
         F.col("entity_id").alias("umpire"), F.col("n_train").alias("own_n"),
     )
     bucket_rows = buckets.where(F.col("span") == pooled_span).withColumn("model_day", model_day)
@@ -76,15 +75,13 @@ def compare_models(
     rows = rows.join(small_side(own), [*key, "umpire"], "left")
     rows = bucket_score(rows, bucket_rows, key)
 
-    def p(name, features):
-        return net.net_score(
-            [F.col(f) for f in features], F.col(f"{name}.w_hidden"), F.col(f"{name}.w_out")
-        )
+    def p(prefix, features):
+        return net.net_score([F.col(f) for f in features], prefix)
 
     rows = rows.withColumns({
-        "p_gen": p("gen", S.ZONE_FEATURES),
-        "p_own": p("own", S.ZONE_FEATURES) if individual else F.lit(None).cast("double"),
-        "p_pdata": p("pdata", S.MOVEMENT_FEATURES),
+        "p_gen": p("gen_", S.ZONE_FEATURES),
+        "p_own": p("own_", S.ZONE_FEATURES) if individual else F.lit(None).cast("double"),
+        "p_pdata": p("pdata_", S.MOVEMENT_FEATURES),
     })
     n = F.when(F.col("p_own").isNotNull(), F.col("own_n")).otherwise(F.lit(0))
     shrunk = net.shrink(

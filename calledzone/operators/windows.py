@@ -39,9 +39,9 @@ def recent_cutoffs(
     fact: DataFrame, tasks: DataFrame, on: Sequence[str], limit: int,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Where each over-full task's latest `limit` pitches begin: (model_key, cut_date, cut_id).
+    """Where each task's latest `limit` pitches begin: (model_key, cut_date, cut_id).
 
-    Order is latest day first, then highest pitch id. Tasks within the limit are left out.
+    Order is latest day first, then highest pitch id. Tasks below the limit are left out.
     """
     keys = [*on, "game_date"]
     daily = fact.groupBy(*keys).agg(
@@ -55,7 +55,7 @@ def recent_cutoffs(
     slices = F.ceil(F.col("rows") / F.lit(float(slice_rows)))
     span = F.col("high") - F.col("low")
     edge = materialise(
-        days.where((F.col("later") < limit) & (F.col("later") + F.col("rows") > limit))
+        days.where((F.col("later") < limit) & (F.col("later") + F.col("rows") >= limit))
         .select(
             "model_key", *keys, (F.lit(limit) - F.col("later")).alias("need"), "low",
             slices.alias("slices"), (F.floor(span / slices) + 1).alias("width"),

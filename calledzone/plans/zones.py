@@ -4,10 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calledzone import schema as S
+from calledzone.functions import pitch as P
 from calledzone.operators import calendars as C
 from calledzone.operators import grids as G
 from calledzone.operators.buckets import bucket_area, bucket_models
-from calledzone.operators.models import of_kind, usable_models, with_fallback
+from calledzone.operators.models import of_kind, with_fallback
 from calledzone.operators.pitches import batter_seasons, main_hands, zone_scale
 from calledzone.plans.training import yearly_tasks
 from calledzone.sources.tables import GameTables
@@ -18,7 +19,7 @@ def batter_zones(atbats: DataFrame, models: DataFrame, after_season: int) -> Dat
 
     Each net is laid over the grid once; batters then pick the limits they need.
     """
-    nets = usable_models(models.where(F.col("kind").isin(S.BATTER, S.BATTER_GENERIC)))
+    nets = models.where(F.col("kind").isin(S.BATTER, S.BATTER_GENERIC))
     nets = nets.where(F.col("season") > after_season)
     limits = G.zone_extents(nets).join(
         nets.select("model_key", "kind", "entity_id", "season", "stand"), "model_key"
@@ -35,7 +36,7 @@ def batter_zones(atbats: DataFrame, models: DataFrame, after_season: int) -> Dat
 
 def net_area(tables: GameTables, models: DataFrame) -> DataFrame:
     """Square inches of the season nets' zones, stretched to the batters' average height."""
-    nets = usable_models(of_kind(models, S.UMPIRE_GENERIC, C.SEASON))
+    nets = of_kind(models, S.UMPIRE_GENERIC, C.SEASON)
     cells = G.strike_cells(nets).join(
         nets.select("model_key", F.col("season").alias("year"), "stand"), "model_key"
     )
@@ -56,3 +57,11 @@ def area_report(net: DataFrame, bucket: DataFrame) -> DataFrame:
     return mine.join(other, ["year", "stand"]).withColumn(
         "diff", F.col("my_area") - F.col("roegele_area")
     )
+
+
+def bucket_map(buckets: DataFrame) -> DataFrame:
+    """Bucket models as tiles: lower left corner in feet, and ratio."""
+    return buckets.select(
+        "season", "stand",
+        P.bucket_edge(F.col("grid_x")).alias("x"), P.bucket_edge(F.col("grid_z")).alias("y"), "ratio",
+    )

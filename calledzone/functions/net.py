@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 MAX_HIDDEN = 5
 
 
-def logistic(x: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+def _logistic(x: str) -> str:
+    return f"(1D / (1D + exp(-({x}))))"
 
 
 def weight_columns(inputs: int, prefix: str = "") -> dict[str, Column]:
@@ -18,28 +18,28 @@ def weight_columns(inputs: int, prefix: str = "") -> dict[str, Column]:
     Units a model does not have get zeros and add nothing to the score; a model
     without weights gets a null bias, and with it a null score.
     """
-    w_hidden, w_out = F.col("w_hidden"), F.col("w_out")
-    columns = {f"{prefix}o0": F.get(w_out, F.lit(0))}
+    columns = {f"{prefix}o0": "get(w_out, 0)"}
     for unit in range(1, MAX_HIDDEN + 1):
-        columns[f"{prefix}o{unit}"] = F.coalesce(F.get(w_out, F.lit(unit)), F.lit(0.0))
-        weights = F.get(w_hidden, F.lit(unit - 1))
+        columns[f"{prefix}o{unit}"] = f"coalesce(get(w_out, {unit}), 0D)"
         for i in range(inputs + 1):
-            columns[f"{prefix}h{unit}_{i}"] = F.coalesce(F.get(weights, F.lit(i)), F.lit(0.0))
-    return columns
+            columns[f"{prefix}h{unit}_{i}"] = f"coalesce(get(get(w_hidden, {unit - 1}), {i}), 0D)"
+    return {name: F.expr(text) for name, text in columns.items()}
 
 
-def net_score(inputs: Sequence[Column], prefix: str = "") -> Column:
+def net_score(inputs: Sequence[str | float], prefix: str = "") -> Column:
     """Called-strike probability: one hidden layer of logistic units over `weight_columns`.
 
-    Written out unit by unit, because array lambdas leave generated code.
+    Inputs are column names or numbers. Written out unit by unit, because array
+    lambdas leave generated code.
     """
-    total = F.col(f"{prefix}o0")
+    values = [f"{v}D" if isinstance(v, (int, float)) else v for v in inputs]
+    total = f"{prefix}o0"
     for unit in range(1, MAX_HIDDEN + 1):
-        drive = F.col(f"{prefix}h{unit}_0")
-        for i, value in enumerate(inputs, start=1):
-            drive = drive + F.col(f"{prefix}h{unit}_{i}") * value
-        total = total + F.col(f"{prefix}o{unit}") * logistic(drive)
-    return logistic(total)
+        drive = f"{prefix}h{unit}_0"
+        for i, value in enumerate(values, start=1):
+            drive += f" + {prefix}h{unit}_{i} * {value}"
+        total += f" + {prefix}o{unit} * {_logistic(drive)}"
+    return F.expr(_logistic(total))
 
 
 def call_score(p: Column, c: Column) -> Column:

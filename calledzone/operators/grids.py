@@ -43,7 +43,7 @@ def over_grid(models: DataFrame, grid: Grid) -> DataFrame:
     )
     scale = F.lit(float(grid.per_foot))
     cells = cells.withColumn("x", F.col("ix") / scale).withColumn("z", F.col("iz") / scale)
-    return cells.select("model_key", "x", "z", net.net_score([F.col("x"), F.col("z")]).alias("p"))
+    return cells.select("model_key", "x", "z", net.net_score(["x", "z"]).alias("p"))
 
 
 def zone_extents(models: DataFrame, grid: Grid = BATTER_GRID) -> DataFrame:

@@ -68,9 +68,7 @@ def umpire_health(models: DataFrame) -> DataFrame:
 def batter_health(models: DataFrame) -> DataFrame:
     """Batter models with `test`: usable weights and no strike at any far-off point."""
     weights = net.weight_columns(2)
-    far = [
-        net.net_score([F.lit(float(x)), F.lit(float(z))]) for x, z in S.BATTER_HEALTH_PROBES
-    ]
+    far = [net.net_score(point) for point in S.BATTER_HEALTH_PROBES]
     tested = models.withColumns(weights).withColumn("p_worst", F.greatest(*far))
     sound = (F.col("status") == "ok") & (F.col("p_worst") <= S.BATTER_HEALTH_CEILING)
     return tested.withColumn("test", F.coalesce(sound, F.lit(False))).drop(*weights)

@@ -19,7 +19,7 @@ def season_scores(fact: DataFrame, models: DataFrame) -> DataFrame:
     pooled = of_kind(models, S.UMPIRE_GENERIC, C.SEASON)
     weights = lookup_weights(pooled, len(S.ZONE_FEATURES), "season", "stand")
     scored = fact.join(small_side(weights), ["season", "stand"])
-    scored = scored.withColumn("p", net.net_score([F.col(f) for f in S.ZONE_FEATURES]))
+    scored = scored.withColumn("p", net.net_score(S.ZONE_FEATURES))
     return scored.select(
         F.col("pitch_id").alias("gamedayPitchID"),
         "umpire",
@@ -75,13 +75,10 @@ def compare_models(
     rows = rows.join(small_side(own), [*key, "umpire"], "left")
     rows = bucket_score(rows, bucket_rows, key)
 
-    def p(prefix, features):
-        return net.net_score([F.col(f) for f in features], prefix)
-
     rows = rows.withColumns({
-        "p_gen": p("gen_", S.ZONE_FEATURES),
-        "p_own": p("own_", S.ZONE_FEATURES) if individual else F.lit(None).cast("double"),
-        "p_pdata": p("pdata_", S.MOVEMENT_FEATURES),
+        "p_gen": net.net_score(S.ZONE_FEATURES, "gen_"),
+        "p_own": net.net_score(S.ZONE_FEATURES, "own_") if individual else F.lit(None).cast("double"),
+        "p_pdata": net.net_score(S.MOVEMENT_FEATURES, "pdata_"),
     })
     n = F.when(F.col("p_own").isNotNull(), F.col("own_n")).otherwise(F.lit(0))
     shrunk = net.shrink(

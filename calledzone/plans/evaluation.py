@@ -8,7 +8,7 @@ from calledzone.functions import net
 from calledzone.operators import roc as R
 from calledzone.operators.pitches import called_pitches, umpire_months
 from calledzone.operators.scoring import compare_models, season_scores
-from calledzone.session import small_side
+from calledzone.session import materialise, small_side
 from calledzone.sources.tables import GameTables, run_named
 
 # Captions of the curves.
@@ -46,7 +46,7 @@ def comparison_fact(tables: GameTables, fact: DataFrame, last_season: int, after
     listed = umpire_months(tables, last_season, after_month).select(
         F.col("id").alias("umpire"), F.col("year").alias("season"), "month"
     ).distinct()
-    return fact.join(small_side(listed), ["umpire", "season", "month"], "left_semi")
+    return fact.join(small_side(materialise(listed)), ["umpire", "season", "month"], "left_semi")
 
 
 def compare(

@@ -11,6 +11,7 @@ from calledzone.operators.buckets import bucket_area, bucket_models
 from calledzone.operators.models import of_kind, with_fallback
 from calledzone.operators.pitches import batter_seasons, main_hands, zone_scale
 from calledzone.plans.training import yearly_tasks
+from calledzone.session import materialise
 from calledzone.sources.tables import GameTables
 
 
@@ -21,9 +22,9 @@ def batter_zones(atbats: DataFrame, models: DataFrame, after_season: int) -> Dat
     """
     nets = models.where(F.col("kind").isin(S.BATTER, S.BATTER_GENERIC))
     nets = nets.where(F.col("season") > after_season)
-    limits = G.zone_extents(nets).join(
-        nets.select("model_key", "kind", "entity_id", "season", "stand"), "model_key"
-    ).withColumn("pick", F.struct("sz_top", "sz_bot"))
+    named = nets.select("model_key", "kind", "entity_id", "season", "stand")
+    limits = G.zone_extents(nets).join(named, "model_key")
+    limits = materialise(limits.withColumn("pick", F.struct("sz_top", "sz_bot")))
     own = of_kind(limits, S.BATTER).select(
         F.col("entity_id").alias("id"), F.col("season").alias("year"), "pick"
     )

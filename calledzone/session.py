@@ -1,6 +1,7 @@
 """Session settings, and the two ways a job may shorten or shrink its own plan."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,28 +24,31 @@ def build_session(name: str = "calledzone", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a scratch folder only in local runs."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="calledzone-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for cut points; a scratch folder only in local runs."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="calledzone-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder, for results that several branches read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once as a table in the shared folder, for results that several branches read.
+
+    Unlike a plain checkpoint the table is columnar, so each reader takes just its
+    columns, and the planner knows its size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/calledzone-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Ask for a broadcast of `df` only after counting it.
+    """Ask for a broadcast of `df` only after counting it; give it cheap or written tables.
 
     Past the bound the join is left to the planner: a shuffled join whose hot keys AQE splits.
     """

@@ -7,7 +7,6 @@ comes through `tables`.
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from calledzone.sources.tables import GameTables
 
@@ -26,14 +25,12 @@ FIRST_DAY = "1995-01-01"
 SEASONS = (1995, 2001)
 
 
-def _game_name(day):
-    return F.concat(F.lit("gid_"), F.date_format(day, "yyyy_MM_dd"))
+GAME_NAME = "concat('gid_', date_format(o_orderdate, 'yyyy_MM_dd')) AS gameName"
 
 
 def games(orders: DataFrame) -> DataFrame:
-    return orders.select("o_orderdate").distinct().select(
-        _game_name(F.col("o_orderdate")).alias("gameName"),
-        F.when(F.month("o_orderdate") <= 2, "S").otherwise("R").alias("type"),
+    return orders.select("o_orderdate").distinct().selectExpr(
+        GAME_NAME, "CASE WHEN month(o_orderdate) <= 2 THEN 'S' ELSE 'R' END AS type"
     )
 
 
@@ -41,74 +38,58 @@ def umpires(orders: DataFrame, supplier: DataFrame) -> DataFrame:
     staff = supplier.agg(F.count("*")).scalar()
     days = orders.select("o_orderdate").distinct()
     turn = F.datediff("o_orderdate", F.lit(FIRST_DAY).cast("date")) % staff
-    name = F.when(F.col("s_suppkey") % 9 == 8, "").otherwise(F.col("s_name"))
-    return days.withColumn("s_suppkey", turn).join(supplier, "s_suppkey").select(
-        _game_name(F.col("o_orderdate")).alias("gameName"),
-        F.col("s_suppkey").alias("id"), name.alias("name"), F.lit("home").alias("position"),
+    return days.withColumn("s_suppkey", turn).join(supplier, "s_suppkey").selectExpr(
+        GAME_NAME, "s_suppkey AS id",
+        "CASE WHEN s_suppkey % 9 = 8 THEN '' ELSE s_name END AS name", "'home' AS position",
     )
 
 
 def atbats(orders: DataFrame) -> DataFrame:
-    key, batter = F.col("o_orderkey"), F.col("o_custkey")
-    stand = (
-        F.when(key % 5 == 0, "X").when((batter + key) % 7 < 3, "L").otherwise("R")
-    )
-    height = F.when(batter % 50 == 0, 0).otherwise(66 + batter % 13).cast("int")
-    return orders.select(
-        _game_name(F.col("o_orderdate")).alias("gameName"), key.alias("num"),
-        batter.alias("batter"), stand.alias("stand"), height.alias("b_height_in"),
+    return orders.selectExpr(
+        GAME_NAME, "o_orderkey AS num", "o_custkey AS batter",
+        """CASE WHEN o_orderkey % 5 = 0 THEN 'X'
+                WHEN (o_custkey + o_orderkey) % 7 < 3 THEN 'L' ELSE 'R' END AS stand""",
+        "CAST(CASE WHEN o_custkey % 50 = 0 THEN 0 ELSE 66 + o_custkey % 13 END AS INT) AS b_height_in",
     )
 
 
 def pitches(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    # Lines of one order are few, as pitches of one at-bat are.
-    in_order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus",
-    )
-    px = (F.col("l_quantity") - F.lit(25.5)) / F.lit(12.5)
-    pz = F.lit(1.0) + (F.col("l_partkey") % 101) * F.lit(0.05)
-    in_box = (F.abs(px) < 0.9) & pz.between(1.6, 3.5)
-    noise = (F.col("l_partkey") + F.col("l_suppkey")) % 17 == 0
-    low = F.when(F.col("l_linestatus") == "F", "Ball In Dirt").otherwise("Ball in Dirt")
-    des = (
-        F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), "In play, out(s)")
-        .when(in_box != noise, "Called Strike")
-        .when(pz < 1.25, low)
-        .otherwise("Ball")
-    )
-    lines = lineitem.select(
-        "l_orderkey",
-        (F.col("l_orderkey") * 1000 + F.row_number().over(in_order)).alias("gamedayPitchID"),
-        F.when(F.col("l_partkey") % 97 != 0, px).alias("px"),
-        F.when(F.col("l_suppkey") % 89 != 0, pz).alias("pz"),
-        des.alias("des"),
-        F.lit(None).cast("double").alias("start_speed"),
-        (F.col("l_discount") * F.lit(100.0) - F.lit(5.0)).alias("pfx_x"),
-        (F.col("l_tax") * F.lit(100.0)).alias("pfx_z"),
+    """Lines of one order are few, as pitches of one at-bat are, so they may be numbered in place."""
+    lines = lineitem.selectExpr(
+        "*",
+        "(l_quantity - 25.5D) / 12.5D AS x",
+        "1.0D + (l_partkey % 101) * 0.05D AS z",
+        """row_number() OVER (
+             PARTITION BY l_orderkey
+             ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                      l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS line""",
     )
-    dates = orders.select(
-        F.col("o_orderkey").alias("l_orderkey"),
-        _game_name(F.col("o_orderdate")).alias("gameName"),
+    lines = lines.selectExpr(
+        "l_orderkey AS gameAtBatID",
+        "l_orderkey * 1000 + line AS gamedayPitchID",
+        "CASE WHEN l_partkey % 97 <> 0 THEN x END AS px",
+        "CASE WHEN l_suppkey % 89 <> 0 THEN z END AS pz",
+        """CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'In play, out(s)'
+                WHEN (abs(x) < 0.9D AND z BETWEEN 1.6D AND 3.5D)
+                     <> ((l_partkey + l_suppkey) % 17 = 0) THEN 'Called Strike'
+                WHEN z < 1.25D AND l_linestatus = 'F' THEN 'Ball In Dirt'
+                WHEN z < 1.25D THEN 'Ball in Dirt'
+                ELSE 'Ball' END AS des""",
+        "CAST(NULL AS DOUBLE) AS start_speed",
+        "l_discount * 100.0D - 5.0D AS pfx_x",
+        "l_tax * 100.0D AS pfx_z",
     )
-    return lines.join(dates, "l_orderkey").withColumnRenamed("l_orderkey", "gameAtBatID")
+    dates = orders.selectExpr("o_orderkey AS gameAtBatID", GAME_NAME)
+    return lines.join(dates, "gameAtBatID")
 
 
 def batter_zones(customer: DataFrame) -> DataFrame:
-    batter, year = F.col("batter"), F.col("year")
     first, last = SEASONS
-    return (
-        customer.select(
-            F.col("c_custkey").alias("batter"),
-            F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year"),
-        )
-        .where((batter + year) % 11 != 0)
-        .select(
-            "batter", "year",
-            (F.lit(3.2) + (batter % 7) * F.lit(0.1)).alias("sz_top"),
-            (F.lit(1.4) + (batter % 5) * F.lit(0.08)).alias("sz_bot"),
-            F.lit(0).alias("generic"),
-        )
+    years = customer.selectExpr("c_custkey AS batter", f"explode(sequence({first}, {last})) AS year")
+    return years.where("(batter + year) % 11 <> 0").selectExpr(
+        "batter", "year",
+        "3.2D + (batter % 7) * 0.1D AS sz_top", "1.4D + (batter % 5) * 0.08D AS sz_bot",
+        "0 AS generic",
     )
 
 

@@ -5,7 +5,7 @@ weights follow the data and can be checked by plain SQL. Some are left out or
 spoiled on purpose, to exercise fallbacks and health checks.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calledzone import schema as S
@@ -26,9 +26,8 @@ def _centres(rows: DataFrame, height: str) -> DataFrame:
     """Average strike per model in whole thousandths, so that the sum has no rounding order."""
 
     def mean(column):
-        thousandths = F.floor(F.col(column) * F.lit(1000.0))
-        total = F.sum(F.when(F.col("c") == 1, thousandths)).cast("double")
-        return F.try_divide(total, F.sum("c").cast("double")) / F.lit(1000.0)
+        total = f"CAST(sum(CASE WHEN c = 1 THEN floor({column} * 1000D) END) AS DOUBLE)"
+        return F.expr(f"try_divide({total}, CAST(sum(c) AS DOUBLE)) / 1000D")
 
     return rows.groupBy("model_key").agg(
         F.count("*").alias("n_train"), F.sum("c").alias("s"),
@@ -36,47 +35,43 @@ def _centres(rows: DataFrame, height: str) -> DataFrame:
     )
 
 
-def _box(height: str, extra: tuple[float, ...]) -> Column:
-    k = F.lit(STEEPNESS)
-
-    def pair(half, mean, axis):
-        for sign in (1.0, -1.0):
-            slope = [0.0, 0.0]
-            slope[axis] = sign * STEEPNESS
-            bias = k * (F.lit(half) - F.lit(sign) * mean)
-            yield F.array(bias, *[F.lit(w) for w in (*slope, *extra)])
-
-    return F.array(
-        *pair(HALF_WIDTH, F.col("mx"), 0), *pair(HALF_HEIGHT[height], F.col("mz"), 1)
+def _box(height: str, extra: tuple[float, ...]) -> str:
+    sides = (
+        (HALF_WIDTH, "- mx", (1, 0)), (HALF_WIDTH, "+ mx", (-1, 0)),
+        (HALF_HEIGHT[height], "- mz", (0, 1)), (HALF_HEIGHT[height], "+ mz", (0, -1)),
     )
+    units = []
+    for half, mean, facing in sides:
+        slopes = [f"{STEEPNESS * sign}D" for sign in facing] + [f"{w}D" for w in extra]
+        units.append(f"array({STEEPNESS}D * ({half}D {mean}), {', '.join(slopes)})")
+    return f"array({', '.join(units)})"
 
 
 def _models(
-    tasks: DataFrame, rows: DataFrame, features: tuple[str, ...], bias: Column
+    tasks: DataFrame, rows: DataFrame, features: tuple[str, ...], bias: str = f"{OUT_BIAS}D"
 ) -> DataFrame:
-    height = features[1]
-    extra = (0.05, -0.05)[: len(features) - 2]
-    n, s = F.col("n_train").cast("double"), F.col("s").cast("double")
-    sound = (F.col("s") > 0) & (F.col("n_train") % 13 != 0)
-    weights_out = F.array(bias, *[F.lit(6.0)] * 4)
-    models = tasks.join(_centres(rows, height), "model_key")
-    models = models.withColumns({
-        "features": F.array(*[F.lit(f) for f in features]),
-        "hidden": F.lit(4),
-        "w_hidden": F.when(sound, _box(height, extra)),
-        "w_out": F.when(sound, weights_out),
-        "sse": s * (n - s) / n / F.lit(2.0),
-        "steps": (F.col("n_train") % 1000).cast("int"),
-        "status": F.when(sound, "ok").otherwise("not_converged"),
-    })
-    return materialise(models.select(*S.MODELS.fieldNames()))
+    height, extra = features[1], (0.05, -0.05)[: len(features) - 2]
+    sound = "s > 0 AND n_train % 13 <> 0"
+    names = ", ".join(f"'{name}'" for name in features)
+    models = tasks.join(_centres(rows, height), "model_key").selectExpr(
+        *S.TASK.fieldNames(),
+        f"array({names}) AS features",
+        "4 AS hidden",
+        f"CASE WHEN {sound} THEN {_box(height, extra)} END AS w_hidden",
+        f"CASE WHEN {sound} THEN array({bias}, 6D, 6D, 6D, 6D) END AS w_out",
+        "n_train",
+        "CAST(s AS DOUBLE) * (n_train - s) / n_train / 2D AS sse",
+        "CAST(n_train % 1000 AS INT) AS steps",
+        f"CASE WHEN {sound} THEN 'ok' ELSE 'not_converged' END AS status",
+    )
+    return materialise(models)
 
 
 def season_nets(tables: GameTables, fact: DataFrame) -> DataFrame:
     """Pooled season nets; none is spoiled by bias, some by a missed convergence."""
     tasks = training.yearly_tasks(tables.games)
     rows = assign_windows(fact, tasks, ("stand",))
-    return _models(tasks, rows, S.ZONE_FEATURES, F.lit(OUT_BIAS))
+    return _models(tasks, rows, S.ZONE_FEATURES)
 
 
 def month_nets(tables: GameTables, fact: DataFrame, movement: bool = False) -> DataFrame:
@@ -87,7 +82,7 @@ def month_nets(tables: GameTables, fact: DataFrame, movement: bool = False) -> D
     )
     tasks = training.monthly_tasks(tables.games, kind).where(F.month("d_e") != missing)
     rows = assign_windows(fact, tasks, ("stand",))
-    return _models(tasks, rows, features, F.lit(OUT_BIAS))
+    return _models(tasks, rows, features)
 
 
 def individual_nets(tables: GameTables, fact: DataFrame) -> DataFrame:
@@ -95,18 +90,16 @@ def individual_nets(tables: GameTables, fact: DataFrame) -> DataFrame:
     tasks = training.individual_tasks(tables, last_season=9999).where(F.col("entity_id") % 3 == 0)
     tasks = materialise(tasks)
     rows = assign_windows(fact, tasks.withColumn("umpire", F.col("entity_id")), ("umpire", "stand"))
-    bias = F.when(F.col("entity_id") % 10 == 6, BAD_UMPIRE_BIAS).otherwise(OUT_BIAS)
+    bias = f"CASE WHEN entity_id % 10 = 6 THEN {BAD_UMPIRE_BIAS}D ELSE {OUT_BIAS}D END"
     return _models(tasks, rows, S.ZONE_FEATURES, bias)
 
 
 def batter_nets(tables: GameTables, fact: DataFrame) -> DataFrame:
     """Own nets of batters with enough pitches, every tenth of them bad, and pooled nets."""
-    bias = F.when(F.col("entity_id") % 10 == 4, BAD_BATTER_BIAS).otherwise(OUT_BIAS)
+    bias = f"CASE WHEN entity_id % 10 = 4 THEN {BAD_BATTER_BIAS}D ELSE {OUT_BIAS}D END"
     tasks = materialise(training.batter_tasks(tables.atbats, after_season=0))
     own = _models(tasks, training.training_rows(fact, tasks, training.BATTERS), S.BATTER_FEATURES, bias)
     own = own.where(F.col("n_train") >= MIN_BATTER_ROWS)
     tasks = training.batter_pooled_tasks(tables.atbats, after_season=0)
-    pooled = _models(
-        tasks, assign_windows(fact, tasks, ("stand",)), S.BATTER_FEATURES, F.lit(OUT_BIAS)
-    )
+    pooled = _models(tasks, assign_windows(fact, tasks, ("stand",)), S.BATTER_FEATURES)
     return own.unionByName(pooled)

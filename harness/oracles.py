@@ -335,7 +335,7 @@ ORACLES = {
       QUALIFY row_number() OVER (PARTITION BY season, stand ORDER BY game_date DESC, pitch_id DESC)
               <= {POOLED_BATTER_ROWS}"""),
     "generic_sz_scale": query("""
-      SELECT year, stand, n, round(top, 6) AS top, round(bot, 6) AS bot, round(top - bot, 6) AS height
+      SELECT year, stand, n, round(top, 8) AS top, round(bot, 8) AS bot, round(top - bot, 8) AS height
       FROM scale""", SCALE),
     "season_range": query("""
       SELECT season, min_date, max_date, CAST(month(min_date) < 4 AS INT) AS has_mar_games,

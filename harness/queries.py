@@ -94,7 +94,7 @@ def batter_generic_training_set(spark, root):
 
 
 def generic_sz_scale(spark, root):
-    return rounded(Q.zone_scale(sample.load(spark, root)), 6, "top", "bot", "height")
+    return rounded(Q.zone_scale(sample.load(spark, root)), 8, "top", "bot", "height")
 
 
 def season_range(spark, root):
@@ -177,23 +177,21 @@ def bucket_score(spark, root):
 
 
 def nn_score(spark, root):
-    tables = sample.load(spark, root)
-    fact = materialise(scored_fact(tables))
-    models = sample_models.season_nets(tables, fact)
-    scores = E.season_scores(fact, models)
+    scores = _ucs(spark, root)
     return rounded(scores.select("gamedayPitchID", "stand", "p"), 6, "p")
 
 
 def nn_score_movement(spark, root):
     """Month nets with movement, on the pitches of their own month."""
     tables = sample.load(spark, root)
-    fact = materialise(scored_fact(tables))
+    columns = ("pitch_id", "game_date", "stand", "c", *S.MOVEMENT_FEATURES)
+    fact = materialise(scored_fact(tables).select(*columns))
     models = sample_models.month_nets(tables, fact, movement=True)
     month_day = C.model_month(F.col("d_e")).alias("month_day")
     lookup = M.lookup_weights(models, len(S.MOVEMENT_FEATURES), month_day, "stand")
     rows = fact.withColumn("month_day", F.trunc("game_date", "MM").cast("date"))
     rows = rows.join(small_side(lookup), ["month_day", "stand"])
-    p = net.net_score([F.col(f) for f in S.MOVEMENT_FEATURES])
+    p = net.net_score(S.MOVEMENT_FEATURES)
     return rows.select(
         F.col("pitch_id").alias("gamedayPitchID"), "stand", F.round(p, 6).alias("p")
     )
@@ -201,7 +199,8 @@ def nn_score_movement(spark, root):
 
 def _ucs(spark, root) -> DataFrame:
     tables = sample.load(spark, root)
-    fact = scored_fact(tables)
+    columns = ("pitch_id", "umpire", "game_date", "season", "stand", "c", *S.ZONE_FEATURES)
+    fact = materialise(scored_fact(tables).select(*columns))
     return E.season_scores(fact, sample_models.season_nets(tables, fact))
 
 
@@ -222,7 +221,9 @@ def umpire_uzr_year(spark, root):
 
 
 def _batter_nets(tables: GameTables) -> DataFrame:
-    return sample_models.batter_nets(tables, T.batter_training_fact(tables))
+    columns = ("batter", "season", "game_date", "stand", "c", *S.BATTER_FEATURES)
+    fact = materialise(T.batter_training_fact(tables).select(*columns))
+    return sample_models.batter_nets(tables, fact)
 
 
 def batter_zone(spark, root):
@@ -322,7 +323,7 @@ def bad_batter_models(spark, root):
 def heatmap_zone(spark, root):
     tables = sample.load(spark, root)
     nets = sample_models.season_nets(tables, scored_fact(tables))
-    return rounded(G.over_grid(nets), 6, "p")
+    return rounded(G.over_grid(nets, G.AREA_GRID), 6, "p")
 
 
 def heatmap_batter(spark, root):
@@ -347,7 +348,7 @@ def heatmap_list(spark, root):
         F.lit("generic").alias("id"), F.col("w.d_s").alias("start"), F.col("w.d_e").alias("end"), "stand"
     )
     listed = wanted.unionByName(wanted)
-    return rounded(G.over_grid(M.zone_model(nets, listed)), 6, "p")
+    return rounded(G.over_grid(M.zone_model(nets, listed), G.AREA_GRID), 6, "p")
 
 
 def model_edges(spark, root):

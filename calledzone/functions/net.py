@@ -26,12 +26,8 @@ def weight_columns(inputs: int, prefix: str = "") -> dict[str, Column]:
     return {name: F.expr(text) for name, text in columns.items()}
 
 
-def net_score(inputs: Sequence[str | float], prefix: str = "") -> Column:
-    """Called-strike probability: one hidden layer of logistic units over `weight_columns`.
-
-    Inputs are column names or numbers. Written out unit by unit, because array
-    lambdas leave generated code.
-    """
+def net_total(inputs: Sequence[str | float], prefix: str = "") -> str:
+    """What the output unit adds up; a score is at least one half exactly when this is not negative."""
     values = [f"{v}D" if isinstance(v, (int, float)) else v for v in inputs]
     total = f"{prefix}o0"
     for unit in range(1, MAX_HIDDEN + 1):
@@ -39,7 +35,26 @@ def net_score(inputs: Sequence[str | float], prefix: str = "") -> Column:
         for i, value in enumerate(values, start=1):
             drive += f" + {prefix}h{unit}_{i} * {value}"
         total += f" + {prefix}o{unit} * {_logistic(drive)}"
-    return F.expr(_logistic(total))
+    return total
+
+
+def net_score(inputs: Sequence[str | float], prefix: str = "") -> Column:
+    """Called-strike probability: one hidden layer of logistic units over `weight_columns`.
+
+    Inputs are column names or numbers. Written out unit by unit, because array
+    lambdas leave generated code.
+    """
+    return F.expr(_logistic(net_total(inputs, prefix)))
+
+
+def fold_first_input(value: str) -> list[str]:
+    """Weights of a two-input net with the first input fixed: a net of the second alone."""
+    kept = ["o0"]
+    for unit in range(1, MAX_HIDDEN + 1):
+        kept += [
+            f"o{unit}", f"h{unit}_0 + h{unit}_1 * {value} AS h{unit}_0", f"h{unit}_2 AS h{unit}_1"
+        ]
+    return kept
 
 
 def call_score(p: Column, c: Column) -> Column:

@@ -9,7 +9,7 @@ from calledzone import schema as S
 def game_date(game_name: Column) -> Column:
     """Date held in a game name by position; null when the text is no date."""
     parts = [F.substring(game_name, at, length) for at, length in ((5, 4), (10, 2), (13, 2))]
-    return F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd")
+    return F.concat_ws("-", *parts).try_cast("date")
 
 
 def zone_midpoint(top: Column, bottom: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from calledzone import schema as S
 from calledzone.functions import net
-from calledzone.operators.models import lookup_weights
+from calledzone.operators.models import lookup_weights, usable_models
 from calledzone.session import spread
 
 
@@ -29,36 +29,45 @@ BATTER_GRID = Grid((-2, 2), (1, 6), S.BATTER_CELLS_PER_FOOT)
 BATTER_MAP_GRID = Grid((-2, 2), (1, 6), S.AREA_CELLS_PER_FOOT)
 
 
-def _steps(ends: tuple[int, int], per_foot: int):
-    return F.sequence(F.lit(ends[0] * per_foot), F.lit(ends[1] * per_foot))
+def _step(name: str, ends: tuple[int, int], per_foot: int) -> str:
+    return f"explode(sequence({ends[0] * per_foot}, {ends[1] * per_foot})) AS {name}"
 
 
-def over_grid(models: DataFrame, grid: Grid) -> DataFrame:
-    """One row per usable model and cell, with its coordinates x, z and probability p."""
-    weights = lookup_weights(models, 2, "model_key")
-    cells = (
-        spread(weights, "model_key")
-        .withColumn("ix", F.explode(_steps(grid.x, grid.per_foot)))
-        .withColumn("iz", F.explode(_steps(grid.z, grid.per_foot)))
+def _cells(models: DataFrame, grid: Grid) -> DataFrame:
+    """One row per usable model and cell; the part of the net that only x drives is done per column."""
+    scale = f"{float(grid.per_foot)}D"
+    columns = (
+        spread(lookup_weights(models, 2, "model_key"), "model_key")
+        .selectExpr("*", _step("ix", grid.x, grid.per_foot))
+        .selectExpr("*", f"CAST(ix AS DOUBLE) / {scale} AS x")
+        .selectExpr("model_key", "x", *net.fold_first_input("x"))
+    )
+    return columns.selectExpr("*", _step("iz", grid.z, grid.per_foot)).selectExpr(
+        "*", f"CAST(iz AS DOUBLE) / {scale} AS z"
     )
-    scale = F.lit(float(grid.per_foot))
-    cells = cells.withColumn("x", F.col("ix") / scale).withColumn("z", F.col("iz") / scale)
-    return cells.select("model_key", "x", "z", net.net_score(["x", "z"]).alias("p"))
+
+
+def over_grid(models: DataFrame, grid: Grid) -> DataFrame:
+    """Probability p of every cell (x, z) of the grid, per usable model."""
+    return _cells(models, grid).select("model_key", "x", "z", net.net_score(["z"]).alias("p"))
 
 
 def zone_extents(models: DataFrame, grid: Grid = BATTER_GRID) -> DataFrame:
-    """Highest and lowest cell each model calls a strike at least half the time."""
-    strike_z = F.when(F.col("p") >= 0.5, F.col("z"))
-    return over_grid(models, grid).groupBy("model_key").agg(
-        F.max(strike_z).alias("sz_top"), F.min(strike_z).alias("sz_bot")
-    )
+    """Highest and lowest cell each usable model calls a strike at least half the time.
+
+    Only such cells are aggregated; a model that has none gets nulls.
+    """
+    strikes = _cells(models, grid).where(f"{net.net_total(['z'])} >= 0")
+    limits = strikes.groupBy("model_key").agg(F.max("z").alias("sz_top"), F.min("z").alias("sz_bot"))
+    return usable_models(models).select("model_key").join(limits, "model_key", "left")
 
 
 def strike_cells(models: DataFrame, grid: Grid = AREA_GRID) -> DataFrame:
-    """Cells each model calls a strike more often than not."""
-    return over_grid(models, grid).groupBy("model_key").agg(
-        F.sum((F.col("p") > 0.5).cast("int")).alias("cells")
-    )
+    """Number of cells each usable model calls a strike more often than not."""
+    strikes = _cells(models, grid).where(f"{net.net_total(['z'])} > 0")
+    counts = strikes.groupBy("model_key").agg(F.count("*").alias("cells"))
+    counted = usable_models(models).select("model_key").join(counts, "model_key", "left")
+    return counted.withColumn("cells", F.coalesce("cells", F.lit(0)))
 
 
 def square_inches(cells, height, per_foot: int = S.AREA_CELLS_PER_FOOT):

@@ -75,15 +75,14 @@ def compare_models(
     rows = rows.join(small_side(own), [*key, "umpire"], "left")
     rows = bucket_score(rows, bucket_rows, key)
 
-    rows = rows.withColumns({
-        "p_gen": net.net_score(S.ZONE_FEATURES, "gen_"),
-        "p_own": net.net_score(S.ZONE_FEATURES, "own_") if individual else F.lit(None).cast("double"),
-        "p_pdata": net.net_score(S.MOVEMENT_FEATURES, "pdata_"),
-    })
-    n = F.when(F.col("p_own").isNotNull(), F.col("own_n")).otherwise(F.lit(0))
-    shrunk = net.shrink(
-        F.coalesce("p_own", "p_gen"), n, F.col("p_gen"), F.lit(float(regress))
-    )
+    # Not named columns in between: repeated expressions become methods of their own,
+    # which keeps the generated code within what the JVM compiles.
+    p_gen = net.net_score(S.ZONE_FEATURES, "gen_")
+    p_own = net.net_score(S.ZONE_FEATURES, "own_") if individual else F.lit(None).cast("double")
+    p_pdata = net.net_score(S.MOVEMENT_FEATURES, "pdata_")
+    n = F.when(p_own.isNotNull(), F.col("own_n")).otherwise(F.lit(0))
+    p_ind = F.coalesce(p_own, p_gen)
+    shrunk = net.shrink(p_ind, n, p_gen, F.lit(float(regress)))
 
     def published(score):
         return F.coalesce(score, F.lit(S.NO_SCORE))
@@ -93,9 +92,9 @@ def compare_models(
         "umpire",
         F.col("game_date").alias("date"),
         n.cast("long").alias("n"),
-        published(F.coalesce("p_own", "p_gen")).alias("nn_ind"),
-        published(F.col("p_gen")).alias("nn_gen"),
-        published(F.col("p_pdata")).alias("nn_pdata"),
+        published(p_ind).alias("nn_ind"),
+        published(p_gen).alias("nn_gen"),
+        published(p_pdata).alias("nn_pdata"),
         published(shrunk).alias("nn_regress"),
         published(F.when(F.col("has_buckets"), F.col("roeg"))).alias("roeg"),
         F.col("c").cast("short").alias("c"),

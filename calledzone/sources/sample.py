@@ -25,7 +25,7 @@ FIRST_DAY = "1995-01-01"
 SEASONS = (1995, 2001)
 
 
-GAME_NAME = "concat('gid_', date_format(o_orderdate, 'yyyy_MM_dd')) AS gameName"
+GAME_NAME = "concat('gid_', replace(CAST(o_orderdate AS STRING), '-', '_')) AS gameName"
 
 
 def games(orders: DataFrame) -> DataFrame:

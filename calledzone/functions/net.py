@@ -26,7 +26,7 @@ def weight_columns(inputs: int, prefix: str = "") -> dict[str, Column]:
     return {name: F.expr(text) for name, text in columns.items()}
 
 
-def net_total(inputs: Sequence[str | float], prefix: str = "") -> str:
+def net_total(inputs: Sequence[str | float], prefix: str = "", lifted: bool = False) -> str:
     """What the output unit adds up; a score is at least one half exactly when this is not negative."""
     values = [f"{v}D" if isinstance(v, (int, float)) else v for v in inputs]
     total = f"{prefix}o0"
@@ -34,10 +34,24 @@ def net_total(inputs: Sequence[str | float], prefix: str = "") -> str:
         drive = f"{prefix}h{unit}_0"
         for i, value in enumerate(values, start=1):
             drive += f" + {prefix}h{unit}_{i} * {value}"
+        if lifted:
+            drive += f" + lift{unit}"
         total += f" + {prefix}o{unit} * {_logistic(drive)}"
     return total
 
 
+def lifts(half_x: float, half_z: float) -> list[str]:
+    """Shift of each unit that makes `net_total` at a block's centre its bound over the block.
+
+    A unit rises or falls along both axes, so its largest share is at the corner
+    this far from the centre.
+    """
+    return [
+        f"signum(o{u}) * (abs(h{u}_1) * {half_x}D + abs(h{u}_2) * {half_z}D) AS lift{u}"
+        for u in range(1, MAX_HIDDEN + 1)
+    ]
+
+
 def net_score(inputs: Sequence[str | float], prefix: str = "") -> Column:
     """Called-strike probability: one hidden layer of logistic units over `weight_columns`.
 

@@ -2,13 +2,13 @@
 
 Pitches at the same place are counted together before they move, which leaves the
 error and its gradient unchanged. A model whose points fit one task is fitted
-there; one with more points stays spread out, and each descent step sums its
-gradient over the cluster. Both ways take the same steps.
+there, in step with its neighbours; one with more points stays spread out, and
+each descent step sums its gradient over the cluster. Both ways take the same steps.
 """
 
 import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ from calledzone.session import materialise, spread
 
 # Points of one model held by one task: about 100 MB at four inputs.
 TASK_POINTS = 2_000_000
+# Points fitted in step; small models are far faster together than one by one.
+BLOCK_POINTS = 20_000
 
 
 @dataclass(frozen=True)
@@ -63,101 +65,155 @@ def training_points(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def loss_and_gradient(w, x, n, s, units):
-    """Half the squared error over all pitches at points `x` (bias column first), and its gradient."""
-    split = units * x.shape[1]
-    into = w[:split].reshape(units, x.shape[1])
-    out = w[split:]
-    a = 1.0 / (1.0 + np.exp(-(x @ into.T)))
-    p = 1.0 / (1.0 + np.exp(-(out[0] + a @ out[1:])))
-    loss = 0.5 * float(np.sum(s * (1.0 - p) ** 2 + (n - s) * p**2))
+@dataclass(frozen=True)
+class Points:
+    """Training points of several models, model after model; x has the bias column first."""
+
+    x: np.ndarray
+    n: np.ndarray
+    s: np.ndarray
+    model: np.ndarray
+
+    @classmethod
+    def of(cls, pdf: pd.DataFrame, features: Sequence[str], model: np.ndarray) -> "Points":
+        x = np.column_stack([np.ones(len(pdf)), pdf[list(features)].to_numpy(float)])
+        return cls(x, pdf["n"].to_numpy(float), pdf["s"].to_numpy(float), model)
+
+    def keep(self, models: np.ndarray) -> "Points":
+        """Points of the models marked, renumbered without gaps."""
+        rows = models[self.model]
+        renumbered = np.cumsum(models) - 1
+        return Points(self.x[rows], self.n[rows], self.s[rows], renumbered[self.model[rows]])
+
+
+def loss_and_gradient(w: np.ndarray, points: Points, units: int):
+    """Half the squared error over all pitches, and its gradient, one row per model."""
+    models, inputs = len(w), points.x.shape[1]
+    into = w[:, : units * inputs].reshape(models, units, inputs)
+    out = w[:, units * inputs :]
+    x, n, s = points.x, points.n, points.s
+    if models == 1:
+        a = x @ into[0].T
+        out_of_point = out
+    else:
+        a = np.einsum("pi,pui->pu", x, into[points.model])
+        out_of_point = out[points.model]
+    a = 1.0 / (1.0 + np.exp(-a))
+    p = 1.0 / (1.0 + np.exp(-(out_of_point[:, 0] + (a * out_of_point[:, 1:]).sum(axis=1))))
     d = (n * p - s) * p * (1.0 - p)
-    back = d[:, None] * out[1:] * a * (1.0 - a)
-    return loss, np.concatenate([(back.T @ x).ravel(), [d.sum()], a.T @ d])
+    back = d[:, None] * out_of_point[:, 1:] * a * (1.0 - a)
+    parts = np.concatenate(
+        [
+            (0.5 * (s * (1.0 - p) ** 2 + (n - s) * p**2))[:, None],
+            (back[:, :, None] * x[:, None, :]).reshape(len(x), units * inputs),
+            d[:, None], d[:, None] * a,
+        ],
+        axis=1,
+    )
+    starts = np.searchsorted(points.model, np.arange(models))
+    sums = np.add.reduceat(parts, starts, axis=0)
+    return sums[:, 0], sums[:, 1:]
 
 
-@dataclass
 class Descent:
-    """Resilient backpropagation with step-back (Riedmiller and Braun, 1993)."""
-
-    units: int
-    inputs: int
-    threshold: float
-    max_steps: int
-    seed: int
-    steps: int = 0
-    sse: float = float("nan")
-    status: str = ""
-    w: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        size = self.units * (self.inputs + 1) + self.units + 1
-        self.w = np.random.default_rng(self.seed).standard_normal(size)
-        self.rate = np.full(size, 0.1)
-        self.last = np.zeros(size)
-        self.move = np.zeros(size)
-
-    def advance(self, loss: float, gradient: np.ndarray) -> bool:
-        """Take one step, or stop and say so."""
-        self.sse = loss
-        if not np.isfinite(loss) or not np.all(np.isfinite(gradient)):
-            self.status = "error"
-        elif np.abs(gradient).max() < self.threshold:
-            self.status = "ok"
-        elif self.steps >= self.max_steps:
-            self.status = "not_converged"
-        if self.status:
-            return False
-        turn = gradient * self.last
-        self.rate = np.clip(
-            np.where(turn > 0, self.rate * 1.2, np.where(turn < 0, self.rate * 0.5, self.rate)),
-            1e-10, 0.1,
-        )
-        self.move = np.where(turn < 0, -self.move, -np.sign(gradient) * self.rate)
-        self.last = np.where(turn < 0, 0.0, gradient)
-        self.w = self.w + self.move
-        self.steps += 1
-        return True
-
-    def weights(self):
+    """Resilient backpropagation with step-back (Riedmiller and Braun, 1993), many models at a time."""
+
+    def __init__(self, keys: Sequence[str], rows: Sequence[int], inputs: int, rule: FitRule):
+        self.keys, self.inputs, self.max_steps = list(keys), inputs, rule.max_steps
+        self.units = rule.units(rows[0])
+        self.rows = np.array(rows)
+        self.threshold = np.array([rule.threshold(r) for r in rows])
+        size = self.units * (inputs + 1) + self.units + 1
+        self.w = np.stack([
+            np.random.default_rng(zlib.crc32(key.encode()) + rule.seed).standard_normal(size)
+            for key in keys
+        ])
+        self.rate = np.full_like(self.w, 0.1)
+        self.last = np.zeros_like(self.w)
+        self.move = np.zeros_like(self.w)
+        self.sse = np.full(len(keys), np.nan)
+        self.steps = np.zeros(len(keys), int)
+        self.status = np.full(len(keys), "", dtype=object)
+
+    @property
+    def running(self) -> np.ndarray:
+        return self.status == ""
+
+    def advance(self, models: np.ndarray, loss: np.ndarray, gradient: np.ndarray) -> None:
+        """Stop those of `models` (by position) that are done; move the others one step."""
+        self.sse[models] = loss
+        broken = ~(np.isfinite(loss) & np.isfinite(gradient).all(axis=1))
+        settled = np.abs(gradient).max(axis=1) < self.threshold[models]
+        spent = self.steps[models] >= self.max_steps
+        for status, which in (("not_converged", spent), ("ok", settled), ("error", broken)):
+            self.status[models[which]] = status
+        on = ~(broken | settled | spent)
+        models, gradient = models[on], gradient[on]
+        turn = gradient * self.last[models]
+        rate = self.rate[models]
+        rate = np.where(turn > 0, rate * 1.2, np.where(turn < 0, rate * 0.5, rate))
+        self.rate[models] = rate = np.clip(rate, 1e-10, 0.1)
+        move = np.where(turn < 0, -self.move[models], -np.sign(gradient) * rate)
+        self.move[models] = move
+        self.last[models] = np.where(turn < 0, 0.0, gradient)
+        self.w[models] += move
+        self.steps[models] += 1
+
+    def fit_rows(self, features: Sequence[str]) -> list[dict]:
         split = self.units * (self.inputs + 1)
-        return self.w[:split].reshape(self.units, self.inputs + 1).tolist(), self.w[split:].tolist()
-
-
-def _start(model_key: str, rows: int, features: Sequence[str], rule: FitRule) -> Descent:
-    return Descent(
-        units=rule.units(rows), inputs=len(features), threshold=rule.threshold(rows),
-        max_steps=rule.max_steps, seed=zlib.crc32(model_key.encode()) + rule.seed,
-    )
-
-
-def _fit_row(model_key, rows, features, descent: Descent | None) -> dict:
-    row = dict.fromkeys(field.name for field in S.FIT.fields)
-    row.update(model_key=model_key, features=list(features), n_train=int(rows))
-    if descent is None:
-        return {**row, "status": "too_few_rows"}
-    w_hidden, w_out = descent.weights()
-    return {
-        **row, "hidden": descent.units, "w_hidden": w_hidden, "w_out": w_out,
-        "sse": descent.sse, "steps": descent.steps, "status": descent.status,
-    }
-
-
-def _inputs(points: pd.DataFrame, features: Sequence[str]) -> np.ndarray:
-    return np.column_stack([np.ones(len(points)), points[list(features)].to_numpy(float)])
-
-
-def _fit_in_task(points: pd.DataFrame, features: Sequence[str], rule: FitRule) -> pd.DataFrame:
-    points = points.sort_values(list(features), ignore_index=True)
-    key, rows = points["model_key"].iloc[0], int(points["n"].sum())
-    descent = None
-    if rows >= rule.min_rows:
-        descent = _start(key, rows, features, rule)
-        x, n, s = _inputs(points, features), points["n"].to_numpy(float), points["s"].to_numpy(float)
+        return [
+            {
+                "model_key": key, "features": list(features), "hidden": self.units,
+                "w_hidden": w[:split].reshape(self.units, self.inputs + 1).tolist(),
+                "w_out": w[split:].tolist(), "n_train": int(self.rows[i]),
+                "sse": float(self.sse[i]), "steps": int(self.steps[i]), "status": self.status[i],
+            }
+            for i, (key, w) in enumerate(zip(self.keys, self.w))
+        ]
+
+
+def _fit_together(pdf: pd.DataFrame, features: Sequence[str], rule: FitRule) -> list[dict]:
+    """Fit the models of `pdf`, which lie in it one after another, in step."""
+    rows = pdf.groupby("model_key", sort=False)["n"].sum()
+    number = pd.factorize(pdf["model_key"])[0]
+    fitted = []
+    for units in sorted({rule.units(r) for r in rows}):
+        chosen = np.array([rule.units(r) == units for r in rows])
+        descent = Descent(rows.index[chosen], rows[chosen].to_list(), len(features), rule)
+        points = Points.of(pdf, features, number).keep(chosen)
+        models = np.arange(len(descent.keys))
+        while len(models):
+            descent.advance(models, *loss_and_gradient(descent.w[models], points, units))
+            still = descent.running[models]
+            if not still.all():
+                models, points = models[still], points.keep(still)
+        fitted += descent.fit_rows(features)
+    return fitted
+
+
+def _fit_partition(
+    batches: Iterator[pd.DataFrame], features: Sequence[str], rule: FitRule
+) -> Iterator[pd.DataFrame]:
+    """Fit sorted points block by block: small models share a block, a large one has its own."""
+
+    def fit(pdf):
+        pdf = pdf.sort_values(["model_key", *features], ignore_index=True)
         with np.errstate(over="ignore"):
-            while descent.advance(*loss_and_gradient(descent.w, x, n, s, descent.units)):
-                pass
-    return pd.DataFrame([_fit_row(key, rows, features, descent)])
+            return pd.DataFrame(_fit_together(pdf, features, rule), columns=S.FIT.fieldNames())
+
+    waiting: list[pd.DataFrame] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(map(len, waiting)) < BLOCK_POINTS:
+            continue
+        block = pd.concat(waiting, ignore_index=True)
+        # The last model may go on in the next batch.
+        open_model = block["model_key"] == block["model_key"].iloc[-1]
+        waiting = [block[open_model]]
+        if not open_model.all():
+            yield fit(block[~open_model])
+    if waiting:
+        yield fit(pd.concat(waiting, ignore_index=True))
 
 
 def _fit_across(
@@ -165,14 +221,13 @@ def _fit_across(
 ) -> DataFrame:
     """Fit models too large for a task; only weights and summed gradients reach the driver."""
     spark = points.sparkSession
-    descents = {key: _start(key, rows, features, rule) for key, rows in totals.items()}
-    running = dict(descents)
-    size = max(len(d.w) for d in descents.values())
-    while running:
-        weights = {key: (d.w, d.units) for key, d in running.items()}
+    descents = {key: Descent([key], [rows], len(features), rule) for key, rows in totals.items()}
+    size = max(d.w.shape[1] for d in descents.values())
+    one = np.array([0])
+    while weights := {key: (d.w, d.units) for key, d in descents.items() if d.running.all()}:
 
         def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[str, tuple[float, np.ndarray]] = {}
+            sums: dict[str, np.ndarray] = {}
             for batch in batches:
                 for key, part in batch.groupby("model_key"):
                     if key not in weights:
@@ -180,56 +235,57 @@ def _fit_across(
                     w, units = weights[key]
                     with np.errstate(over="ignore"):
                         loss, gradient = loss_and_gradient(
-                            w, _inputs(part, features), part["n"].to_numpy(float),
-                            part["s"].to_numpy(float), units,
+                            w, Points.of(part, features, np.zeros(len(part), int)), units
                         )
-                    before = sums.get(key, (0.0, np.zeros(len(w))))
-                    sums[key] = (before[0] + loss, before[1] + gradient)
+                    sums[key] = sums.get(key, 0.0) + np.concatenate([loss, gradient[0]])
             yield pd.DataFrame(
-                [(key, loss, gradient.tolist()) for key, (loss, gradient) in sums.items()],
-                columns=["model_key", "loss", "gradient"],
+                [(key, both.tolist()) for key, both in sums.items()], columns=["model_key", "sums"]
             )
 
-        parts = points.mapInPandas(shares, "model_key string, loss double, gradient array<double>")
+        parts = points.mapInPandas(shares, "model_key string, sums array<double>")
         summed = parts.groupBy("model_key").agg(
-            F.sum("loss").alias("loss"),
-            F.array(*[F.sum(F.get("gradient", F.lit(i))) for i in range(size)]).alias("gradient"),
+            *[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(size + 1)]
         )
-        for row in summed.collect():
-            descent = running[row["model_key"]]
-            gradient = np.array(row["gradient"][: len(descent.w)], float)
-            if not descent.advance(row["loss"], gradient):
-                del running[row["model_key"]]
-    rows = [_fit_row(key, totals[key], features, d) for key, d in descents.items()]
-    names = [f.name for f in S.FIT.fields]
-    return spark.createDataFrame([tuple(row[name] for name in names) for row in rows], S.FIT)
+        for key, *sums in summed.collect():
+            descent = descents[key]
+            both = np.array(sums[: descent.w.shape[1] + 1], float)
+            descent.advance(one, both[:1], both[None, 1:])
+    rows = [row for d in descents.values() for row in d.fit_rows(features)]
+    return spark.createDataFrame([tuple(row[f] for f in S.FIT.fieldNames()) for row in rows], S.FIT)
 
 
 def fit_nets(
     points: DataFrame, features: Sequence[str], rule: FitRule, *,
     most_points: int | None = None, task_points: int = TASK_POINTS,
 ) -> DataFrame:
-    """One row of weights per model key. `most_points` is the proven size of a model, if any."""
+    """One row of weights per model key with enough pitches.
+
+    `most_points` is the proven size of a model, if there is one; without it the
+    points are counted first, and models beyond `task_points` fitted across tasks.
+    """
 
-    def in_task(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fit_in_task(pdf, features, rule)
+    def in_task(batches):
+        return _fit_partition(batches, features, rule)
 
+    bounded = most_points is not None and most_points <= task_points
     across = None
-    if most_points is None or most_points > task_points:
+    if not bounded or rule.min_rows > 1:
         points = materialise(points)
         sizes = points.groupBy("model_key").agg(F.count("*").alias("points"), F.sum("n").alias("rows"))
-        large = sizes.where(F.col("points") > task_points)
-        totals = {row["model_key"]: row["rows"] for row in large.collect()}
+        enough = sizes.where(F.col("rows") >= rule.min_rows)
+        large = F.col("points") > task_points
+        totals = {} if bounded else {row["model_key"]: row["rows"] for row in enough.where(large).collect()}
         if totals:
-            keys = materialise(large.select("model_key"))
-            across = _fit_across(points.join(keys, "model_key", "left_semi"), totals, features, rule)
-            points = points.join(keys, "model_key", "left_anti")
-    fits = spread(points, "model_key").groupBy("model_key").applyInPandas(in_task, S.FIT)
+            wide = points.join(enough.where(large).select("model_key"), "model_key", "left_semi")
+            across = _fit_across(materialise(wide), totals, features, rule)
+        points = points.join(enough.where(~large).select("model_key"), "model_key", "left_semi")
+    ordered = spread(points, "model_key").sortWithinPartitions("model_key")
+    fits = ordered.mapInPandas(in_task, S.FIT)
     return fits if across is None else fits.unionByName(across)
 
 
 def with_fits(tasks: DataFrame, fits: DataFrame) -> DataFrame:
-    """Model rows of all tasks; a task without any pitch is marked, not lost."""
+    """Model rows of all tasks; a task with too few pitches, or none, is marked and not lost."""
     rows = tasks.join(fits, "model_key", "left")
     rows = rows.withColumn("status", F.coalesce("status", F.lit("too_few_rows")))
     rows = rows.withColumn("n_train", F.coalesce("n_train", F.lit(0).cast("long")))

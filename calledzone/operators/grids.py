@@ -1,7 +1,8 @@
 """Models evaluated over a grid of cells.
 
 The cells of a model are generated inside its own row, so no join is needed, and
-what is counted per model is aggregated before it leaves the task.
+what is counted per model is aggregated before it leaves the task. Where just the
+strike cells matter, blocks that cannot hold one are skipped first.
 """
 
 from dataclasses import dataclass
@@ -29,43 +30,71 @@ BATTER_GRID = Grid((-2, 2), (1, 6), S.BATTER_CELLS_PER_FOOT)
 BATTER_MAP_GRID = Grid((-2, 2), (1, 6), S.AREA_CELLS_PER_FOOT)
 
 
-def _step(name: str, ends: tuple[int, int], per_foot: int) -> str:
-    return f"explode(sequence({ends[0] * per_foot}, {ends[1] * per_foot})) AS {name}"
+# Cells per side of the blocks that are ruled out as a whole.
+BLOCK = 10
+# Far above rounding error, far below any weight that matters.
+MARGIN = 1e-6
 
 
-def _cells(models: DataFrame, grid: Grid) -> DataFrame:
-    """One row per usable model and cell; the part of the net that only x drives is done per column."""
-    scale = f"{float(grid.per_foot)}D"
-    columns = (
+def _steps(ends: tuple[int, int], per_foot: int, by: int = 1) -> str:
+    return f"explode(sequence({ends[0] * per_foot}, {ends[1] * per_foot}, {by}))"
+
+
+def _cells(columns: DataFrame, cells_z: str, scale: str) -> DataFrame:
+    """Cells of the columns given; the part of the net that only x drives is done per column."""
+    folded = columns.selectExpr("*", f"CAST(ix AS DOUBLE) / {scale} AS x")
+    kept = [c for c in ("model_key", "x", "bz") if c in folded.columns]
+    folded = folded.selectExpr(*kept, *net.fold_first_input("x"))
+    return folded.selectExpr("*", f"{cells_z} AS iz").selectExpr("*", f"CAST(iz AS DOUBLE) / {scale} AS z")
+
+
+def _strike_blocks(models: DataFrame, grid: Grid) -> DataFrame:
+    """Blocks of cells that may hold a strike: where the bound over the block is not negative."""
+    scale, half = f"{float(grid.per_foot)}D", (BLOCK - 1) / 2
+    reach = half / grid.per_foot
+    blocks = (
         spread(lookup_weights(models, 2, "model_key"), "model_key")
-        .selectExpr("*", _step("ix", grid.x, grid.per_foot))
-        .selectExpr("*", f"CAST(ix AS DOUBLE) / {scale} AS x")
-        .selectExpr("model_key", "x", *net.fold_first_input("x"))
+        .selectExpr("*", *net.lifts(reach, reach))
+        .selectExpr("*", f"{_steps(grid.x, grid.per_foot, BLOCK)} AS bx")
+        .selectExpr("*", f"{_steps(grid.z, grid.per_foot, BLOCK)} AS bz")
     )
-    return columns.selectExpr("*", _step("iz", grid.z, grid.per_foot)).selectExpr(
-        "*", f"CAST(iz AS DOUBLE) / {scale} AS z"
+    centre = [f"((bx + {half}D) / {scale})", f"((bz + {half}D) / {scale})"]
+    return blocks.where(f"{net.net_total(centre, lifted=True)} >= -{MARGIN}D")
+
+
+def _strike_cells(models: DataFrame, grid: Grid, strike: str) -> DataFrame:
+    """Cells whose output total passes `strike`."""
+    last_x, last_z = grid.x[1] * grid.per_foot, grid.z[1] * grid.per_foot
+    columns = _strike_blocks(models, grid).selectExpr(
+        "*", f"explode(sequence(bx, least(bx + {BLOCK - 1}, {last_x}))) AS ix"
     )
+    cells_z = f"explode(sequence(bz, least(bz + {BLOCK - 1}, {last_z})))"
+    cells = _cells(columns, cells_z, f"{float(grid.per_foot)}D")
+    return cells.where(f"{net.net_total(['z'])} {strike}").select("model_key", "z")
 
 
 def over_grid(models: DataFrame, grid: Grid) -> DataFrame:
     """Probability p of every cell (x, z) of the grid, per usable model."""
-    return _cells(models, grid).select("model_key", "x", "z", net.net_score(["z"]).alias("p"))
+    weights = spread(lookup_weights(models, 2, "model_key"), "model_key")
+    columns = weights.selectExpr("*", f"{_steps(grid.x, grid.per_foot)} AS ix")
+    cells = _cells(columns, _steps(grid.z, grid.per_foot), f"{float(grid.per_foot)}D")
+    return cells.select("model_key", "x", "z", net.net_score(["z"]).alias("p"))
 
 
 def zone_extents(models: DataFrame, grid: Grid = BATTER_GRID) -> DataFrame:
     """Highest and lowest cell each usable model calls a strike at least half the time.
 
-    Only such cells are aggregated; a model that has none gets nulls.
+    A model that has no such cell gets nulls.
     """
-    strikes = _cells(models, grid).where(f"{net.net_total(['z'])} >= 0")
-    limits = strikes.groupBy("model_key").agg(F.max("z").alias("sz_top"), F.min("z").alias("sz_bot"))
+    limits = _strike_cells(models, grid, ">= 0").groupBy("model_key").agg(
+        F.max("z").alias("sz_top"), F.min("z").alias("sz_bot")
+    )
     return usable_models(models).select("model_key").join(limits, "model_key", "left")
 
 
 def strike_cells(models: DataFrame, grid: Grid = AREA_GRID) -> DataFrame:
     """Number of cells each usable model calls a strike more often than not."""
-    strikes = _cells(models, grid).where(f"{net.net_total(['z'])} > 0")
-    counts = strikes.groupBy("model_key").agg(F.count("*").alias("cells"))
+    counts = _strike_cells(models, grid, "> 0").groupBy("model_key").agg(F.count("*").alias("cells"))
     counted = usable_models(models).select("model_key").join(counts, "model_key", "left")
     return counted.withColumn("cells", F.coalesce("cells", F.lit(0)))
 

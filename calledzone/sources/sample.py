@@ -26,11 +26,15 @@ SEASONS = (1995, 2001)
 
 
 GAME_NAME = "concat('gid_', replace(CAST(o_orderdate AS STRING), '-', '_')) AS gameName"
+# As stored by `ingest`, the tables carry their dates.
+CALENDAR = (
+    "o_orderdate AS game_date", "year(o_orderdate) AS season", "month(o_orderdate) AS month"
+)
 
 
 def games(orders: DataFrame) -> DataFrame:
     return orders.select("o_orderdate").distinct().selectExpr(
-        GAME_NAME, "CASE WHEN month(o_orderdate) <= 2 THEN 'S' ELSE 'R' END AS type"
+        GAME_NAME, "CASE WHEN month(o_orderdate) <= 2 THEN 'S' ELSE 'R' END AS type", *CALENDAR
     )
 
 
@@ -50,6 +54,7 @@ def atbats(orders: DataFrame) -> DataFrame:
         """CASE WHEN o_orderkey % 5 = 0 THEN 'X'
                 WHEN (o_custkey + o_orderkey) % 7 < 3 THEN 'L' ELSE 'R' END AS stand""",
         "CAST(CASE WHEN o_custkey % 50 = 0 THEN 0 ELSE 66 + o_custkey % 13 END AS INT) AS b_height_in",
+        *CALENDAR,
     )
 
 

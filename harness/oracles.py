@@ -315,6 +315,8 @@ ORACLES = {
              round(px, 6) AS px, round(pz, 6) AS pz, round(pfx_x, 6) AS pfx_x, round(pfx_z, 6) AS pfx_z,
              round(sz_mid, 6) AS sz_mid, round(pz_ratio, 6) AS pz_ratio, c
       FROM train"""),
+    "game_calendar": query(
+        "SELECT gameName, type, game_date, season, CAST(month(game_date) AS INT) AS month FROM games"),
     "umpire_eval_list": query(f"""
       SELECT name, id, season AS year, CAST(sum(pcount) AS BIGINT) AS pcount
       FROM counts JOIN names USING (id) WHERE season BETWEEN {FIRST} AND {LAST} GROUP BY ALL"""),

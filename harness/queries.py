@@ -21,7 +21,7 @@ from calledzone.plans import training as T
 from calledzone.plans import zones as Z
 from calledzone.session import materialise, small_side
 from calledzone.sources import sample, sample_models
-from calledzone.sources.tables import GameTables
+from calledzone.sources.tables import GameTables, with_calendar
 
 FIRST, LAST = 1995, 2001
 RECENT_PITCHES = 150
@@ -49,6 +49,12 @@ def called_pitches(spark, root):
     return rounded(fact, 6, "px", "pz", "pfx_x", "pfx_z", "sz_mid", "pz_ratio")
 
 
+def game_calendar(spark, root):
+    """Dates read out of the game names themselves."""
+    names = sample.load(spark, root).games.select("gameName", "type")
+    return with_calendar(names)
+
+
 def umpire_eval_list(spark, root):
     return Q.umpire_seasons(sample.load(spark, root), FIRST, LAST)
 
@@ -418,7 +424,7 @@ def repair_models(spark, root):
 
 
 QUERIES = (
-    called_pitches, umpire_eval_list, umpire_eval_list_monthly, umpire_roc_list_monthly,
+    called_pitches, game_calendar, umpire_eval_list, umpire_eval_list_monthly, umpire_roc_list_monthly,
     batter_list, batter_main_hand, batter_training_set, batter_generic_training_set,
     generic_sz_scale, season_range, month_windows, day_windows, year_windows, ytd_windows,
     window_assignment, recent_n_per_window, bucket_model, bucket_area, bucket_score,

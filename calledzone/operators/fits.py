@@ -20,8 +20,10 @@ from calledzone.session import materialise, spread
 
 # Points of one model held by one task: about 100 MB at four inputs.
 TASK_POINTS = 2_000_000
-# Points fitted in step; small models are far faster together than one by one.
-BLOCK_POINTS = 20_000
+# Points looked at together. Models up to the second size are fitted in step, as the
+# cost of a step on few points is not in the points.
+BLOCK_POINTS = 50_000
+SMALL_POINTS = 200
 
 
 @dataclass(frozen=True)
@@ -93,26 +95,23 @@ def loss_and_gradient(w: np.ndarray, points: Points, units: int):
     out = w[:, units * inputs :]
     x, n, s = points.x, points.n, points.s
     if models == 1:
-        a = x @ into[0].T
-        out_of_point = out
+        into, out = into[0], out[0]
+        drive, bias, shares = x @ into.T, out[0], out[1:]
     else:
-        a = np.einsum("pi,pui->pu", x, into[points.model])
-        out_of_point = out[points.model]
-    a = 1.0 / (1.0 + np.exp(-a))
-    p = 1.0 / (1.0 + np.exp(-(out_of_point[:, 0] + (a * out_of_point[:, 1:]).sum(axis=1))))
+        drive = np.einsum("pi,pui->pu", x, into[points.model])
+        bias, shares = out[points.model, 0], out[points.model, 1:]
+    a = 1.0 / (1.0 + np.exp(-drive))
+    p = 1.0 / (1.0 + np.exp(-(bias + (a * shares).sum(axis=1))))
+    loss = 0.5 * (s * (1.0 - p) ** 2 + (n - s) * p**2)
     d = (n * p - s) * p * (1.0 - p)
-    back = d[:, None] * out_of_point[:, 1:] * a * (1.0 - a)
-    parts = np.concatenate(
-        [
-            (0.5 * (s * (1.0 - p) ** 2 + (n - s) * p**2))[:, None],
-            (back[:, :, None] * x[:, None, :]).reshape(len(x), units * inputs),
-            d[:, None], d[:, None] * a,
-        ],
-        axis=1,
-    )
+    back = d[:, None] * shares * a * (1.0 - a)
+    if models == 1:
+        gradient = np.concatenate([(back.T @ x).ravel(), [d.sum()], a.T @ d])
+        return np.array([loss.sum()]), gradient[None]
+    parts = ((back[:, :, None] * x[:, None, :]).reshape(len(x), -1), d[:, None], d[:, None] * a)
     starts = np.searchsorted(points.model, np.arange(models))
-    sums = np.add.reduceat(parts, starts, axis=0)
-    return sums[:, 0], sums[:, 1:]
+    gradient = np.concatenate([np.add.reduceat(part, starts, axis=0) for part in parts], axis=1)
+    return np.add.reduceat(loss, starts), gradient
 
 
 class Descent:
@@ -172,34 +171,42 @@ class Descent:
         ]
 
 
-def _fit_together(pdf: pd.DataFrame, features: Sequence[str], rule: FitRule) -> list[dict]:
-    """Fit the models of `pdf`, which lie in it one after another, in step."""
+def _fit_in_step(pdf: pd.DataFrame, features: Sequence[str], rule: FitRule) -> list[dict]:
+    """Fit all models of `pdf`, which lie in it one after another and have as many units."""
     rows = pdf.groupby("model_key", sort=False)["n"].sum()
-    number = pd.factorize(pdf["model_key"])[0]
+    descent = Descent(rows.index, rows.to_list(), len(features), rule)
+    points = Points.of(pdf, features, pd.factorize(pdf["model_key"])[0])
+    models = np.arange(len(rows))
+    while len(models):
+        descent.advance(models, *loss_and_gradient(descent.w[models], points, descent.units))
+        still = descent.running[models]
+        if not still.all():
+            models, points = models[still], points.keep(still)
+    return descent.fit_rows(features)
+
+
+def _fit_block(pdf: pd.DataFrame, features: Sequence[str], rule: FitRule) -> list[dict]:
+    """Small models with as many units in step, every other model alone."""
+    by_model = pdf.groupby("model_key")
+    units = by_model["n"].transform("sum").map(rule.units)
+    small = by_model["n"].transform("size") <= SMALL_POINTS
     fitted = []
-    for units in sorted({rule.units(r) for r in rows}):
-        chosen = np.array([rule.units(r) == units for r in rows])
-        descent = Descent(rows.index[chosen], rows[chosen].to_list(), len(features), rule)
-        points = Points.of(pdf, features, number).keep(chosen)
-        models = np.arange(len(descent.keys))
-        while len(models):
-            descent.advance(models, *loss_and_gradient(descent.w[models], points, units))
-            still = descent.running[models]
-            if not still.all():
-                models, points = models[still], points.keep(still)
-        fitted += descent.fit_rows(features)
+    for _, part in pdf[small].groupby(units[small]):
+        fitted += _fit_in_step(part, features, rule)
+    for _, part in pdf[~small].groupby("model_key"):
+        fitted += _fit_in_step(part, features, rule)
     return fitted
 
 
 def _fit_partition(
     batches: Iterator[pd.DataFrame], features: Sequence[str], rule: FitRule
 ) -> Iterator[pd.DataFrame]:
-    """Fit sorted points block by block: small models share a block, a large one has its own."""
+    """Fit sorted points block by block, each model whole."""
 
     def fit(pdf):
         pdf = pdf.sort_values(["model_key", *features], ignore_index=True)
         with np.errstate(over="ignore"):
-            return pd.DataFrame(_fit_together(pdf, features, rule), columns=S.FIT.fieldNames())
+            return pd.DataFrame(_fit_block(pdf, features, rule), columns=S.FIT.fieldNames())
 
     waiting: list[pd.DataFrame] = []
     for batch in batches:

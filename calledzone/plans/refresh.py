@@ -23,7 +23,7 @@ def refresh(
     run_day: date, started: datetime, umpire_options: dict | None = None,
     batter_options: dict | None = None,
 ) -> dict[str, str]:
-    """Bring one season up to date; returns where each report was written."""
+    """Bring a season, and batters from it on, up to date; returns where each report was written."""
     spark = tables.pitches.sparkSession
     umpire_options, batter_options = umpire_options or {}, batter_options or {}
     batter_kinds = (S.BATTER, S.BATTER_GENERIC)

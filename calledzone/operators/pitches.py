@@ -17,6 +17,11 @@ def officiated_games(tables: GameTables, game_types: Iterable[str]) -> DataFrame
     return games.join(crew.select("gameName", F.col("id").alias("umpire")), "gameName")
 
 
+def _season_key(*stored: DataFrame) -> list[str]:
+    """Ingested tables also join on season, so that a season filter skips folders of all of them."""
+    return ["season"] if all("season" in df.columns for df in stored) else []
+
+
 def called_pitches(
     tables: GameTables,
     *,
@@ -33,6 +38,7 @@ def called_pitches(
     Games, umpires and zones are joined to the at-bats, which are several times
     fewer than the pitches, so the pitches move in one shuffle only.
     """
+    season_key = _season_key(tables.atbats, tables.pitches)
     atbats = with_calendar(tables.atbats)
     if hands is not None:
         atbats = atbats.where(F.col("stand").isin(*hands))
@@ -59,10 +65,11 @@ def called_pitches(
     if known_location:
         pitches = pitches.where(F.col("px").isNotNull() & F.col("pz").isNotNull())
     pitches = pitches.select(
-        "gameName", "gameAtBatID", F.col("gamedayPitchID").alias("pitch_id"),
+        "gameName", "gameAtBatID", *season_key, F.col("gamedayPitchID").alias("pitch_id"),
         "px", "pz", "pfx_x", "pfx_z", P.strike_flag(F.col("des")).alias("c"),
     )
-    fact = pitches.join(atbats, ["gameName", "gameAtBatID"]).drop("gameName", "gameAtBatID")
+    keys = ["gameName", "gameAtBatID", *season_key]
+    fact = pitches.join(atbats, keys).drop("gameName", "gameAtBatID")
     if with_zone:
         top, bottom = F.col("sz_top"), F.col("sz_bot")
         fact = fact.withColumn("sz_mid", P.zone_midpoint(top, bottom)).withColumn(

@@ -2,8 +2,9 @@
 
 Windows are opened into days, so that a window join is an equality join on the
 day. The latest N pitches of a window are found by counting: per day, then per
-id slice of the one day the limit falls in, then inside one slice. No task ever
-sorts a whole window, and every later read keeps just the rows past a cut point.
+id slice of the one day the limit falls in, until a slice is small enough to
+sort. No task ever sorts a whole window, and every later read keeps just the rows
+past a cut point.
 """
 
 from collections.abc import Sequence
@@ -35,6 +36,24 @@ def assign_windows(fact: DataFrame, tasks: DataFrame, on: Sequence[str]) -> Data
     return fact.join(small_side(days), keys)
 
 
+def _narrow(rows: DataFrame, edges: DataFrame, slice_rows: int) -> DataFrame:
+    """Cut each edge's id range into slices and keep the slice its limit falls in."""
+    span = F.col("high") - F.col("low")
+    width = F.floor(span / F.ceil(F.col("rows") / F.lit(float(slice_rows)))) + 1
+    slice_of = F.floor((F.col("pitch_id") - F.col("low")) / width).alias("slice")
+    counts = rows.groupBy("model_key", "need", "game_date", slice_of).agg(
+        F.min("pitch_id").alias("low"), F.max("pitch_id").alias("high"), F.count("*").alias("rows")
+    )
+    higher = Window.partitionBy("model_key").orderBy(F.desc("slice")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    counts = counts.withColumn("above", F.coalesce(F.sum("rows").over(higher), F.lit(0)))
+    hit = (F.col("above") < F.col("need")) & (F.col("above") + F.col("rows") >= F.col("need"))
+    found = counts.where(hit).withColumn("need", F.col("need") - F.col("above"))
+    kept = [c for c in edges.columns if c not in ("need", "low", "high", "rows", "game_date")]
+    return edges.select(*kept).join(found.drop("slice", "above"), "model_key").select(*edges.columns)
+
+
 def recent_cutoffs(
     fact: DataFrame, tasks: DataFrame, on: Sequence[str], limit: int,
     slice_rows: int = SLICE_ROWS,
@@ -52,34 +71,20 @@ def recent_cutoffs(
     )
     days = open_days(tasks).select("model_key", *keys).join(daily, keys)
     days = days.withColumn("later", F.coalesce(F.sum("rows").over(by_day), F.lit(0)))
-    slices = F.ceil(F.col("rows") / F.lit(float(slice_rows)))
-    span = F.col("high") - F.col("low")
-    edge = materialise(
-        days.where((F.col("later") < limit) & (F.col("later") + F.col("rows") >= limit))
-        .select(
-            "model_key", *keys, (F.lit(limit) - F.col("later")).alias("need"), "low",
-            slices.alias("slices"), (F.floor(span / slices) + 1).alias("width"),
-        )
-    )
-    slice_of = F.floor((F.col("pitch_id") - F.col("low")) / F.col("width"))
-    rows = fact.select(*keys, "pitch_id").join(small_side(edge), keys).withColumn("slice", slice_of)
-    if edge.where(F.col("slices") > 1).isEmpty():
-        inside = rows
-    else:
-        above = Window.partitionBy("model_key").orderBy(F.desc("slice")).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        counts = rows.groupBy("model_key", "slice", "need").agg(F.count("*").alias("rows"))
-        counts = counts.withColumn("above", F.coalesce(F.sum("rows").over(above), F.lit(0)))
-        cut = materialise(
-            counts.where(
-                (F.col("above") < F.col("need")) & (F.col("above") + F.col("rows") >= F.col("need"))
-            ).select("model_key", "slice", (F.col("need") - F.col("above")).alias("need"))
-        )
-        inside = rows.drop("need").join(small_side(cut), ["model_key", "slice"])
+    reached = (F.col("later") < limit) & (F.col("later") + F.col("rows") >= limit)
+    need = (F.lit(limit) - F.col("later")).alias("need")
+    edges = materialise(days.where(reached).select("model_key", *keys, need, "low", "high", "rows"))
+
+    def edge_rows():
+        pitches = fact.select(*keys, "pitch_id").join(small_side(edges), keys)
+        return pitches.where(F.col("pitch_id").between(F.col("low"), F.col("high")))
+
+    # Ids are unique whole numbers, so slices shrink until one task can sort them.
+    while not edges.where(F.col("rows") > slice_rows).isEmpty():
+        edges = materialise(_narrow(edge_rows(), edges, slice_rows))
     by_id = Window.partitionBy("model_key").orderBy(F.desc("pitch_id"))
     return (
-        inside.withColumn("place", F.row_number().over(by_id))
+        edge_rows().withColumn("place", F.row_number().over(by_id))
         .where(F.col("place") == F.col("need"))
         .select("model_key", F.col("game_date").alias("cut_date"), F.col("pitch_id").alias("cut_id"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calledzone import schema as S
 from calledzone.plans import evaluation, repair, training, zones
+from calledzone.session import materialise
 from calledzone.sources import sinks
 from calledzone.sources.tables import GameTables
 
@@ -41,7 +42,9 @@ def refresh(
     repair.repair_umpires(store, tables, **umpire_options)
     models = store.current().where(F.col("season") == season)
 
+    columns = ("pitch_id", "umpire", "game_date", "season", "stand", "c", "pz", *S.ZONE_FEATURES)
     fact = evaluation.evaluation_fact(tables).where(F.col("season") == season)
+    fact = materialise(fact.select(*columns))
     area = zones.area_report(
         zones.net_area(tables, models), zones.season_bucket_area(fact, tables.games)
     )

@@ -117,11 +117,13 @@ def train(
 ) -> DataFrame:
     """Fit every task; one row per task, whatever came of it.
 
-    The columns the fit reads are written once, as the latest pitches of a window
-    are found in several reads.
+    The columns the fit reads are written once, for the tasks' seasons alone, as the
+    latest pitches of a window are found in several reads.
     """
     columns = {*kind.on, "game_date", "season", "pitch_id", "c", *kind.features}
     tasks = materialise(tasks)
+    seasons = [row["season"] for row in tasks.select("season").distinct().collect()]
+    fact = fact.where(F.col("season").isin(*seasons))
     fact = materialise(fact.select(*sorted(columns)))
     rows = training_rows(fact, tasks, kind, limit)
     points = fits.training_points(rows, kind.features)

@@ -21,6 +21,7 @@ SCHEMAS = {
         "l_linestatus string, l_shipdate timestamp_ntz"
     ),
 }
+SLOTS, ORDER_IDS = 64, 1 << 20
 FIRST_DAY = "1995-01-01"
 SEASONS = (1995, 2001)
 
@@ -59,19 +60,19 @@ def atbats(orders: DataFrame) -> DataFrame:
 
 
 def pitches(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """Lines of one order are few, as pitches of one at-bat are, so they may be numbered in place."""
-    lines = lineitem.selectExpr(
+    """Lines are numbered within slots of their order, so that a long order spreads over tasks."""
+    lines = lineitem.selectExpr("*", f"(l_partkey + l_suppkey) % {SLOTS} AS slot").selectExpr(
         "*",
         "(l_quantity - 25.5D) / 12.5D AS x",
         "1.0D + (l_partkey % 101) * 0.05D AS z",
         """row_number() OVER (
-             PARTITION BY l_orderkey
+             PARTITION BY l_orderkey, slot
              ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
                       l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS line""",
     )
     lines = lines.selectExpr(
         "l_orderkey AS gameAtBatID",
-        "l_orderkey * 1000 + line AS gamedayPitchID",
+        f"l_orderkey * {ORDER_IDS} + (line - 1) * {SLOTS} + slot AS gamedayPitchID",
         "CASE WHEN l_partkey % 97 <> 0 THEN x END AS px",
         "CASE WHEN l_suppkey % 89 <> 0 THEN z END AS pz",
         """CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'In play, out(s)'

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from calledzone import schema as S
+from calledzone.session import materialise
 
 REMOVED = "removed"
+REPORT_FILE_ROWS = 1_000_000
 
 
 def overwrite_seasons(df: DataFrame, path: str) -> None:
@@ -46,12 +48,12 @@ def write_batter_zones(zones: DataFrame, path: str) -> None:
 
 
 def write_report(report: DataFrame, folder: str, name: str, day: date) -> str:
-    """Space-separated text with a header, one folder per report and day.
-
-    Reports hold one row per season, hand and umpire, so one file suffices.
-    """
+    """Space-separated text with a header, one folder per report and day; one file while it is short."""
     path = f"{folder}/{name}/run_date={day.isoformat()}"
-    report.coalesce(1).write.mode("overwrite").csv(
+    report = materialise(report)
+    if report.limit(REPORT_FILE_ROWS + 1).count() <= REPORT_FILE_ROWS:
+        report = report.repartition(1)
+    report.write.mode("overwrite").csv(
         path, sep=" ", header=True, quote="", emptyValue="", nullValue="NA"
     )
     return path

@@ -88,9 +88,8 @@ def ingest(tables: GameTables, root: str) -> GameTables:
     stored = {}
     for name in ("games", "umpires", "atbats", "pitches"):
         path = f"{root}/{name}"
-        with_calendar(getattr(tables, name)).write.mode("overwrite").partitionBy(
-            "season"
-        ).parquet(path)
+        dated = with_calendar(getattr(tables, name)).hint("rebalance", "season")
+        dated.write.mode("overwrite").partitionBy("season").parquet(path)
         stored[name] = spark.read.parquet(path)
     return GameTables(**stored, zones=tables.zones)
 

@@ -32,12 +32,13 @@ atbats AS (
 lines AS (
   SELECT *, (l_quantity - 25.5::DOUBLE) / 12.5::DOUBLE AS px0,
          1.0::DOUBLE + (l_partkey % 101) * 0.05::DOUBLE AS pz0,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+         (l_partkey + l_suppkey) % 64 AS slot,
+         row_number() OVER (PARTITION BY l_orderkey, (l_partkey + l_suppkey) % 64 ORDER BY l_linenumber, l_partkey, l_suppkey,
            l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS rn
   FROM lineitem
 ),
 pitches AS (
-  SELECT l_orderkey AS gameAtBatID, l_orderkey * 1000 + rn AS pitch_id,
+  SELECT l_orderkey AS gameAtBatID, l_orderkey * 1048576 + (rn - 1) * 64 + slot AS pitch_id,
          CASE WHEN l_partkey % 97 <> 0 THEN px0 END AS px,
          CASE WHEN l_suppkey % 89 <> 0 THEN pz0 END AS pz,
          l_discount * 100.0::DOUBLE - 5.0::DOUBLE AS pfx_x, l_tax * 100.0::DOUBLE AS pfx_z,

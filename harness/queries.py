@@ -258,18 +258,23 @@ def batter_model_lookup(spark, root):
     return found.select("id", "year", "model_key", "n_train", "status")
 
 
-def _net_area(tables: GameTables) -> DataFrame:
-    return Z.net_area(tables, sample_models.season_nets(tables, scored_fact(tables)))
+def _zone_fact(tables: GameTables) -> DataFrame:
+    columns = ("game_date", "stand", "c", "pz", *S.ZONE_FEATURES)
+    return materialise(scored_fact(tables).select(*columns))
 
 
 def nn_area(spark, root):
-    return rounded(_net_area(sample.load(spark, root)), 4, "area")
+    tables = sample.load(spark, root)
+    nets = sample_models.season_nets(tables, scored_fact(tables))
+    return rounded(Z.net_area(tables, nets), 4, "area")
 
 
 def area_report(spark, root):
     tables = sample.load(spark, root)
-    bucket = Z.season_bucket_area(scored_fact(tables), tables.games)
-    return rounded(Z.area_report(_net_area(tables), bucket), 4, "my_area", "diff")
+    fact = _zone_fact(tables)
+    net_area = Z.net_area(tables, sample_models.season_nets(tables, fact))
+    report = Z.area_report(net_area, Z.season_bucket_area(fact, tables.games))
+    return rounded(report, 4, "my_area", "diff")
 
 
 def _roc(tables: GameTables) -> DataFrame:

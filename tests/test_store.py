@@ -178,3 +178,11 @@ def test_refresh_runs_and_can_be_repeated(spark, tables, tmp_path):
     zones = spark.read.parquet(paths.zones)
     assert zones.where("year < 1998").count() == 0 and zones.where("sz_top > sz_bot").count() > 0
     assert spark.read.parquet(paths.ucs).select("season").distinct().count() == 1
+
+
+def test_a_season_filter_skips_other_seasons(spark, tables, tmp_path):
+    stored = ingest(tables, str(tmp_path)).with_zones(tables.zones)
+    one = called_pitches(stored).where(F.col("season") == SEASON)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    pitches = [line for line in plan.splitlines() if "FileScan" in line and "gamedayPitchID" in line]
+    assert pitches and all(f"= {SEASON})" in p.split("PartitionFilters")[1] for p in pitches)

@@ -410,7 +410,7 @@ ORACLES = {
         GROUP BY ALL)"""),
     "batter_model_choice": query(f"""
       SELECT b.batter AS id, b.season AS year, b.stand,
-             coalesce(o.model_key, g.model_key) AS model_key, coalesce(o.n_train, g.n_train) AS n_train,
+             coalesce(o.model_key, g.model_key) AS model_key, coalesce(o.n_train, g.n_train, 0) AS n_train,
              CAST(o.entity_id IS NULL AS INT) AS generic
       FROM main_hand b
       LEFT JOIN (SELECT * FROM keyed_batters WHERE {USABLE}) o
@@ -444,8 +444,8 @@ ORACLES = {
                    max(all_pos) AS all_pos, max(all_neg) AS all_neg
             FROM running GROUP BY model)""", *ROC_CTES),
     "bad_umpire_models": query(f"""
-      SELECT model_key, kind, span, entity_id, season, d_s, d_e, stand, status,
-             round({CENTRE}, 6) AS p_centre
+      SELECT model_key, kind, span, coalesce(CAST(entity_id AS VARCHAR), 'generic') AS entity,
+             season, d_s, d_e, stand, status, round({CENTRE}, 6) AS p_centre
       FROM (SELECT {key('ump_generic')} AS model_key, 'ump_generic' AS kind, span,
                    CAST(NULL AS BIGINT) AS entity_id, season, d_s, d_e, stand, status, w_hidden, w_out
             FROM season_nets
@@ -455,8 +455,8 @@ ORACLES = {
             FROM individual_nets)
       WHERE status <> 'ok' OR {CENTRE} < 0.8""", SEASON_NETS, INDIVIDUAL_NETS),
     "bad_batter_models": query(f"""
-      SELECT model_key, kind, span, entity_id, season, d_s, d_e, stand, status,
-             CASE WHEN status = 'ok' THEN round({WORST}, 6) END AS p_worst
+      SELECT model_key, kind, span, coalesce(CAST(entity_id AS VARCHAR), 'generic') AS entity,
+             season, d_s, d_e, stand, status, CASE WHEN status = 'ok' THEN round({WORST}, 6) END AS p_worst
       FROM keyed_batters WHERE status <> 'ok' OR {WORST} > 0.1""", BATTER_NETS),
     "heatmap_zone": query(heat("season_nets", USABLE, (-80, 80), key("ump_generic")), SEASON_NETS),
     "heatmap_batter": query(
@@ -482,8 +482,8 @@ ORACLES = {
       FROM nets, range(1, 6) AS b(i) WHERE w_out IS NOT NULL
       """, SEASON_NETS, f"nets AS (SELECT *, {key('ump_generic')} AS model_key FROM season_nets)"),
     "pending_models": query(f"""
-      SELECT {key('ump_generic')} AS model_key, 'ump_generic' AS kind, span,
-             CAST(NULL AS BIGINT) AS entity_id, season, d_s, d_e, stand
+      SELECT {key('ump_generic')} AS model_key, 'ump_generic' AS kind, span, 'generic' AS entity,
+             season, d_s, d_e, stand
       FROM (SELECT season, span, d_s, d_e FROM month_w UNION ALL SELECT season, span, d_s, d_e FROM year_w), hands
       WHERE span = 'season' OR (season, d_s, d_e, stand) NOT IN
             (SELECT (season, d_s, d_e, stand) FROM month_nets)""", MONTH_NETS),

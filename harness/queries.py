@@ -29,13 +29,19 @@ BATTER_ROWS = 10
 POOLED_BATTER_ROWS = 500
 # Fits are bounded here so that the check ends; the jobs' own rules run far longer.
 QUICK_STEPS = 60
-KEY = ("kind", "span", "entity_id", "season", "d_s", "d_e", "stand")
+KEY = ("model_key", "kind", "span", "entity", "season", "d_s", "d_e", "stand")
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def with_entity(models: DataFrame) -> DataFrame:
+    """Entity ids as text, pooled models as 'generic'."""
+    entity = F.coalesce(F.col("entity_id").cast("string"), F.lit("generic"))
+    return models.withColumn("entity", entity)
+
+
 def scored_fact(tables: GameTables) -> DataFrame:
     return E.evaluation_fact(tables)
 
@@ -248,7 +254,7 @@ def batter_model_choice(spark, root):
     chosen = M.with_fallback(
         Q.batter_seasons(tables.atbats, 0), Q.main_hands(tables.atbats), own, pooled
     )
-    return chosen.select("id", "year", "stand", "pick.model_key", "pick.n_train", "generic")
+    return chosen.select("id", "year", "stand", "pick.model_key", F.coalesce("pick.n_train", F.lit(0)).alias("n_train"), "generic")
 
 
 def batter_model_lookup(spark, root):
@@ -323,12 +329,13 @@ def bad_umpire_models(spark, root):
     nets = sample_models.season_nets(tables, fact).unionByName(
         sample_models.individual_nets(tables, fact)
     )
-    return rounded(R.bad_umpire_models(nets), 6, "p_centre").select("model_key", *KEY, "status", "p_centre")
+    bad = with_entity(R.bad_umpire_models(nets))
+    return rounded(bad, 6, "p_centre").select(*KEY, "status", "p_centre")
 
 
 def bad_batter_models(spark, root):
-    bad = R.bad_batter_models(_batter_nets(sample.load(spark, root)))
-    return rounded(bad, 6, "p_worst").select("model_key", *KEY, "status", "p_worst")
+    bad = with_entity(R.bad_batter_models(_batter_nets(sample.load(spark, root))))
+    return rounded(bad, 6, "p_worst").select(*KEY, "status", "p_worst")
 
 
 def heatmap_zone(spark, root):
@@ -372,7 +379,7 @@ def pending_models(spark, root):
     tables = sample.load(spark, root)
     stored = sample_models.month_nets(tables, scored_fact(tables))
     tasks = T.monthly_tasks(tables.games).unionByName(T.yearly_tasks(tables.games))
-    return M.pending(tasks, stored)
+    return with_entity(M.pending(tasks, stored)).select(*KEY)
 
 
 def _quick(rule: fits.FitRule, **changes) -> fits.FitRule:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from calledzone.session import materialise
+
 BANDS_PER_UNIT = 1000.0
 # Beyond any log-odds band of a double; for scores at or outside 0 and 1.
 OUTER_BAND = 1_000_000
@@ -35,9 +37,12 @@ def _running(long: DataFrame) -> DataFrame:
     grouped = long.groupBy("model", "score").agg(
         F.sum("c").alias("pos"), F.count("*").alias("rows")
     )
-    grouped = grouped.select(
-        "model", "score", _band(F.col("score")).alias("band"), "pos",
-        (F.col("rows") - F.col("pos")).alias("neg"),
+    # Read twice below; written once, so that the pitches are not scored twice.
+    grouped = materialise(
+        grouped.select(
+            "model", "score", _band(F.col("score")).alias("band"), "pos",
+            (F.col("rows") - F.col("pos")).alias("neg"),
+        )
     )
     bands = grouped.groupBy("model", "band").agg(
         F.sum("pos").alias("band_pos"), F.sum("neg").alias("band_neg")

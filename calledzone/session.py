@@ -41,10 +41,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write `df` once as a table in the shared folder, for results that several branches read.
 
     Unlike a plain checkpoint the table is columnar, so each reader takes just its
-    columns, and the planner knows its size.
+    columns, and the planner knows its size. All tables of a run lie in one folder,
+    which may be deleted once the run is over.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/calledzone-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/calledzone-{spark.sparkContext.applicationId}"
+    path = f"{run}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

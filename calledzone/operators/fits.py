@@ -209,16 +209,21 @@ def _fit_partition(
             return pd.DataFrame(_fit_block(pdf, features, rule), columns=S.FIT.fieldNames())
 
     waiting: list[pd.DataFrame] = []
+    size = 0
     for batch in batches:
+        if batch.empty:
+            continue
         waiting.append(batch)
-        if sum(map(len, waiting)) < BLOCK_POINTS:
+        size += len(batch)
+        last = batch["model_key"].iloc[-1]
+        if size < BLOCK_POINTS or waiting[0]["model_key"].iloc[0] == last:
             continue
         block = pd.concat(waiting, ignore_index=True)
         # The last model may go on in the next batch.
-        open_model = block["model_key"] == block["model_key"].iloc[-1]
-        waiting = [block[open_model]]
-        if not open_model.all():
-            yield fit(block[~open_model])
+        unfinished = block["model_key"] == last
+        yield fit(block[~unfinished])
+        waiting = [block[unfinished]]
+        size = len(waiting[0])
     if waiting:
         yield fit(pd.concat(waiting, ignore_index=True))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calledzone import schema as S
-from calledzone.session import materialise, spread
+from calledzone.session import materialise, ship_package, spread
 
 # Points of one model held by one task: about 100 MB at four inputs.
 TASK_POINTS = 2_000_000
@@ -279,6 +279,7 @@ def fit_nets(
     def in_task(batches):
         return _fit_partition(batches, features, rule)
 
+    ship_package(points.sparkSession)
     bounded = most_points is not None and most_points <= task_points
     across = None
     if not bounded or rule.min_rows > 1:

@@ -1,7 +1,9 @@
 """Session settings, and the two ways a job may shorten or shrink its own plan."""
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,19 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for functions that run in their Python workers."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="calledzone-code-")) / package.name
+        sc.addPyFile(shutil.make_archive(str(archive), "zip", package.parent, package.name))
+        _shipped.add(sc.applicationId)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Place few but costly rows on all cores.
 

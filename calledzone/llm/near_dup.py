@@ -8,9 +8,10 @@ with their Jaccard similarity as probability, and as concentrated as independent
 1. Texts with equal shingle sets are one class; the class of the smallest id stands for them.
 2. Coordinates are cut into bands. Band values met once are ruled out by a Bloom filter, without a shuffle.
 3. Every class is compared with the leader it shares most bands with; links are confirmed on the full sets.
-4. Buckets that still hold several components are searched again, between components only: first the
-   likeliest partner of each class, then all that remain. Sketches rule out pairs
-   far below the threshold (six standard deviations); links inside a component are implied and never made.
+4. Buckets that still hold several components are searched again, between components only. First each class
+   meets its likeliest partner there. Then all that remain are compared block by block on their full sets, inside the
+   tasks, which return only the links that join components. Sketches rule out pairs far below the threshold (six
+   standard deviations). Links inside a component are implied, and pairs of a group are never listed.
 
 A pair at the threshold shares no band with a probability of about 2e-6, less above it. Nothing else loses links.
 
@@ -41,6 +42,7 @@ COORDINATES = BANDS * ROWS
 # A pair at the threshold has this share of equal coordinates or less once in 10^8.
 LIKELY = 0.58
 BLOCK = 512
+BITS_MEMORY = 64 << 20
 STEP = 0x9E3779B97F4A7C15
 
 
@@ -126,50 +128,94 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return keep(common.filter(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b"), "verified")
 
 
-def _likely_pairs(best_only: bool):
-    def block(table: pa.Table) -> pa.Table:
-        cid = table.column("cid").to_numpy()
-        comp = table.column("comp").to_numpy()
-        part = table.column("part").to_numpy()
-        raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(cid), COORDINATES)
-        low, high = part.min(), part.max()
-        found: dict[tuple[int, int], None] = {}
-        for i in np.flatnonzero(part == low):
-            others = np.flatnonzero((comp != comp[i]) & ((part == high) if low != high else True))
-            if not len(others):
-                continue
+def _others(table: pa.Table):
+    """For each row of a block, the rows of other components that its sketch makes likely, and how alike they are."""
+    comp = table.column("comp").to_numpy()
+    part = table.column("part").to_numpy()
+    raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(comp), COORDINATES)
+    low, high = part.min(), part.max()
+    for i in range(len(comp)):
+        # Rows of one part are compared in the block that is theirs alone.
+        others = np.flatnonzero((comp != comp[i]) & ((part != part[i]) if low != high else True))
+        if len(others):
             alike = (raw[others] == raw[i]).mean(axis=1)
             good = alike >= LIKELY
-            others, alike = others[good], alike[good]
-            if best_only and len(others):
-                order = np.lexsort((-alike, comp[others]))
-                first = np.unique(comp[others][order], return_index=True)[1]
-                others = others[order][first]
-            for j in others:
-                found[(max(cid[i], cid[j]), min(cid[i], cid[j]))] = None
-        return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()),
-                         "b": pa.array([int(b) for _, b in found], pa.int64())})
-
-    return block
+            if good.any():
+                yield i, others[good], alike[good]
+
+
+def _best_partners(table: pa.Table) -> pa.Table:
+    """The likeliest partner of each row: one pair a row at most."""
+    cid, found = table.column("cid").to_numpy(), {}
+    for i, others, alike in _others(table):
+        j = others[np.lexsort((cid[others], -alike))[0]]
+        found[max(cid[i], cid[j]), min(cid[i], cid[j])] = None
+    return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()),
+                     "b": pa.array([int(b) for _, b in found], pa.int64())})
+
+
+def _open_rows(table: pa.Table) -> pa.Table:
+    """Rows that have a likely partner in another component."""
+    rows = [i for i, _, _ in _others(table)]
+    return table.select(["h", "cid", "comp"]).take(pa.array(rows, pa.int64()))
+
+
+def _common_sizes(flat: np.ndarray, sizes: np.ndarray):
+    """A function of a row and other rows that gives the sizes of their common sets."""
+    ends = np.cumsum(sizes)
+    distinct, place = np.unique(flat, return_inverse=True)
+    width = (len(distinct) + 7) // 8
+    if width * len(sizes) <= BITS_MEMORY:
+        bits = np.zeros((len(sizes), width), np.uint8)
+        np.bitwise_or.at(bits, (np.repeat(np.arange(len(sizes)), sizes), place >> 3), (1 << (place & 7)).astype(np.uint8))
+        return lambda i, others: np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+    rows = [flat[end - size:end] for end, size in zip(ends, sizes)]
+    return lambda i, others: np.array([len(np.intersect1d(rows[i], rows[j], assume_unique=True)) for j in others])
+
+
+def _links_between(table: pa.Table) -> pa.Table:
+    """Links between components of a block, confirmed on the full sets: enough of them to join what belongs together."""
+    cid, comp, part = (table.column(n).to_numpy() for n in ("cid", "comp", "part"))
+    arrays = table.column("shingles").combine_chunks()
+    sizes = np.diff(arrays.offsets.to_numpy())
+    common = _common_sizes(arrays.flatten().to_numpy(), sizes)
+    comp, mixed, found = comp.copy(), part.min() != part.max(), []
+    for i in range(len(cid)):
+        others = np.flatnonzero((comp != comp[i]) & ((part != part[i]) if mixed else True))
+        others = others[100 * np.minimum(sizes[others], sizes[i]) >= PERCENT * np.maximum(sizes[others], sizes[i])]
+        if not len(others):
+            continue
+        both = common(i, others)
+        for j in others[100 * both >= PERCENT * (sizes[others] + sizes[i] - both)]:
+            if comp[j] != comp[i]:
+                found.append((int(cid[i]), int(cid[j])))
+                comp[comp == comp[j]] = comp[i]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def _pairs_between(bands: DataFrame, classes: DataFrame, comps: DataFrame, best_only: bool) -> DataFrame:
-    """Likely pairs of different components that share a bucket, from blocks of bounded size.
+def _mixed(members: DataFrame) -> DataFrame:
+    """Rows (h, cid, comp) of the buckets that hold several components, dealt into blocks of bounded size.
 
     A bucket of many blocks is compared block by block; each of its rows then goes to as many tasks.
     """
-    placed = bands.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select(
-        "cid", "h", F.coalesce("component", "cid").alias("comp"))
-    mixed = keep(placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                         F.count(F.lit(1)).alias("n")).filter("lo < hi"), "mixed")
-    rows = placed.join(mixed.select("h", "n"), "h").join(classes.select("cid", "sketch"), "cid")
-    rows = rows.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
+    mixed = keep(members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                          F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", "n"), "mixed")
+    rows = members.join(mixed, "h").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
         "part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-    blocks = spread.select("h", "lo", "hi", "cid", "comp", "part", "sketch")
-    pairs = blocks.groupBy("h", "lo", "hi").applyInArrow(_likely_pairs(best_only), "a long, b long")
-    return keep(pairs.distinct(), "pairs")
+    return spread.select("h", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
+                         "cid", "comp", "part")
+
+
+def _placed(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    return shared.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select(
+        "h", "cid", F.coalesce("component", "cid").alias("comp"))
+
+
+def _search(shared: DataFrame, classes: DataFrame, comps: DataFrame, compare, schema: str) -> DataFrame:
+    """What `compare` finds in the blocks of mixed buckets, by sketches."""
+    blocks = _mixed(_placed(shared, comps)).join(classes.select("cid", "sketch"), "cid")
+    return keep(blocks.groupBy("h", "lo", "hi").applyInArrow(compare, schema).distinct(), "found")
 
 
 def find_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,12 +239,15 @@ def find_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(first, sets)
     comps = keep(components(links), "components")
     members = shared.select("cid", "h")
-    for best_only in (True, False):
-        pairs = _pairs_between(members, classes, comps, best_only)
-        if pairs.isEmpty():
-            break
+    pairs = _search(members, classes, comps, _best_partners, "a long, b long")
+    if not pairs.isEmpty():
         links = links.unionByName(_verified(pairs, sets))
         comps = keep(components(links), "components")
+        rest = _search(members, classes, comps, _open_rows, "h long, cid long, comp long")
+        blocks = _mixed(rest).join(sets, "cid")
+        more = keep(blocks.groupBy("h", "lo", "hi").applyInArrow(_links_between, "a long, b long"), "links")
+        if not more.isEmpty():
+            comps = keep(components(links.unionByName(more)), "components")
     discard(sets)
     named = classes.select("digest", "cid").join(comps.withColumnRenamed("id", "cid"), "cid", "left").select(
         "digest", F.coalesce("component", "cid").alias("component_id"))

@@ -79,8 +79,13 @@ def failing(tested: DataFrame) -> DataFrame:
 
 
 def pending(tasks: DataFrame, models: DataFrame) -> DataFrame:
-    """Tasks no stored model answers yet."""
-    return tasks.join(models.select("model_key"), "model_key", "left_anti")
+    """Tasks no stored model answers yet.
+
+    A failed umpire fit is stored as such and stays; a batter without a usable net is tried again, as
+    pitches may have been added.
+    """
+    stays = ~F.col("kind").isin(S.BATTER, S.BATTER_GENERIC) | (F.col("status") == "ok")
+    return tasks.join(models.where(stays).select("model_key"), "model_key", "left_anti")
 
 
 def model_edges(models: DataFrame) -> DataFrame:

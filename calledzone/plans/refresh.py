@@ -36,7 +36,9 @@ def refresh(
     limits = zones.batter_zones(tables.atbats, store.current(), after_season=season - 1)
     sinks.write_batter_zones(limits, paths.zones)
     known = spark.read.schema(S.BATTER_ZONES).parquet(paths.zones)
-    tables = tables.with_zones(known)
+    # Seasons the store has no zones of keep those they came with, so that older nets can be refitted.
+    others = tables.zones.join(F.broadcast(known.select("year").distinct()), "year", "left_anti")
+    tables = tables.with_zones(known.unionByName(others.select(*known.columns)))
 
     training.batch_yearly(store, tables, [season], **umpire_options)
     repair.repair_umpires(store, tables, **umpire_options)

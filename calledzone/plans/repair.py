@@ -42,7 +42,8 @@ def repair(store: ModelStore, bad: DataFrame, fact: DataFrame, kinds, **options)
 
 
 def repair_umpires(store: ModelStore, tables: GameTables, **options) -> int:
-    bad = bad_umpire_models(store.current())
+    """Umpires with too few pitches never had a model, so there is none to repair."""
+    bad = bad_umpire_models(store.current()).where(F.col("status") != "too_few_rows")
     return repair(store, bad, training.umpire_training_fact(tables), UMPIRE_KINDS, **options)
 
 

@@ -75,19 +75,19 @@ def season_nets(tables: GameTables, fact: DataFrame) -> DataFrame:
 
 
 def month_nets(tables: GameTables, fact: DataFrame, movement: bool = False) -> DataFrame:
-    """Pooled month nets without June, or movement nets without July."""
-    kind, features, missing = (
-        (S.UMPIRE_MOVEMENT, S.MOVEMENT_FEATURES, 7) if movement
-        else (S.UMPIRE_GENERIC, S.ZONE_FEATURES, 6)
+    """Pooled month nets, or movement nets."""
+    kind, features = (
+        (S.UMPIRE_MOVEMENT, S.MOVEMENT_FEATURES) if movement
+        else (S.UMPIRE_GENERIC, S.ZONE_FEATURES)
     )
-    tasks = training.monthly_tasks(tables.games, kind).where(F.month("d_e") != missing)
+    tasks = training.monthly_tasks(tables.games, kind)
     rows = assign_windows(fact, tasks, ("stand",))
     return _models(tasks, rows, features)
 
 
 def individual_nets(tables: GameTables, fact: DataFrame) -> DataFrame:
-    """Year-to-date nets of every third umpire; every tenth umpire's is bad."""
-    tasks = training.individual_tasks(tables, last_season=9999).where(F.col("entity_id") % 3 == 0)
+    """Year-to-date nets; every tenth umpire's is bad."""
+    tasks = training.individual_tasks(tables, last_season=9999)
     tasks = materialise(tasks)
     rows = assign_windows(fact, tasks.withColumn("umpire", F.col("entity_id")), ("umpire", "stand"))
     bias = f"CASE WHEN entity_id % 10 = 6 THEN {BAD_UMPIRE_BIAS}D ELSE {OUT_BIAS}D END"

@@ -5,6 +5,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from calledzone import schema as S
@@ -44,14 +45,16 @@ def replace_umpire_roc(scores: DataFrame, path: str) -> None:
 
 
 def write_batter_zones(zones: DataFrame, path: str) -> None:
-    zones.select(*S.BATTER_ZONES.fieldNames()).write.mode("overwrite").parquet(path)
+    """Replace the zones of the seasons given; those of other seasons stay."""
+    rows = zones.select(*S.BATTER_ZONES.fieldNames())
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
 def write_report(report: DataFrame, folder: str, name: str, day: date) -> str:
     """Space-separated text with a header, one folder per report and day; one file while it is short."""
     path = f"{folder}/{name}/run_date={day.isoformat()}"
     report = materialise(report)
-    if report.limit(REPORT_FILE_ROWS + 1).count() <= REPORT_FILE_ROWS:
+    if report.count() <= REPORT_FILE_ROWS:
         report = report.repartition(1)
     report.write.mode("overwrite").csv(
         path, sep=" ", header=True, quote="", emptyValue="", nullValue="NA"
@@ -88,8 +91,11 @@ class ModelStore:
     def current(self) -> DataFrame:
         """Every stored model in its newest version, failed fits included."""
         try:
-            rows = self.spark.read.parquet(self.path)
-        except AnalysisException:
+            # With its schema given, a folder without rows is an empty store and a broken one an error.
+            rows = self.spark.read.schema(StructType([*S.MODELS, StructField("version", LongType())])).parquet(self.path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], S.MODELS)
         names = S.MODELS.fieldNames()
         newest = rows.groupBy("kind", "season", "model_key").agg(

@@ -169,13 +169,13 @@ SEASON_NETS = "season_nets AS MATERIALIZED (" + boxed(
 MONTH_NETS = "month_nets AS MATERIALIZED (" + boxed(
     f"""SELECT w.season, span, d_s, d_e, month_day, stand, {centres('pz_ratio')}
         FROM fact JOIN month_w w ON game_date >= d_s AND game_date < d_e
-        WHERE month(d_e) <> 6 GROUP BY ALL""",
+        GROUP BY ALL""",
     1.0, "-21.0",
 ) + ")"
 MOVEMENT_NETS = "movement_nets AS MATERIALIZED (" + boxed(
     f"""SELECT w.season, span, d_s, d_e, month_day, stand, {centres('pz_ratio')}
         FROM fact JOIN month_w w ON game_date >= d_s AND game_date < d_e
-        WHERE month(d_e) <> 7 GROUP BY ALL""",
+        GROUP BY ALL""",
     1.0, "-21.0", extra=", 0.05::DOUBLE, -0.05::DOUBLE",
 ) + ")"
 INDIVIDUAL_TASKS = """individual_tasks AS (
@@ -188,7 +188,7 @@ INDIVIDUAL_NETS = INDIVIDUAL_TASKS + ", individual_nets AS MATERIALIZED (" + box
     f"""SELECT t.season, span, d_s, d_e, month_day, entity_id, t.stand, {centres('pz_ratio')}
         FROM fact f JOIN individual_tasks t
           ON f.umpire = t.entity_id AND f.stand = t.stand AND game_date >= d_s AND game_date < d_e
-        WHERE entity_id % 3 = 0 GROUP BY ALL""",
+        GROUP BY ALL""",
     1.0, "CASE WHEN entity_id % 10 = 6 THEN -30.0 ELSE -21.0 END",
 ) + ")"
 BATTER_NETS = "batter_nets AS MATERIALIZED (" + boxed(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from calledzone import schema as S
 from calledzone.operators import fits
+from calledzone.operators.models import pending
 from calledzone.operators.pitches import called_pitches
 from calledzone.plans import evaluation as E
 from calledzone.plans import repair, training
@@ -186,3 +187,19 @@ def test_a_season_filter_skips_other_seasons(spark, tables, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     pitches = [line for line in plan.splitlines() if "FileScan" in line and "gamedayPitchID" in line]
     assert pitches and all(f"= {SEASON})" in p.split("PartitionFilters")[1] for p in pitches)
+
+
+def test_only_usable_batter_nets_count_as_stored(spark):
+    tasks = spark.createDataFrame([("a", S.BATTER), ("b", S.BATTER), ("u", S.UMPIRE_GENERIC)], "model_key string, kind string")
+    stored = spark.createDataFrame(
+        [("a", S.BATTER, "too_few_rows"), ("b", S.BATTER, "ok"), ("u", S.UMPIRE_GENERIC, "not_converged")],
+        "model_key string, kind string, status string")
+    assert [r.model_key for r in pending(tasks, stored).collect()] == ["a"]
+
+
+def test_zones_of_other_seasons_stay(spark, tmp_path):
+    path = str(tmp_path / "zones")
+    row = "batter int, year int, sz_top double, sz_bot double, generic int"
+    for year, top in ((1996, 3.0), (1998, 3.1), (1998, 3.2)):
+        sinks.write_batter_zones(spark.createDataFrame([(7, year, top, 1.5, 0)], row), path)
+    assert sorted((r.year, r.sz_top) for r in spark.read.parquet(path).collect()) == [(1996, 3.0), (1998, 3.2)]

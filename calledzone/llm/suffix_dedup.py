@@ -10,8 +10,10 @@ Whether a window occurs elsewhere is read from the parse and the dictionary toge
 1. Phrases none of whose halves around the trigger occurs twice hold no repeated window and are left out, by a
    Bloom filter inside the scan.
 2. A phrase that stands in the parse twice or more repeats all its windows; only its entry in the dictionary goes on.
-3. Suffixes of dictionary entries (windows at one place relative to the trigger) are ranked by their first LENGTH bytes, coarse
-   blocks of places first, single windows only where a block is shared. Suffixes of equal rank are repeated.
+3. The same is done for blocks of neighbouring windows of dictionary entries: blocks whose common bytes are met once are
+   left out, blocks that are equal as a whole are repeated, and one of each goes on.
+4. Suffixes of what is left (windows at one place relative to the trigger) are ranked by their first LENGTH bytes. Suffixes of
+   equal rank are repeated.
 
 The order among different suffixes does not matter for removal, so ranks are 128-bit fingerprints instead of positions in a
 lexicographic suffix array, which would put all entries that share a trigger into one task; counts of
@@ -41,7 +43,7 @@ LENGTH, GRAM, BLOCK = 200, 16, 16
 REACH = LENGTH - GRAM
 HALF = REACH // 2
 FILTER_BITS = 1 << 27
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 
 _RANDOM = np.random.default_rng(99)
 _BYTES = [_RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) for _ in range(2)]
@@ -132,14 +134,18 @@ def _known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def _block_hashes(first, last, trigger, ends_at, hashes: Hashes):
-    """For each block of places of each phrase: phrase, place block, hash of what its windows have in common."""
+def _block_hashes(first, last, trigger, hashes: Hashes):
+    """For each block of places of each phrase: phrase, hash of what its windows have in common, hash of the whole."""
     low, high = (trigger - last) // BLOCK, (trigger - first) // BLOCK
     number = high - low + 1
     phrase = np.repeat(np.arange(len(first)), number)
     block = np.arange(len(phrase)) - np.repeat(np.cumsum(number) - number, number) + low[phrase]
     start = trigger[phrase] - BLOCK * block
-    return phrase, block, hashes.of(start, start - (BLOCK - 1) + LENGTH) ^ block.astype(np.uint64)
+    common = hashes.of(start, start - (BLOCK - 1) + LENGTH) ^ block.astype(np.uint64)
+    begin = np.maximum(first[phrase], start - (BLOCK - 1))
+    end = np.minimum(last[phrase], start)
+    shape = mix(((trigger[phrase] - begin) * LENGTH + (trigger[phrase] - end)).astype(np.uint64))
+    return phrase, common, hashes.of(begin, end + LENGTH) ^ shape
 
 
 def _parse(bits):
@@ -159,15 +165,16 @@ def _parse(bits):
             if not len(first):
                 continue
             second = Hashes(data, 1)
-            phrase, _, blocks = _block_hashes(first, last, trigger, ends, hashes)
+            phrase, common, whole = _block_hashes(first, last, trigger, hashes)
             offsets = np.searchsorted(phrase, np.arange(len(first) + 1)).astype(np.int32)
+            blocks = pa.StructArray.from_arrays([pa.array(x.view(np.int64)) for x in (common, whole)], names=["h", "g"])
             base = starts[owner]
             shape = ((trigger - first) * LENGTH + (trigger - last)).astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(owner)), pa.array((first - base).astype(np.int32)),
                  pa.array((last - base).astype(np.int32)), pa.array((trigger - base).astype(np.int32)),
                  pa.array((hashes.of(first, last + LENGTH) ^ mix(shape)).view(np.int64)), pa.array(second.of(first, last + LENGTH).view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(blocks.view(np.int64)))],
+                 pa.ListArray.from_arrays(pa.array(offsets), blocks)],
                 names=["doc_id", "first", "last", "trigger", "f1", "f2", "blocks"])
     return run
 
@@ -211,21 +218,31 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     filter_ = spark.sparkContext.broadcast(_bitmap(map_arrow(texts, _half_hashes, "h long"), bits))
     parse = keep(map_arrow(
         texts, _parse(filter_),
-        "doc_id long, first int, last int, trigger int, f1 long, f2 long, blocks array<long>"), "parse")
+        "doc_id long, first int, last int, trigger int, f1 long, f2 long, blocks array<struct<h: long, g: long>>"), "parse")
     entry = F.struct("doc_id", "first", "last", "trigger", "blocks")
     dictionary = keep(parse.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(entry).alias("entry")), "dictionary")
     repeated = dictionary.filter("n > 1").select("f1", "f2")
     whole = parse.join(keep(repeated, "repeated"), ["f1", "f2"], "left_semi").select(
         "doc_id", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
     low = F.floor((F.col("entry.trigger") - F.col("entry.last")) / BLOCK)
-    shared = dictionary.filter("entry.doc_id is not null").select(
+    each = dictionary.filter("entry.doc_id is not null").select(
         (F.col("n") == 1).alias("once"), "entry.doc_id", "entry.first", "entry.last", "entry.trigger", low.alias("low"),
-        F.posexplode("entry.blocks").alias("at", "h"))
-    counts = shared.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bool_or("once").alias("any_once"))
-    # A block met once has no equal; one met in repeated phrases only is covered already.
-    hashes = keep(counts.filter("n > 1 and any_once").select("h"), "blocks")
-    entries = shared.join(hashes, "h", "left_semi").select(
-        "doc_id", F.struct("first", "last", "trigger", (F.col("low") + F.col("at")).cast("int").alias("block"), "once").alias("entry"))
+        F.posexplode("entry.blocks").alias("at", "b"))
+    each = each.select("once", "doc_id", "first", "last", "trigger", (F.col("low") + F.col("at")).cast("int").alias("block"), "b.h", "b.g")
+    # Common bytes met once have no equal; those met in repeated phrases only are covered already.
+    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bool_or("once").alias("any_once"))
+    shared = keep(each.join(keep(counts.filter("n > 1 and any_once").select("h"), "common"), "h", "left_semi"), "shared")
+    place = F.struct("doc_id", "first", "last", "trigger", "block", "once")
+    kinds = keep(shared.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("entry")), "kinds")
+    begin = F.greatest(F.col("first"), F.col("trigger") - BLOCK * F.col("block") - (BLOCK - 1))
+    stop = F.least(F.col("last"), F.col("trigger") - BLOCK * F.col("block")) + LENGTH
+    blocks = shared.filter("once").join(keep(kinds.filter("n > 1").select("h", "g"), "equal"), ["h", "g"], "left_semi").select(
+        "doc_id", begin.cast("int").alias("start"), stop.cast("int").alias("stop"))
+    single = (F.col("n") == 1) & F.col("entry.once")
+    open_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.bool_or(single).alias("any_single"))
+    entries = kinds.select("h", F.struct("entry.doc_id", "entry.first", "entry.last", "entry.trigger", "entry.block",
+                                         single.alias("once")).alias("entry")).join(
+        keep(open_.filter("n > 1 and any_single").select("h"), "open"), "h", "left_semi").select("entry.doc_id", "entry")
     by_text = keep(entries.groupBy("doc_id").agg(F.collect_list("entry").alias("entries")), "entries")
     wanted = by_text.select("doc_id")
     met = bloom.within(texts, "doc_id", wanted, by_text.count()).join(by_text, "doc_id")
@@ -233,9 +250,9 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                               "doc_id long, start int, once boolean, f1 long, f2 long"), "suffixes")
     ranks = keep(suffixes.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.bool_or("once").alias("any_once"))
                  .filter("n > 1 and any_once").select("f1", "f2"), "ranks")
-    single = suffixes.filter("once").join(ranks, ["f1", "f2"], "left_semi").select(
+    windows = suffixes.filter("once").join(ranks, ["f1", "f2"], "left_semi").select(
         "doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
-    return whole.unionByName(single)
+    return whole.unionByName(blocks).unionByName(windows)
 
 
 def _merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,6 +19,7 @@ labels nothing is known: every score is 0. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -116,16 +117,22 @@ class Finder:
     def __init__(self, entries: list[str]):
         self.trie = Trie(entries)
         self.exact = {entry for entry in entries if not entry.endswith(STEM)}
-        # With one edit, a half of the entry stands unchanged at an end of the word.
-        self.heads = {e[:2] for e in self.exact}
-        self.tails = {e[-2:] for e in self.exact}
-        self.lengths = {n for e in self.exact for n in range(len(e) - 2, len(e) + 3)}
+        # One edit leaves the first or the last two characters as they are, two edits one of three parts.
+        short = [e for e in self.exact if Trie.allowed(len(e)) < 2]
+        long = [e for e in self.exact if Trie.allowed(len(e)) == 2]
+        self.heads, self.tails = {e[:2] for e in short}, {e[-2:] for e in short}
+        self.short_lengths = {n for e in short for n in range(len(e) - 1, len(e) + 2)}
+        self.long_lengths = {n for e in long for n in range(len(e) - 2, len(e) + 3)}
+        parts = {part for e in long for k in (len(e) // 3,) for part in (e[:k], e[k:2 * k], e[2 * k:])}
+        self.parts = re.compile("|".join(map(re.escape, sorted(parts))))
         self.clean: set[str] = set()
 
     def word(self, raw: str) -> list[tuple[int, int]]:
         word = strip(raw)
         found = self.trie.stems(word)
-        if len(word) in self.lengths and (word[:2] in self.heads or word[-2:] in self.tails or len(word) > 7):
+        size = len(word)
+        if (size in self.short_lengths and (word[:2] in self.heads or word[-2:] in self.tails)
+                or size in self.long_lengths and self.parts.search(word)):
             found += self.trie.search(word)
         return found
 

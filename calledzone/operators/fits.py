@@ -2,8 +2,8 @@
 
 Pitches at the same place are counted together before they move, which leaves the
 error and its gradient unchanged. A model whose points fit one task is fitted
-there, in step with its neighbours; one with more points stays spread out, and
-each descent step sums its gradient over the cluster. Both ways take the same steps.
+there; one with more points stays spread out, and each step sums its measurements
+over the cluster. Both ways run the same damped Gauss-Newton steps, a few hundred at most as a rule.
 """
 
 import zlib
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from calledzone import schema as S
 from calledzone.session import materialise, ship_package, spread
 
-# Points of one model held by one task: about 100 MB at four inputs.
-TASK_POINTS = 2_000_000
-# Points looked at together. Models up to the second size are fitted in step, as the
-# cost of a step on few points is not in the points.
+# Points of one model held by one task: about 150 MB while measured, at four inputs.
+TASK_POINTS = 200_000
+# Points looked at together.
 BLOCK_POINTS = 50_000
-SMALL_POINTS = 200
+# Steps damped more than this no longer move a weight: the error cannot be lowered further.
+DAMPING_END = 1e14
 
 
 @dataclass(frozen=True)
@@ -67,134 +67,92 @@ def training_points(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Points:
-    """Training points of several models, model after model; x has the bias column first."""
-
-    x: np.ndarray
-    n: np.ndarray
-    s: np.ndarray
-    model: np.ndarray
-
-    @classmethod
-    def of(cls, pdf: pd.DataFrame, features: Sequence[str], model: np.ndarray) -> "Points":
-        x = np.column_stack([np.ones(len(pdf)), pdf[list(features)].to_numpy(float)])
-        return cls(x, pdf["n"].to_numpy(float), pdf["s"].to_numpy(float), model)
-
-    def keep(self, models: np.ndarray) -> "Points":
-        """Points of the models marked, renumbered without gaps."""
-        rows = models[self.model]
-        renumbered = np.cumsum(models) - 1
-        return Points(self.x[rows], self.n[rows], self.s[rows], renumbered[self.model[rows]])
-
-
-def loss_and_gradient(w: np.ndarray, points: Points, units: int):
-    """Half the squared error over all pitches, and its gradient, one row per model."""
-    models, inputs = len(w), points.x.shape[1]
-    into = w[:, : units * inputs].reshape(models, units, inputs)
-    out = w[:, units * inputs :]
-    x, n, s = points.x, points.n, points.s
-    if models == 1:
-        into, out = into[0], out[0]
-        drive, bias, shares = x @ into.T, out[0], out[1:]
-    else:
-        drive = np.einsum("pi,pui->pu", x, into[points.model])
-        bias, shares = out[points.model, 0], out[points.model, 1:]
-    a = 1.0 / (1.0 + np.exp(-drive))
-    p = 1.0 / (1.0 + np.exp(-(bias + (a * shares).sum(axis=1))))
-    loss = 0.5 * (s * (1.0 - p) ** 2 + (n - s) * p**2)
-    d = (n * p - s) * p * (1.0 - p)
-    back = d[:, None] * shares * a * (1.0 - a)
-    if models == 1:
-        gradient = np.concatenate([(back.T @ x).ravel(), [d.sum()], a.T @ d])
-        return np.array([loss.sum()]), gradient[None]
-    parts = ((back[:, :, None] * x[:, None, :]).reshape(len(x), -1), d[:, None], d[:, None] * a)
-    starts = np.searchsorted(points.model, np.arange(models))
-    gradient = np.concatenate([np.add.reduceat(part, starts, axis=0) for part in parts], axis=1)
-    return np.add.reduceat(loss, starts), gradient
+def inputs_of(pdf: pd.DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs with the bias column first, pitches and strikes of each point."""
+    x = np.column_stack([np.ones(len(pdf)), pdf[list(features)].to_numpy(float)])
+    return x, pdf["n"].to_numpy(float), pdf["s"].to_numpy(float)
+
+
+def measure(w: np.ndarray, units: int, x: np.ndarray, n: np.ndarray, s: np.ndarray):
+    """Half the squared error over all pitches, its gradient, and the Gauss-Newton curvature."""
+    inputs = x.shape[1]
+    into, out = w[: units * inputs].reshape(units, inputs), w[units * inputs :]
+    with np.errstate(over="ignore"):
+        a = 1.0 / (1.0 + np.exp(-(x @ into.T)))
+        p = 1.0 / (1.0 + np.exp(-(out[0] + a @ out[1:])))
+    loss = 0.5 * (s * (1.0 - p) ** 2 + (n - s) * p**2).sum()
+    slope = p * (1.0 - p)
+    back = out[1:] * a * (1.0 - a)
+    through = np.column_stack(
+        [(back[:, :, None] * x[:, None, :]).reshape(len(x), -1), np.ones(len(x)), a]
+    ) * slope[:, None]
+    return loss, (n * p - s) @ through, through.T @ (through * n[:, None])
 
 
 class Descent:
-    """Resilient backpropagation with step-back (Riedmiller and Braun, 1993), many models at a time."""
+    """Damped Gauss-Newton (Marquardt, 1963) of one net, a measurement a step.
+
+    `w` is the place to measure next. A step that lowers the error is kept and the damping
+    relaxed; any other is taken back and damped more.
+    """
 
-    def __init__(self, keys: Sequence[str], rows: Sequence[int], inputs: int, rule: FitRule):
-        self.keys, self.inputs, self.max_steps = list(keys), inputs, rule.max_steps
-        self.units = rule.units(rows[0])
-        self.rows = np.array(rows)
-        self.threshold = np.array([rule.threshold(r) for r in rows])
+    def __init__(self, key: str, rows: int, inputs: int, rule: FitRule):
+        self.key, self.rows, self.inputs, self.max_steps = key, rows, inputs, rule.max_steps
+        self.units = rule.units(rows)
+        self.threshold = rule.threshold(rows)
         size = self.units * (inputs + 1) + self.units + 1
-        self.w = np.stack([
-            np.random.default_rng(zlib.crc32(key.encode()) + rule.seed).standard_normal(size)
-            for key in keys
-        ])
-        self.rate = np.full_like(self.w, 0.1)
-        self.last = np.zeros_like(self.w)
-        self.move = np.zeros_like(self.w)
-        self.sse = np.full(len(keys), np.nan)
-        self.steps = np.zeros(len(keys), int)
-        self.status = np.full(len(keys), "", dtype=object)
+        self.w = np.random.default_rng(zlib.crc32(key.encode()) + rule.seed).standard_normal(size)
+        self.best = self.w
+        self.sse, self.steps, self.status = np.nan, 0, ""
+        self.damping, self.raise_by = 1e-2, 2.0
+        self.gradient = self.curvature = None
 
     @property
-    def running(self) -> np.ndarray:
-        return self.status == ""
-
-    def advance(self, models: np.ndarray, loss: np.ndarray, gradient: np.ndarray) -> None:
-        """Stop those of `models` (by position) that are done; move the others one step."""
-        self.sse[models] = loss
-        broken = ~(np.isfinite(loss) & np.isfinite(gradient).all(axis=1))
-        settled = np.abs(gradient).max(axis=1) < self.threshold[models]
-        spent = self.steps[models] >= self.max_steps
-        for status, which in (("not_converged", spent), ("ok", settled), ("error", broken)):
-            self.status[models[which]] = status
-        on = ~(broken | settled | spent)
-        models, gradient = models[on], gradient[on]
-        turn = gradient * self.last[models]
-        rate = self.rate[models]
-        rate = np.where(turn > 0, rate * 1.2, np.where(turn < 0, rate * 0.5, rate))
-        self.rate[models] = rate = np.clip(rate, 1e-10, 0.1)
-        move = np.where(turn < 0, -self.move[models], -np.sign(gradient) * rate)
-        self.move[models] = move
-        self.last[models] = np.where(turn < 0, 0.0, gradient)
-        self.w[models] += move
-        self.steps[models] += 1
-
-    def fit_rows(self, features: Sequence[str]) -> list[dict]:
+    def running(self) -> bool:
+        return not self.status
+
+    def advance(self, loss: float, gradient: np.ndarray, curvature: np.ndarray) -> None:
+        """Take in what was measured at `w`; stop, or choose the next place."""
+        first = self.gradient is None
+        finite = bool(np.isfinite(loss) and np.isfinite(gradient).all())
+        if first and not finite:
+            self.sse, self.status = float(loss), "error"
+            return
+        if first or (finite and loss < self.sse):
+            self.best, self.sse, self.gradient, self.curvature = self.w, float(loss), gradient, curvature
+            self.damping, self.raise_by = max(self.damping / 3.0, 1e-9), 2.0
+        else:
+            self.damping *= self.raise_by
+            self.raise_by *= 2.0
+        if np.abs(self.gradient).max() < self.threshold:
+            self.status = "ok"
+        elif self.steps >= self.max_steps or self.damping > DAMPING_END:
+            self.status = "not_converged"
+        else:
+            scale = self.curvature.diagonal()
+            ridge = self.damping * (scale + 1e-6 * scale.max() + 1e-12)
+            self.w = self.best - np.linalg.solve(self.curvature + np.diag(ridge), self.gradient)
+            self.steps += 1
+
+    def fit_row(self, features: Sequence[str]) -> dict:
         split = self.units * (self.inputs + 1)
-        return [
-            {
-                "model_key": key, "features": list(features), "hidden": self.units,
-                "w_hidden": w[:split].reshape(self.units, self.inputs + 1).tolist(),
-                "w_out": w[split:].tolist(), "n_train": int(self.rows[i]),
-                "sse": float(self.sse[i]), "steps": int(self.steps[i]), "status": self.status[i],
-            }
-            for i, (key, w) in enumerate(zip(self.keys, self.w))
-        ]
-
-
-def _fit_in_step(pdf: pd.DataFrame, features: Sequence[str], rule: FitRule) -> list[dict]:
-    """Fit all models of `pdf`, which lie in it one after another and have as many units."""
-    rows = pdf.groupby("model_key", sort=False)["n"].sum()
-    descent = Descent(rows.index, rows.to_list(), len(features), rule)
-    points = Points.of(pdf, features, pd.factorize(pdf["model_key"])[0])
-    models = np.arange(len(rows))
-    while len(models):
-        descent.advance(models, *loss_and_gradient(descent.w[models], points, descent.units))
-        still = descent.running[models]
-        if not still.all():
-            models, points = models[still], points.keep(still)
-    return descent.fit_rows(features)
+        return {
+            "model_key": self.key, "features": list(features), "hidden": self.units,
+            "w_hidden": self.best[:split].reshape(self.units, self.inputs + 1).tolist(),
+            "w_out": self.best[split:].tolist(), "n_train": int(self.rows), "sse": self.sse,
+            "steps": self.steps, "status": self.status,
+        }
 
 
 def _fit_block(pdf: pd.DataFrame, features: Sequence[str], rule: FitRule) -> list[dict]:
-    """Small models with as many units in step, every other model alone."""
-    by_model = pdf.groupby("model_key")
-    units = by_model["n"].transform("sum").map(rule.units)
-    small = by_model["n"].transform("size") <= SMALL_POINTS
+    """Fit the models of `pdf` one after another."""
     fitted = []
-    for _, part in pdf[small].groupby(units[small]):
-        fitted += _fit_in_step(part, features, rule)
-    for _, part in pdf[~small].groupby("model_key"):
-        fitted += _fit_in_step(part, features, rule)
+    for key, part in pdf.groupby("model_key"):
+        points = inputs_of(part, features)
+        descent = Descent(key, int(points[1].sum()), len(features), rule)
+        while descent.running:
+            descent.advance(*measure(descent.w, descent.units, *points))
+        fitted.append(descent.fit_row(features))
     return fitted
 
 
@@ -205,8 +163,7 @@ def _fit_partition(
 
     def fit(pdf):
         pdf = pdf.sort_values(["model_key", *features], ignore_index=True)
-        with np.errstate(over="ignore"):
-            return pd.DataFrame(_fit_block(pdf, features, rule), columns=S.FIT.fieldNames())
+        return pd.DataFrame(_fit_block(pdf, features, rule), columns=S.FIT.fieldNames())
 
     waiting: list[pd.DataFrame] = []
     size = 0
@@ -231,38 +188,35 @@ def _fit_partition(
 def _fit_across(
     points: DataFrame, totals: dict[str, int], features: Sequence[str], rule: FitRule
 ) -> DataFrame:
-    """Fit models too large for a task; only weights and summed gradients reach the driver."""
+    """Fit models too large for a task; only weights and summed measurements reach the driver."""
     spark = points.sparkSession
-    descents = {key: Descent([key], [rows], len(features), rule) for key, rows in totals.items()}
-    size = max(d.w.shape[1] for d in descents.values())
-    one = np.array([0])
-    while weights := {key: (d.w, d.units) for key, d in descents.items() if d.running.all()}:
+    descents = {key: Descent(key, rows, len(features), rule) for key, rows in totals.items()}
+    while places := {key: (d.w, d.units) for key, d in descents.items() if d.running}:
 
         def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums: dict[str, np.ndarray] = {}
             for batch in batches:
                 for key, part in batch.groupby("model_key"):
-                    if key not in weights:
+                    if key not in places:
                         continue
-                    w, units = weights[key]
-                    with np.errstate(over="ignore"):
-                        loss, gradient = loss_and_gradient(
-                            w, Points.of(part, features, np.zeros(len(part), int)), units
-                        )
-                    sums[key] = sums.get(key, 0.0) + np.concatenate([loss, gradient[0]])
+                    loss, gradient, curvature = measure(*places[key], *inputs_of(part, features))
+                    sums[key] = sums.get(key, 0.0) + np.concatenate([[loss], gradient, curvature.ravel()])
             yield pd.DataFrame(
                 [(key, both.tolist()) for key, both in sums.items()], columns=["model_key", "sums"]
             )
 
         parts = points.mapInPandas(shares, "model_key string, sums array<double>")
-        summed = parts.groupBy("model_key").agg(
-            *[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(size + 1)]
+        summed = parts.select("model_key", F.posexplode("sums").alias("i", "v")).groupBy("model_key", "i").agg(
+            F.sum("v").alias("v")
         )
-        for key, *sums in summed.collect():
-            descent = descents[key]
-            both = np.array(sums[: descent.w.shape[1] + 1], float)
-            descent.advance(one, both[:1], both[None, 1:])
-    rows = [row for d in descents.values() for row in d.fit_rows(features)]
+        measured: dict[str, dict[int, float]] = {}
+        for key, i, v in summed.collect():
+            measured.setdefault(key, {})[i] = v
+        for key, values in measured.items():
+            size = len(descents[key].w)
+            flat = np.array([values[i] for i in range(1 + size + size * size)])
+            descents[key].advance(flat[0], flat[1 : size + 1], flat[size + 1 :].reshape(size, size))
+    rows = [d.fit_row(features) for d in descents.values()]
     return spark.createDataFrame([tuple(row[f] for f in S.FIT.fieldNames()) for row in rows], S.FIT)
 
 

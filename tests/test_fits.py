@@ -55,25 +55,32 @@ def test_large_models_take_the_same_steps(points):
         assert across[key].sse == pytest.approx(near[key].sse, rel=1e-6)
 
 
-def test_models_in_step_equal_models_alone():
+def test_large_models_converge_to_the_same_error(points):
+    near, across = fitted(points, most_points=1000), fitted(points, task_points=100)
+    assert set(near) == set(across)
+    for key in near:
+        assert near[key].status == across[key].status == "ok"
+        assert across[key].sse == pytest.approx(near[key].sse, rel=1e-4)
+
+
+def test_gradient_and_curvature_are_those_of_the_error():
     draw = np.random.default_rng(1)
-    sizes = [3, 40, 7]
-    model = np.repeat(np.arange(3), sizes)
     x = np.column_stack([np.ones(50), draw.normal(size=(50, 2))])
     n = draw.integers(1, 5, 50).astype(float)
-    points = fits.Points(x, n, np.minimum(n, draw.integers(0, 5, 50)).astype(float), model)
-    w = draw.normal(size=(3, 17))
-    loss, gradient = fits.loss_and_gradient(w, points, 4)
-    for m in range(3):
-        alone = fits.loss_and_gradient(w[m : m + 1], points.keep(np.arange(3) == m), 4)
-        assert loss[m] == pytest.approx(alone[0][0]) and gradient[m] == pytest.approx(alone[1][0])
+    s = np.minimum(n, draw.integers(0, 5, 50)).astype(float)
+    w = draw.normal(size=17)
+    loss, gradient, curvature = fits.measure(w, 4, x, n, s)
     step = 1e-6
     for i in range(17):
         up, down = w.copy(), w.copy()
-        up[:, i] += step
-        down[:, i] -= step
-        slope = (fits.loss_and_gradient(up, points, 4)[0] - fits.loss_and_gradient(down, points, 4)[0]) / (2 * step)
-        assert gradient[:, i] == pytest.approx(slope, abs=1e-5)
+        up[i] += step
+        down[i] -= step
+        slope = (fits.measure(up, 4, x, n, s)[0] - fits.measure(down, 4, x, n, s)[0]) / (2 * step)
+        assert gradient[i] == pytest.approx(slope, abs=1e-5)
+    assert curvature == pytest.approx(curvature.T) and np.linalg.eigvalsh(curvature).min() > -1e-9
+    parts = [fits.measure(w, 4, x[k], n[k], s[k]) for k in (slice(0, 20), slice(20, 50))]
+    for whole, one, other in zip((loss, gradient, curvature), *parts):
+        assert whole == pytest.approx(one + other)
 
 
 @pytest.mark.parametrize("rule,rows,units", [

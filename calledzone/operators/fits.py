@@ -24,6 +24,8 @@ TASK_POINTS = 200_000
 BLOCK_POINTS = 50_000
 # Steps damped more than this no longer move a weight: the error cannot be lowered further.
 DAMPING_END = 1e14
+# A fit that gains less than this share of its error in so many steps has stopped moving.
+STALL_STEPS, STALL_GAIN = 200, 1e-3
 
 
 @dataclass(frozen=True)
@@ -105,6 +107,7 @@ class Descent:
         self.best = self.w
         self.sse, self.steps, self.status = np.nan, 0, ""
         self.damping, self.raise_by = 1e-2, 2.0
+        self.mark = np.inf
         self.gradient = self.curvature = None
 
     @property
@@ -126,7 +129,7 @@ class Descent:
             self.raise_by *= 2.0
         if np.abs(self.gradient).max() < self.threshold:
             self.status = "ok"
-        elif self.steps >= self.max_steps or self.damping > DAMPING_END:
+        elif self.steps >= self.max_steps or self.damping > DAMPING_END or self._stalled():
             self.status = "not_converged"
         else:
             scale = self.curvature.diagonal()
@@ -134,6 +137,12 @@ class Descent:
             self.w = self.best - np.linalg.solve(self.curvature + np.diag(ridge), self.gradient)
             self.steps += 1
 
+    def _stalled(self) -> bool:
+        if self.steps % STALL_STEPS:
+            return False
+        before, self.mark = self.mark, self.sse
+        return self.sse > before * (1.0 - STALL_GAIN)
+
     def fit_row(self, features: Sequence[str]) -> dict:
         split = self.units * (self.inputs + 1)
         return {

@@ -488,3 +488,44 @@ ORACLES = {
       WHERE span = 'season' OR (season, d_s, d_e, stand) NOT IN
             (SELECT (season, d_s, d_e, stand) FROM month_nets)""", MONTH_NETS),
 }
+
+
+def fit(tasks: str, rows: str, on: str, hidden: str, least: int = 1, most: int = 99_999) -> str:
+    """What each task of `tasks` is fitted on: pitches of its window, the latest `most`, none below `least`."""
+    return f"""
+      SELECT model_key, season, d_s, d_e, stand, n_train, CAST({hidden} AS INT) AS hidden,
+             n_train > 0 AS fitted, true AS same_error
+      FROM (SELECT model_key, season, d_s, d_e, stand, CASE WHEN n >= {least} THEN n ELSE 0 END AS n_train
+            FROM (SELECT t.model_key, t.season, t.d_s, t.d_e, t.stand, least(count(r.pitch_id), {most}) AS n
+                  FROM ({tasks}) t LEFT JOIN {rows} r
+                    ON r.game_date >= t.d_s AND r.game_date < t.d_e AND {on}
+                  GROUP BY ALL))"""
+
+
+HAND = "r.stand = t.stand"
+UMPIRE = HAND + " AND r.umpire = t.entity_id"
+INDIVIDUAL_UNITS = "CASE WHEN n_train > 1500 THEN 5 WHEN n_train > 0 THEN 4 END"
+WHOLE_SEASON = "make_date(season, 1, 1) AS d_s, make_date(season + 1, 1, 1) AS d_e, 'season' AS span"
+
+ORACLES |= {
+    "fit_umpire_generic": query(fit(
+        f"SELECT *, {key('ump_generic')} AS model_key FROM year_w, hands", "train", HAND,
+        "CASE WHEN n_train > 0 THEN 5 END")),
+    "fit_movement": query(fit(
+        f"SELECT *, {key('ump_generic_pitchdata')} AS model_key FROM month_w, hands", "train", HAND,
+        "CASE WHEN n_train > 0 THEN 5 END")),
+    "fit_umpire_individual": query(fit(
+        f"SELECT *, {key('ump_individual', 'entity_id')} AS model_key FROM individual_tasks", "train",
+        UMPIRE, INDIVIDUAL_UNITS), INDIVIDUAL_TASKS),
+    "fit_batter": query(fit(
+        "SELECT *, concat_ws('.', 'batter', batter, span, d_s, d_e, 'B') AS model_key FROM"
+        f" (SELECT DISTINCT batter, season, CAST(NULL AS VARCHAR) AS stand, {WHOLE_SEASON} FROM hand_ab)",
+        "calls", "r.batter = t.batter", "CASE WHEN n_train > 0 THEN 4 END", BATTER_ROWS, 2**62)),
+    "fit_batter_generic": query(fit(
+        f"SELECT *, {key('batter_generic')} AS model_key FROM"
+        f" (SELECT DISTINCT season, {WHOLE_SEASON} FROM atbats), hands",
+        "calls", HAND, "CASE WHEN n_train > 0 THEN 4 END", 200)),
+    "repair_models": query(fit(
+        f"SELECT *, {key('ump_individual', 'entity_id')} AS model_key FROM individual_nets"
+        f" WHERE status <> 'ok' OR {CENTRE} < 0.8", "train", UMPIRE, INDIVIDUAL_UNITS), INDIVIDUAL_NETS),
+}

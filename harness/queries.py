@@ -27,8 +27,6 @@ FIRST, LAST = 1995, 2001
 RECENT_PITCHES = 150
 BATTER_ROWS = 10
 POOLED_BATTER_ROWS = 500
-# Fits are bounded here so that the check ends; the jobs' own rules run far longer.
-QUICK_STEPS = 60
 KEY = ("model_key", "kind", "span", "entity", "season", "d_s", "d_e", "stand")
 
 
@@ -382,57 +380,64 @@ def pending_models(spark, root):
     return with_entity(M.pending(tasks, stored)).select(*KEY)
 
 
-def _quick(rule: fits.FitRule, **changes) -> fits.FitRule:
-    return replace(rule, max_steps=QUICK_STEPS, **changes)
+def _fit_report(fact: DataFrame, tasks: DataFrame, kind: T.Kind, min_rows: int | None = None) -> DataFrame:
+    """Every task with what it was fitted on, and whether its training pitches, scored again, give the stored error."""
+    rule = kind.rule if min_rows is None else replace(kind.rule, min_rows=min_rows)
+    tasks = materialise(tasks)
+    columns = {*kind.on, "game_date", "season", "pitch_id", "c", *kind.features}
+    fact = materialise(fact.select(*sorted(columns)))
+    models = materialise(T.train(fact, tasks, kind, rule=rule))
+    weights = models.where("w_out IS NOT NULL").select(
+        "model_key", *[c.alias(name) for name, c in net.weight_columns(len(kind.features)).items()]
+    )
+    points = fits.training_points(T.training_rows(fact, tasks, kind), kind.features)
+    scored = points.join(weights, "model_key").withColumn("p", net.net_score(kind.features))
+    again = scored.groupBy("model_key").agg(
+        F.expr("sum(0.5D * (s * (1 - p) * (1 - p) + (n - s) * p * p))").alias("again")
+    )
+    return models.join(again, "model_key", "left").select(
+        "model_key", "season", "d_s", "d_e", "stand", "n_train", "hidden",
+        F.col("w_out").isNotNull().alias("fitted"),
+        F.expr("again IS NULL OR abs(again - sse) <= 1e-6D * (1 + sse)").alias("same_error"),
+    )
 
 
 def fit_umpire_generic(spark, root):
     tables = sample.load(spark, root)
-    return T.train(
-        T.umpire_training_fact(tables), T.yearly_tasks(tables.games), T.POOLED,
-        rule=_quick(fits.POOLED_RULE),
-    )
+    return _fit_report(T.umpire_training_fact(tables), T.yearly_tasks(tables.games), T.POOLED)
 
 
 def fit_umpire_individual(spark, root):
     tables = sample.load(spark, root)
-    return T.train(
-        T.umpire_training_fact(tables), T.individual_tasks(tables, LAST), T.INDIVIDUAL,
-        rule=_quick(fits.INDIVIDUAL_RULE),
+    return _fit_report(
+        T.umpire_training_fact(tables), T.individual_tasks(tables, LAST), T.INDIVIDUAL
     )
 
 
 def fit_movement(spark, root):
     tables = sample.load(spark, root)
-    return T.train(
-        T.umpire_training_fact(tables), T.monthly_tasks(tables.games, S.UMPIRE_MOVEMENT),
-        T.MOVEMENT, rule=_quick(fits.MOVEMENT_RULE),
-    )
+    tasks = T.monthly_tasks(tables.games, S.UMPIRE_MOVEMENT)
+    return _fit_report(T.umpire_training_fact(tables), tasks, T.MOVEMENT)
 
 
 def fit_batter(spark, root):
     tables = sample.load(spark, root)
-    return T.train(
-        T.batter_training_fact(tables), T.batter_tasks(tables.atbats, after_season=0), T.BATTERS,
-        rule=_quick(fits.BATTER_RULE, min_rows=BATTER_ROWS),
-    )
+    tasks = T.batter_tasks(tables.atbats, after_season=0)
+    return _fit_report(T.batter_training_fact(tables), tasks, T.BATTERS, min_rows=BATTER_ROWS)
 
 
 def fit_batter_generic(spark, root):
     tables = sample.load(spark, root)
-    return T.train(
-        T.batter_training_fact(tables), T.batter_pooled_tasks(tables.atbats, after_season=0),
-        T.BATTERS_POOLED, rule=_quick(fits.BATTER_RULE),
-    )
+    tasks = T.batter_pooled_tasks(tables.atbats, after_season=0)
+    return _fit_report(T.batter_training_fact(tables), tasks, T.BATTERS_POOLED)
 
 
 def repair_models(spark, root):
     """Spoiled umpire nets found and fitted again."""
     tables = sample.load(spark, root)
     bad = R.bad_umpire_models(sample_models.individual_nets(tables, scored_fact(tables)))
-    return R.refit(
-        bad, T.umpire_training_fact(tables), T.INDIVIDUAL, rule=_quick(fits.INDIVIDUAL_RULE)
-    )
+    tasks = bad.where(F.col("kind") == T.INDIVIDUAL.name).select(*S.TASK.fieldNames())
+    return _fit_report(T.umpire_training_fact(tables), tasks, T.INDIVIDUAL)
 
 
 QUERIES = (

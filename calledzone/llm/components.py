@@ -12,8 +12,8 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest id around it."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .filter("u > v").distinct())
+    # No more rows than links; the small star behind it removes repeated ones.
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -24,6 +24,19 @@ def _small_star(links: DataFrame) -> DataFrame:
     return down.unionByName(own).filter("u > v").distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one link down and none of the lower ends has a link of its own."""
+    ends = links.select(F.col("u").alias("id"), F.lit(1).alias("upper")).unionByName(
+        links.select(F.col("v").alias("id"), F.lit(0).alias("upper")))
+    found = ends.groupBy("id").agg(F.sum("upper").alias("links"), F.min("upper").alias("lower"))
+    return found.filter("links > 1 or links = 1 and lower = 0").agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def star_links(comps: DataFrame) -> DataFrame:
+    """Links (a, b) that join what the components (id, component) join."""
+    return comps.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id named in the links (a, b); component is the smallest id reachable.
 
@@ -32,12 +45,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     now = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                .filter("u > v").distinct(), "links")
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or mark == seen:
-            break
-        seen = mark
+    while not _are_stars(now):
         after = keep(_small_star(_large_star(now)), "links")
         discard(now)
         now = after

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .components import components
+from .components import components, star_links
 from .scratch import discard, keep, map_arrow, slices, two_columns
 from .words import WordHashes, mix, shingle_sets
 
@@ -236,18 +236,16 @@ def find_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = keep(shared.select("cid").distinct(), "wanted")
     texts = bloom.within(two_columns(docs, id_col, text_col), "doc_id", wanted, wanted.count())
     sets = keep(map_arrow(texts, _set_batches, "cid long, shingles array<long>"), "sets")
-    links = _verified(first, sets)
-    comps = keep(components(links), "components")
+    comps = keep(components(_verified(first, sets)), "components")
     members = shared.select("cid", "h")
     pairs = _search(members, classes, comps, _best_partners, "a long, b long")
     if not pairs.isEmpty():
-        links = links.unionByName(_verified(pairs, sets))
-        comps = keep(components(links), "components")
+        comps = keep(components(star_links(comps).unionByName(_verified(pairs, sets))), "components")
         rest = _search(members, classes, comps, _open_rows, "h long, cid long, comp long")
         blocks = _mixed(rest).join(sets, "cid")
         more = keep(blocks.groupBy("h", "lo", "hi").applyInArrow(_links_between, "a long, b long"), "links")
         if not more.isEmpty():
-            comps = keep(components(links.unionByName(more)), "components")
+            comps = keep(components(star_links(comps).unionByName(more)), "components")
     discard(sets)
     named = classes.select("digest", "cid").join(comps.withColumnRenamed("id", "cid"), "cid", "left").select(
         "digest", F.coalesce("component", "cid").alias("component_id"))

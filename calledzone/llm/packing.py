@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import keep, map_arrow, slices, two_columns
-from .sentencepiece_bpe import Encoder, Model, read_model
+from .sentencepiece_bpe import ENCODED_BYTES, Encoder, Model, read_model
 
 LENGTH, PAD, MATRIX_ROWS, GROUP = 2048, 0, 64, 4096
 SCHEMA = ("n_rows int, length int, n_tokens long, ids binary, positions binary, "
@@ -113,7 +113,7 @@ def _pieces(model: Model):
         encoder, number = Encoder(model), 0
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("place", pa.int64()), ("tokens", pa.binary()),
                             ("matrix", pa.struct(list(_MATRIX)))])
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=ENCODED_BYTES):
             full, rest = [], []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
                 ids = np.append(ids, model.end_id).astype("<u4")

@@ -32,6 +32,8 @@ SPACE = "▁"
 NO_RANK = np.int32(2**31 - 1)
 REMEMBERED = 500_000
 TABLE_BITS = 19
+# Text encoded at once; words and symbol arrays take many times as much.
+ENCODED_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -275,7 +277,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
     """`docs` with the ids of each whole text, the end id last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, ENCODED_BYTES):
             found = encoder.encode([text or "" for text in batch.column(text_col).to_pylist()])
             sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
             ends = np.cumsum(sizes)

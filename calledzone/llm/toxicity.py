@@ -3,9 +3,11 @@
 Lexicon entries are whole words and word beginnings that labelled toxic texts hold and others
 hardly ever do. They lie in a trie. Each distinct word of a text becomes a Levenshtein automaton (bit vectors of
 reached places, one for each number of edits), and is run through the trie; beginnings must match exactly.
+A word gives one hit: the entry with the fewest edits, an exact one before a misspelling.
 A hit is worth the share of toxic texts among the labelled ones with such a hit; a misspelling, and a hit in
-quotation marks next to a word of reporting, have shares of their own. A text's score
-joins its hits as independent evidence.
+quotation marks next to a word of reporting, have shares of their own. Misspellings are judged by labelled texts without an
+exact hit, and start from the toxic share of the whole sample, as most words near an entry are just other words.
+A text's score joins its exact entries, its best misspelling and its quotation as independent evidence.
 
 So that copies of a text do not pass for evidence, texts whose least shingle is the same teach once.
 
@@ -137,20 +139,21 @@ class Finder:
         return found
 
     def text(self, text: str) -> list[tuple[int, str]]:
-        """(entry, kind) of each hit: exact, near (misspelled), quoted."""
+        """(entry, kind) of each word's best hit: exact, near (misspelled), quoted."""
         words = text.lower().split()
         suspects = {}
         for raw in set(words) - self.clean:
             hits = self.word(raw)
             if hits:
-                suspects[raw] = hits
+                suspects[raw] = min(hits, key=lambda hit: (hit[1], hit[0]))
             elif len(self.clean) < CLEAN_WORDS:
                 self.clean.add(raw)
         if not suspects:
             return []
         out = []
         for at, raw in enumerate(words):
-            for entry, edits in suspects.get(raw, ()):
+            if raw in suspects:
+                entry, edits = suspects[raw]
                 out.append((entry, "quoted" if quoted(words, at) else "near" if edits else "exact"))
         return out
 
@@ -242,27 +245,37 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for batch in slices(batches):
             out = []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                out += [(label, entry, kind) for entry, kind in set(finder.text(text)) or {(-1, "none")}]
+                found = {(-1, kind) if kind == "quoted" else (entry, kind) for entry, kind in finder.text(text)}
+                if any(kind == "exact" for _, kind in found):
+                    found = {(entry, kind) for entry, kind in found if kind != "near"}
+                out += [(label, entry, kind) for entry, kind in found or {(-1, "none")}]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["label", "entry", "kind"])
 
     counts = Counter()
     counted = map_arrow(sample, hits, "label long, entry long, kind string").groupBy("label", "entry", "kind").count()
-    for row in counted.collect():  # at most six rows an entry
+    for row in counted.collect():  # at most four rows an entry, and four more
         counts[row.label, row.entry, row.kind] = row["count"]
     span = range(len(entries))
-    told = [sum(counts[label, i, "quoted"] for i in span) for label in (0, 1)]
+    told = [counts[label, -1, "quoted"] for label in (0, 1)]
     none = [counts[label, -1, "none"] for label in (0, 1)]
+    texts = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
+    usual = texts.get(1, 0) / sum(texts.values()) if texts else 0.0
     return Model(
         entries, [_worth(toxic, other, 1.0) for _, toxic, other in picked],
-        [_worth(counts[1, i, "near"], counts[0, i, "near"], 1.0) for i in span],
+        [_worth(counts[1, i, "near"], counts[0, i, "near"], usual) for i in span],
         _worth(told[1], told[0], 0.3), none[1] / sum(none) if sum(none) else 0.0)
 
 
 def score_text(finder: Finder, model: Model, text: str) -> float:
-    clear = 1.0 - model.none
+    clear, near, told = 1.0 - model.none, 0.0, 0.0
     for entry, kind in set(finder.text(text)):
-        clear *= 1.0 - (model.quoted if kind == "quoted" else model.near[entry] if kind == "near" else model.exact[entry])
-    return 1.0 - clear
+        if kind == "exact":
+            clear *= 1.0 - model.exact[entry]
+        elif kind == "near":
+            near = max(near, model.near[entry])
+        else:
+            told = model.quoted
+    return 1.0 - clear * (1.0 - near) * (1.0 - told)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

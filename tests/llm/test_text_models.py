@@ -1,6 +1,7 @@
 """Toxicity, quality and decontamination: held-out accuracy, automata against edit distance, planted passages."""
 
 import random
+from collections import Counter
 
 from calledzone.llm import decontaminate, quality, queries, toxicity
 from tests.llm.conftest import LOREM
@@ -68,6 +69,25 @@ def test_quotation_is_not_abuse():
     assert toxicity.score_text(finder, model, "") == model.none or abs(toxicity.score_text(finder, model, "") - 0.01) < 1e-9
 
 
+def test_misspellings_do_not_add_up():
+    model = toxicity.Model(["achlicher", "achlichber", "achlichver"], [0.95] * 3, [0.5, 0.5, 0.5], 0.3, 0.01)
+    finder = toxicity.Finder(model.entries)
+    assert toxicity.score_text(finder, model, "achlichxer und achlichbex und achlichvxr") < 0.6
+    assert finder.text("achlichver") == [(2, "exact")]
+
+
+def test_toxicity_by_language(spark):
+    """Held-out precision and recall at sf0.1; words near an entry alone do not reject texts."""
+    root = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{root}/{name}.parquet") for name in ("documents", "labels"))
+    scored = queries.op8_toxicity(spark, root).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    counts = Counter((r.lang, r.toxic, r.predicted) for r in scored.join(labels, "doc_id").collect())
+    for lang in ("de", "en", "es", "fr"):
+        hit, lost, wrong = counts[lang, 1, 1], counts[lang, 1, 0], counts[lang, 0, 1]
+        print(lang, "precision", hit, "of", hit + wrong, "recall", hit, "of", hit + lost, "clean", wrong + counts[lang, 0, 0])
+        assert hit >= 0.9 * (hit + lost) and wrong <= 0.05 * (wrong + counts[lang, 0, 0])
+
+
 def test_leaks_with_substitutions(spark, odd_docs, no_docs):
     rng = random.Random(4)
     words = [f"v{i}" for i in range(400)]

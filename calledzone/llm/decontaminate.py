@@ -1,9 +1,10 @@
 """Benchmark decontamination with spaced seeds.
 
-Fixed masks of `SPAN` tokens look at `WEIGHT` of them and ignore the rest, so that a seed still matches where
-tokens at ignored places were substituted. Seed hashes of the benchmark are joined with those of all documents;
-around each hit the tokens are aligned, and the passage counts as leaked if a stretch of
-`SPAN` aligned tokens around the seed agrees in `MATCHES` of them or more.
+Fixed masks of `SPAN` tokens look at 8 of them and ignore the rest, so that a seed still matches where
+tokens at ignored places were substituted. The ignored places are a covering design: any `SPAN - MATCHES` places are
+ignored together by some mask, so that every stretch of `SPAN` aligned tokens that agree in `MATCHES` of them or more
+has a seed. Seed hashes of the benchmark are joined with those of all documents; the ignored tokens, which
+both sides carry along, tell in how many tokens the stretch agrees. None is missed and none is let through.
 
 The benchmark may have any size. Document seeds that no item has are dropped inside the scan by a bitmap of
 bounded size (`FILTER_BITS`), which may let others through but loses none; the rest meet the
@@ -12,7 +13,7 @@ substitutions; items of fewer than `LEAST` tokens are too short to tell from cha
 
 Tokens are lower-cased; ASCII punctuation and white space end them. Defined cases: null text counts as empty and
 leaks nothing; rows with a null id match nothing and are kept; items with a null id are used like others, and
-repeated items are reported under the least id; repeated documents are reported
+items of the same tokens are reported under the least id; repeated documents are reported
 once; empty documents or an empty benchmark give no leaks. Other columns are not looked at.
 """
 
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -30,47 +33,53 @@ from . import bloom
 from .scratch import keep, map_arrow, slices, two_columns
 from .words import MULTIPLIERS, WordHashes, flat_hashes, mix
 
-SPAN, WEIGHT, MATCHES, LEAST = 12, 8, 10, 5
-# The places each mask looks at.
-MASKS = (
-    (0, 1, 2, 4, 5, 8, 10, 11),
-    (0, 1, 3, 6, 7, 9, 10, 11),
-    (0, 2, 3, 4, 7, 8, 9, 11),
-    (0, 1, 2, 3, 5, 6, 9, 11),
+SPAN, MATCHES, LEAST = 12, 10, 5
+# The places each mask ignores. Every pair of places is in one of them.
+IGNORED = (
+    (0, 1, 2, 3), (0, 4, 6, 7), (0, 5, 9, 11), (0, 8, 9, 10), (1, 2, 4, 9), (1, 5, 7, 8),
+    (1, 6, 10, 11), (2, 5, 6, 8), (2, 7, 10, 11), (3, 4, 5, 10), (3, 4, 8, 11), (3, 6, 7, 9),
 )
-AROUND = SPAN
+REST = 4
 FILTER_BITS = 1 << 27
 _TABLE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
+_SALT = 0x9E3779B97F4A7C15
+_RESTS = [f"r{k}" for k in range(REST)]
 
 
 def tokens_of(texts: list[str]) -> list[list[bytes]]:
     return [text.lower().encode().translate(_TABLE).split() for text in texts]
 
 
-def seeds(flat: np.ndarray, ends: np.ndarray, counts: np.ndarray, short: tuple[int, ...]):
-    """For each mask, and each whole length in `short`: hashes by start, and which starts are inside a text."""
+def masks_of(width: int) -> tuple[tuple[int, ...], ...]:
+    """Ignored places of each mask for passages of `width` tokens."""
+    return IGNORED if width == SPAN else ((),)
+
+
+def seeds(flat: np.ndarray, ends: np.ndarray, counts: np.ndarray, widths: tuple[int, ...]):
+    """For each mask of each width: width, ignored places, hashes by start, and which starts are inside a text."""
     owner_end = np.repeat(ends, counts)
-    at = np.arange(len(flat))
-    for number, mask in enumerate(MASKS):
-        yield _hash(flat, mask, SPAN, number), at + SPAN <= owner_end
-    for width in short:
-        yield _hash(flat, range(width), width, 100 + width), at + width <= owner_end
+    for width in widths:
+        whole = max(len(flat) - width + 1, 0)
+        inside = np.arange(whole) + width <= owner_end[:whole]
+        parts = [flat[k:whole + k] * MULTIPLIERS[k] for k in range(width)]
+        for number, ignored in enumerate(masks_of(width)):
+            out = np.full(whole, np.uint64(_SALT * (64 * width + number) % (1 << 64)))
+            for place in range(width):
+                if place not in ignored:
+                    out += parts[place]
+            yield width, ignored, mix(out), inside
 
 
-def _hash(flat: np.ndarray, places, width: int, salt: int) -> np.ndarray:
-    out = np.zeros(len(flat), np.uint64)
-    whole = len(flat) - width + 1
-    if whole > 0:
-        for k, place in enumerate(places):
-            out[:whole] += flat[place:whole + place] * MULTIPLIERS[k]
-    return mix(out + MULTIPLIERS[32 + salt % 32])
+def _rests(flat: np.ndarray, spots: np.ndarray, ignored: tuple[int, ...]) -> list[pa.Array]:
+    """Token hashes at the ignored places, then zeros, which agree always."""
+    found = [flat[spots + place] for place in ignored] + [np.zeros(len(spots), np.uint64)] * (REST - len(ignored))
+    return [pa.array(hashes.view(np.int64)) for hashes in found]
 
 
-def _context(flat: np.ndarray, spots: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Token hashes around each seed, zero outside the text."""
-    place = spots[:, None] + np.arange(-AROUND, SPAN + AROUND)[None, :]
-    inside = (place >= starts[:, None]) & (place < ends[:, None])
-    return np.where(inside, flat[np.clip(place, 0, max(len(flat) - 1, 0))], np.uint64(0))
+def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        tokens = [b" ".join(words).decode() for words in tokens_of(batch.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.string())], names=["doc_id", "text"])
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,56 +88,49 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, counts = flat_hashes(tokens_of(batch.column("text").to_pylist()), memo)
         ends = np.cumsum(counts)
         owner = np.repeat(np.arange(len(counts)), counts)
-        starts = (ends - counts)
-        lengths = tuple(sorted({int(c) for c in counts if LEAST <= c < SPAN}))
-        for number, (hashes, inside) in enumerate(seeds(flat, ends, counts, lengths)):
-            if number >= len(MASKS):
-                inside = inside & (counts[owner] == lengths[number - len(MASKS)])
-            spots = np.flatnonzero(inside)
-            whole = number >= len(MASKS)
-            context = _context(flat, spots, starts[owner[spots]], ends[owner[spots]])
+        widths = tuple(sorted({min(int(c), SPAN) for c in counts if c >= LEAST}))
+        for width, ignored, hashes, inside in seeds(flat, ends, counts, widths):
+            spots = np.flatnonzero(inside & (np.minimum(counts, SPAN)[owner[:len(inside)]] == width))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(owner[spots])), pa.array(hashes[spots].view(np.int64)),
-                 pa.array((spots - starts[owner[spots]]), pa.int64()), pa.array(np.full(len(spots), whole)),
-                 _lists(context)],
-                names=["item_id", "h", "item_at", "whole", "item_tokens"])
-
+                 pa.array(np.full(len(spots), width, np.int32)), *_rests(flat, spots, ignored)],
+                names=["item_id", "h", "width", *_RESTS])
 
-def _lists(rows: np.ndarray) -> pa.ListArray:
-    width = SPAN + 2 * AROUND
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).reshape(-1).view(np.int64)))
 
-
-def _document_seeds(bits, short: tuple[int, ...]):
+def _document_seeds(bits, widths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         bitmap = np.frombuffer(bits.value, np.uint8)
-        size = len(bitmap) * 8
         for batch in slices(batches):
             flat, counts = flat_hashes(tokens_of(batch.column("text").to_pylist()), memo)
             ends = np.cumsum(counts)
             starts = ends - counts
             owner = np.repeat(np.arange(len(counts)), counts)
-            for hashes, inside in seeds(flat, ends, counts, short):
-                slot = (hashes & np.uint64(size - 1)).astype(np.int64)
-                known = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-                spots = np.flatnonzero(inside & (known == 1))
+            for _, ignored, hashes, inside in seeds(flat, ends, counts, widths):
+                spots = _known(bitmap, hashes, np.flatnonzero(inside))
                 if not len(spots):
                     continue
-                context = _context(flat, spots, starts[owner[spots]], ends[owner[spots]])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(owner[spots])), pa.array(hashes[spots].view(np.int64)),
-                     pa.array(spots - starts[owner[spots]], pa.int64()), _lists(context)],
-                    names=["doc_id", "h", "doc_at", "tokens"])
+                     pa.array(spots - starts[owner[spots]], pa.int64()), *_rests(flat, spots, ignored)],
+                    names=["doc_id", "h", "doc_at", *_RESTS])
     return run
 
 
+def _known(bitmap: np.ndarray, hashes: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """The spots whose hash may be in the filter: both halves of the bitmap must know it."""
+    own = len(bitmap) * 4
+    for half, shift in enumerate((0, 31)):
+        slot = ((hashes[spots] >> np.uint64(shift)) & np.uint64(own - 1)).astype(np.int64) + half * own
+        spots = spots[(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+    return spots
+
+
 def _bitmap(items: DataFrame) -> bytes:
     """Bits of all seed hashes; the driver gets FILTER_BITS / 8 bytes at most."""
     bits = bloom.size_for(items.count(), per_row=64, max_bits=FILTER_BITS)
     out = np.zeros(bits // 8, np.uint8)
-    blocks = bloom.members(items.select("h"), bits, number=1)
+    blocks = bloom.members(items.select("h"), bits, number=2)
     for row in blocks.toLocalIterator():
         start = row["block"] * bloom.BLOCK_BITS // 8
         out[start:start + bloom.BLOCK_BITS // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
@@ -140,22 +142,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """A row for each document and item that share a passage: doc_id, item_id, first and last token of it in
     the document (last one not included), number of matched tokens in its best stretch, hits."""
     spark = docs.sparkSession
-    items = keep(map_arrow(two_columns(benchmark, item_id_col, item_text_col).repartition(spark.sparkContext.defaultParallelism), _item_seeds,
-                           "item_id long, h long, item_at long, whole boolean, item_tokens array<long>")
-                 .groupBy("h", "whole", "item_tokens").agg(F.min("item_id").alias("item_id")), "items")
-    lengths = items.filter("whole").select(F.size(F.filter("item_tokens", lambda x: x != 0)).alias("n"))
-    short = tuple(sorted(row.n for row in lengths.distinct().collect()))  # at most SPAN - LEAST values
+    given = map_arrow(two_columns(benchmark, item_id_col, item_text_col), _item_tokens, "doc_id long, text string")
+    given = given.groupBy("text").agg(F.min("doc_id").alias("doc_id")).repartition(spark.sparkContext.defaultParallelism)
+    rests = ", ".join(f"{name} long" for name in _RESTS)
+    items = keep(map_arrow(given, _item_seeds, f"item_id long, h long, width int, {rests}"), "items")
+    widths = tuple(sorted(row.width for row in items.select("width").distinct().collect()))  # at most SPAN - LEAST + 1 values
     bits = spark.sparkContext.broadcast(_bitmap(items))
-    hits = map_arrow(two_columns(docs, id_col, text_col).filter("doc_id is not null"), _document_seeds(bits, short),
-                     "doc_id long, h long, doc_at long, tokens array<long>")
-    met = hits.join(items, "h")
-    agree = met.withColumn("same", F.zip_with("tokens", "item_tokens", lambda a, b: F.when((a == b) & (b != 0), 1).otherwise(0)))
-    best = agree.withColumn("matched", F.expr(
-        f"array_max(transform(sequence(0, {2 * AROUND}), s -> aggregate(slice(same, s + 1, {SPAN}), 0, (x, y) -> x + y)))"))
-    need = F.when(F.col("whole"), F.size(F.filter("item_tokens", lambda x: x != 0))).otherwise(MATCHES)
-    return best.filter(F.col("matched") >= need).groupBy("doc_id", "item_id").agg(
-        F.min("doc_at").alias("first_token"), (F.max("doc_at") + SPAN).alias("last_token"),
-        F.max("matched").alias("matched"), F.count(F.lit(1)).alias("hits"))
+    hits = map_arrow(two_columns(docs, id_col, text_col).filter("doc_id is not null"), _document_seeds(bits, widths),
+                     f"doc_id long, h long, doc_at long, {rests}")
+    met = hits.join(items.withColumnsRenamed({name: f"item_{name}" for name in _RESTS}), "h")
+    agree = reduce(add, [(F.col(name) == F.col(f"item_{name}")).cast("int") for name in _RESTS])
+    best = met.withColumn("lost", REST - agree)
+    allowed = F.when(F.col("width") == SPAN, SPAN - MATCHES).otherwise(0)
+    return best.filter(F.col("lost") <= allowed).groupBy("doc_id", "item_id").agg(
+        F.min("doc_at").alias("first_token"), F.max(F.col("doc_at") + F.col("width")).alias("last_token"),
+        F.max(F.col("width") - F.col("lost")).alias("matched"), F.count(F.lit(1)).alias("hits"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

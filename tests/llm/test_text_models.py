@@ -113,6 +113,35 @@ def test_leaks_with_substitutions(spark, odd_docs, no_docs):
     assert decontaminate.drop_leaks(extra, spark.createDataFrame([(1, LOREM)], "item_id long, text string")).count() == 10
 
 
+def agreeing(words, item, span=12, need=10):
+    """Whether some aligned stretch of `span` tokens agrees in `need` of them, by trying all."""
+    return any(sum(words[a + k] == item[b + k] for k in range(span)) >= need
+               for a in range(len(words) - span + 1) for b in range(len(item) - span + 1))
+
+
+def test_leaks_match_brute_force(spark):
+    """Passages of 12 to 60 tokens, whole or a piece of an item, with tokens substituted at random or every fifth one."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(300)]
+    items = [rng.choices(words, k=rng.randint(12, 60)) for _ in range(25)]
+    texts = []
+    for n in range(400):
+        passage = list(items[n % 25])
+        size = rng.randint(12, len(passage))
+        begin = rng.randint(0, len(passage) - size)
+        passage = passage[begin:begin + size]
+        share = (0.1, 0.15, 0.3, 0)[n % 4]
+        passage = ["zzz" if rng.random() < share or not share and k % 5 == n // 4 % 5 else w for k, w in enumerate(passage)]
+        texts.append(rng.choices(words, k=10) + passage + rng.choices(words, k=10))
+    for at in (0, 11):
+        texts.append(rng.choices(words, k=10) + items[0][:at] + ["zzz"] + items[0][at + 1:12] + rng.choices(words, k=10))
+    want = {(d, i) for d, text in enumerate(texts) for i, item in enumerate(items) if agreeing(text, item)}
+    docs, benchmark = (spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(x)], f"{name} long, text string")
+                       for x, name in ((texts, "doc_id"), (items, "item_id")))
+    assert {(400, 0), (401, 0)} <= want
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs.repartition(4), benchmark).collect()} == want
+
+
 def test_leaks_on_documents(spark):
     """Every document that shares eight tokens in a row with an item is found, and no other."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -2,7 +2,9 @@
 
 Lexicon entries are whole words and word beginnings that labelled toxic texts hold and others
 hardly ever do. They lie in a trie. Each distinct word of a text becomes a Levenshtein automaton (bit vectors of
-reached places, one for each number of edits), and is run through the trie; beginnings must match exactly.
+reached places, one for each number of edits), and is run through the trie; at a beginning any reached place accepts.
+Two neighbouring characters swapped are one edit. Words are looked up less the punctuation around them, and less
+all signs around them.
 A word gives one hit: the entry with the fewest edits, an exact one before a misspelling.
 A hit is worth the share of toxic texts among the labelled ones with such a hit; a misspelling, and a hit in
 quotation marks next to a word of reporting, have shares of their own. Misspellings are judged by labelled texts without an
@@ -22,6 +24,7 @@ labels nothing is known: every score is 0. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -80,32 +83,41 @@ class Trie:
                 found.append((node[STEM], 0))
         return found
 
-    def search(self, word: str) -> list[tuple[int, int]]:
-        """(entry, edits) of all whole words within reach of `word`."""
+    def search(self, word: str, swaps: bool = False) -> list[tuple[int, int]]:
+        """(entry, edits) of all whole words within reach of `word`, and of all beginnings within reach of one of its
+        own; with `swaps` two neighbouring characters in the other order are one edit."""
         places: dict[str, int] = {}
         for i, char in enumerate(word):
             places[char] = places.get(char, 0) | 1 << i
         most, accept = self.allowed(len(word) + 1), 1 << len(word)
         found = []
-        stack = [(self.root, tuple((2 << e) - 1 for e in range(most + 1)), 0)]
+        start = tuple((2 << e) - 1 for e in range(most + 1))
+        stack = [(self.root, start, 0, (0,) * len(start), 0)]
         while stack:
-            node, reached, depth = stack.pop()
+            node, reached, depth, earlier, there = stack.pop()
             entry = node.get("")
             if entry is not None:
                 edits = next((e for e, bits in enumerate(reached) if bits & accept), None)
                 if edits is not None and edits <= self.allowed(depth):
                     found.append((entry, edits))
+            entry = node.get(STEM)
+            if entry is not None:
+                edits = next((e for e, bits in enumerate(reached) if bits), None)
+                if edits is not None and edits <= self.allowed(depth):
+                    found.append((entry, edits))
             for char, child in node.items():
                 if char in ("", STEM):
                     continue
                 here = places.get(char, 0)
-                after, less, less_before = [], 0, 0
-                for bits in reached:
+                after, less, less_before, less_earlier = [], 0, 0, 0
+                for bits, old in zip(reached, earlier):
                     now = (bits & here) << 1 | less_before | less_before << 1 | less << 1
+                    if swaps:
+                        now |= ((less_earlier & here) << 1 & there) << 1
                     after.append(now)
-                    less, less_before = now, bits
+                    less, less_before, less_earlier = now, bits, old
                 if any(after):
-                    stack.append((child, tuple(after), depth + 1))
+                    stack.append((child, tuple(after), depth + 1, reached, here))
         return found
 
 
@@ -113,30 +125,51 @@ def strip(word: str) -> str:
     return word.strip(EDGES)
 
 
+def forms(raw: str) -> set[str]:
+    """The word less the punctuation around it, and less all that is no letter, digit or mark."""
+    word = strip(raw)
+    if not word or word[0].isalnum() and word[-1].isalnum():
+        return {word}
+    stay = [i for i, char in enumerate(word) if char.isalnum() or unicodedata.category(char)[0] == "M"]
+    return {word, word[stay[0]:stay[-1] + 1]} if stay else {word}
+
+
 class Finder:
     """Hits of texts; words without any are remembered up to a bound."""
 
     def __init__(self, entries: list[str]):
         self.trie = Trie(entries)
         self.exact = {entry for entry in entries if not entry.endswith(STEM)}
-        # One edit leaves the first or the last two characters as they are, two edits one of three parts.
+        # One edit leaves the first or the last two characters as they are, two edits one of three parts, or, if
+        # characters are swapped across their borders, the first or the last part with the neighbour's character.
         short = [e for e in self.exact if Trie.allowed(len(e)) < 2]
         long = [e for e in self.exact if Trie.allowed(len(e)) == 2]
         self.heads, self.tails = {e[:2] for e in short}, {e[-2:] for e in short}
         self.short_lengths = {n for e in short for n in range(len(e) - 1, len(e) + 2)}
         self.long_lengths = {n for e in long for n in range(len(e) - 2, len(e) + 3)}
-        parts = {part for e in long for k in (len(e) // 3,) for part in (e[:k], e[k:2 * k], e[2 * k:])}
+        parts = {part for e in long for k in (len(e) // 3,)
+                 for part in (e[:k], e[k:2 * k], e[2 * k:], e[:k - 1] + e[k], e[2 * k - 1] + e[2 * k + 1:])}
         self.parts = re.compile("|".join(map(re.escape, sorted(parts))))
+        stems = [e[:-1] for e in entries if e.endswith(STEM) and Trie.allowed(len(e) - 1)]
+        self.stem_heads = {e[:2] for e in stems}
+        self.stem_tails = {(at, e[-2:]) for e in stems for at in range(len(e) - 3, len(e))}
+        self.stem_places = sorted({at for at, _ in self.stem_tails})
         self.clean: set[str] = set()
 
     def word(self, raw: str) -> list[tuple[int, int]]:
-        word = strip(raw)
-        found = self.trie.stems(word)
-        size = len(word)
-        if (size in self.short_lengths and (word[:2] in self.heads or word[-2:] in self.tails)
-                or size in self.long_lengths and self.parts.search(word)):
-            found += self.trie.search(word)
-        return found
+        found = []
+        for word in forms(raw):
+            found += self.trie.stems(word)
+            size = len(word)
+            if (size in self.short_lengths and (word[:2] in self.heads or word[-2:] in self.tails)
+                    or size in self.long_lengths and self.parts.search(word)
+                    or word[:2] in self.stem_heads
+                    or any((at, word[at:at + 2]) in self.stem_tails for at in self.stem_places)):
+                found += self.trie.search(word, swaps=True)
+        best: dict[int, int] = {}
+        for entry, edits in found:
+            best[entry] = min(edits, best.get(entry, edits))
+        return list(best.items())
 
     def text(self, text: str) -> list[tuple[int, str]]:
         """(entry, kind) of each word's best hit: exact, near (misspelled), quoted."""
@@ -182,7 +215,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         seen = (Counter(), Counter())
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            words = {strip(raw) for raw in set(text.lower().split())}
+            words = {word for raw in set(text.lower().split()) for word in forms(raw)}
             seen[label].update(words)
             seen[label].update({word[:n] + STEM for word in words for n in STEMS if len(word) >= n})
         terms = list(seen[0].keys() | seen[1].keys())

@@ -76,6 +76,42 @@ def test_misspellings_do_not_add_up():
     assert finder.text("achlichver") == [(2, "exact")]
 
 
+def swap_distance(a, b):
+    """Edits from a to b, two neighbouring characters swapped being one, by the whole table."""
+    rows = [[max(i, j) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            rows[i][j] = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if min(i, j) > 1 and a[i - 2:i] == b[j - 2:j][::-1]:
+                rows[i][j] = min(rows[i][j], rows[i - 2][j - 2] + 1)
+    return rows[-1][-1]
+
+
+def test_finder_is_swap_distance():
+    """Swaps, misspelled beginnings and signs around words, against the distance to every entry."""
+    rng = random.Random(3)
+    entries = ["idiot", "worthless", "disgusting", "scum", "clown", "réeuxa*", "bocoo*", "clownish"]
+    finder = toxicity.Finder(entries)
+    for _ in range(3000):
+        entry = rng.choice(entries)
+        word = list(entry.rstrip("*"))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(word))
+            if rng.random() < 0.5:
+                word[at:at + 2] = word[at:at + 2][::-1]
+            else:
+                word[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "o", "t"])
+        word = "".join(word) + (rng.choice(["", "xyz", "o"]) if entry.endswith("*") else "")
+        want = set()
+        for n, e in enumerate(entries):
+            ends = range(len(word) + 1) if e.endswith("*") else (len(word),)
+            edits = min(swap_distance(e.rstrip("*"), word[:end]) for end in ends)
+            if edits <= min(finder.trie.allowed(len(e.rstrip("*"))), finder.trie.allowed(len(word) + 1)):
+                want.add((n, edits))
+        assert set(finder.word("#" + word + "$$$")) == want, word
+    assert finder.word("idoit") == [(0, 1)] and finder.word("clown###") == [(4, 0)] and finder.word("reeuxaux") == [(5, 1)]
+
+
 def test_toxicity_by_language(spark):
     """Held-out precision and recall at sf0.1; words near an entry alone do not reject texts."""
     root = "/root/testdata/sf0.1"

@@ -21,8 +21,9 @@ fingerprints are combined before the shuffle and have no hot key. Two fingerprin
 alone: both halves must agree.
 
 Defined cases: null text counts as empty; texts shorter than LENGTH bytes lose nothing; empty texts are
-returned with zeros. A repeated document repeats all its windows. Rows with a null id are matched and returned, but
-since spans are kept by id nothing is removed from them; an id must name one text. An empty table gives an empty
+returned with zeros. A repeated document repeats all its windows. Rows with a null id are matched, under a private
+negative key made of their text (63 bits; an id below zero may be the same by chance), and returned, but
+nothing is removed from them; an id must name one text. An empty table gives an empty
 result. Other columns are not looked at.
 """
 
@@ -213,7 +214,12 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, start, stop): stretches of windows that occur elsewhere, in bytes; they may overlap."""
     texts = two_columns(docs, id_col, text_col)
     spark = docs.sparkSession
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    size, unnamed = texts.agg(F.sum(F.octet_length("text").cast("long")), F.count_if(F.col("doc_id").isNull())).first()
+    size = size or 0
+    key = F.xxhash64("text").bitwiseOR(F.lit(-1 << 63))
+    private = texts.filter("doc_id is null").select(key.alias("doc_id")) if unnamed else None
+    if unnamed:
+        texts = texts.withColumn("doc_id", F.coalesce("doc_id", key))
     bits = bloom.size_for(size // HALF, per_row=12, max_bits=FILTER_BITS)
     filter_ = spark.sparkContext.broadcast(_bitmap(map_arrow(texts, _half_hashes, "h long"), bits))
     parse = keep(map_arrow(
@@ -225,7 +231,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = parse.join(keep(repeated, "repeated"), ["f1", "f2"], "left_semi").select(
         "doc_id", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
     low = F.floor((F.col("entry.trigger") - F.col("entry.last")) / BLOCK)
-    each = dictionary.filter("entry.doc_id is not null").select(
+    each = dictionary.select(
         (F.col("n") == 1).alias("once"), "entry.doc_id", "entry.first", "entry.last", "entry.trigger", low.alias("low"),
         F.posexplode("entry.blocks").alias("at", "b"))
     each = each.select("once", "doc_id", "first", "last", "trigger", (F.col("low") + F.col("at")).cast("int").alias("block"), "b.h", "b.g")
@@ -252,7 +258,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                  .filter("n > 1 and any_once").select("f1", "f2"), "ranks")
     windows = suffixes.filter("once").join(ranks, ["f1", "f2"], "left_semi").select(
         "doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
-    return whole.unionByName(blocks).unionByName(windows)
+    spans = whole.unionByName(blocks).unionByName(windows)
+    return spans.join(keep(private.distinct(), "private"), "doc_id", "left_anti") if unnamed else spans
 
 
 def _merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +291,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_bytes."""
     texts = two_columns(docs, id_col, text_col)
-    spans = keep(find_spans(docs, id_col, text_col).filter("doc_id is not null").groupBy("doc_id").agg(
+    spans = keep(find_spans(docs, id_col, text_col).groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     ids, number = spans.select("doc_id"), spans.count()
     met = bloom.within(texts, "doc_id", ids, number).join(spans, "doc_id")

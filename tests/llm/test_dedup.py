@@ -137,3 +137,21 @@ def test_repeats_odd_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in suffix_dedup.remove_repeats(docs).collect())
     assert got == cut(rows)
+
+
+def test_repeats_shared_with_null_ids(spark):
+    """Passages that stand elsewhere only in rows without an id, phrases shared with such rows, and copies of them."""
+    rng = random.Random(6)
+    free = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    one, two, three = free(210), free(900), free(320)
+    rows = [(None, free(300) + one + free(300)), (1, free(400) + one + free(100)), (None, two), (2, free(50) + two + free(50)),
+            (3, two[100:500] + free(300)), (None, free(80) + three), (None, free(90) + three[3:]), (4, three[10:250] + free(40)),
+            (None, two), (-5, free(250)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes))
+                 for r in suffix_dedup.remove_repeats(docs).collect() if r.doc_id is not None)
+    numbered = [(1000 + n if i is None else i, text) for n, (i, text) in enumerate(rows)]
+    want = [row for row in cut(numbered) if row[0] < 1000]
+    assert [row[2] > 0 for row in want] == [False, True, True, True, True] and got == want
+    left = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect() if r.doc_id is None)
+    assert left == sorted((len(text or ""), 0) for i, text in rows if i is None)

@@ -178,6 +178,15 @@ def test_leaks_match_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs.repartition(4), benchmark).collect()} == want
 
 
+def test_leaks_of_items_that_share_a_passage(spark):
+    """A quote from the inside of a passage that two items share is a leak of both."""
+    words = [f"v{i}" for i in range(100)]
+    items = [(1, " ".join(["one"] + words[:50])), (2, " ".join(words[:50] + ["two"])), (3, " ".join(["ONE"] + words[:50])), (4, "x y z")]
+    docs = spark.createDataFrame([(7, " ".join(["q"] + words[3:45] + ["q"]))], "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.item_id, r.first_token, r.last_token, r.matched) for r in found.collect()) == [(1, 0, 44, 12), (2, 0, 44, 12)]
+
+
 def test_leaks_on_documents(spark):
     """Every document that shares eight tokens in a row with an item is found, and no other."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -8,10 +8,10 @@ both sides carry along, tell in how many tokens the stretch agrees. None is miss
 
 The benchmark may have any size. Document seeds that no item has are dropped inside the scan by a bitmap of
 bounded size (`FILTER_BITS`), which may let others through but loses none; the rest meet the
-items in a join, whose hot keys Spark splits. Items of fewer than `SPAN` tokens are matched as a whole and without
-substitutions; items of fewer than `LEAST` tokens are too short to tell from chance and match nothing.
+items in a join, whose hot keys Spark splits. Items of fewer than `SPAN` tokens are matched as a whole, with
+one substitution from `LOOSE` tokens on (masks that ignore a third each) and without below; items of fewer than `LEAST` tokens are too short to tell from chance and match nothing.
 
-Tokens are lower-cased; ASCII punctuation and white space end them. Defined cases: null text counts as empty and
+Tokens are lower-cased; ASCII and CJK punctuation and white space end them; in scripts without spaces each character is one. Defined cases: null text counts as empty and
 leaks nothing; rows with a null id match nothing and are kept; items with a null id are used like others, and
 items of the same tokens are reported under the least id; repeated documents are reported
 once; empty documents or an empty benchmark give no leaks. Other columns are not looked at.
@@ -19,6 +19,7 @@ once; empty documents or an empty benchmark give no leaks. Other columns are not
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 from functools import reduce
@@ -33,7 +34,7 @@ from . import bloom
 from .scratch import keep, map_arrow, slices, two_columns
 from .words import MULTIPLIERS, WordHashes, flat_hashes, mix
 
-SPAN, MATCHES, LEAST = 12, 10, 5
+SPAN, MATCHES, LOOSE, LEAST = 12, 10, 8, 5
 # The places each mask ignores. Every pair of places is in one of them.
 IGNORED = (
     (0, 1, 2, 3), (0, 4, 6, 7), (0, 5, 9, 11), (0, 8, 9, 10), (1, 2, 4, 9), (1, 5, 7, 8),
@@ -46,13 +47,28 @@ _SALT = 0x9E3779B97F4A7C15
 _RESTS = [f"r{k}" for k in range(REST)]
 
 
+# Thai and Lao, Tibetan, Myanmar, Khmer, kana, Han; then the punctuation used with them.
+_ALONE = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_MARKS = re.compile("[\u3000-\u303f\uff00-\uff0f\uff1a-\uff20]")
+
+
 def tokens_of(texts: list[str]) -> list[list[bytes]]:
-    return [text.lower().encode().translate(_TABLE).split() for text in texts]
+    return [_spaced(text.lower()).encode().translate(_TABLE).split() for text in texts]
+
+
+def _spaced(text: str) -> str:
+    """`text` with spaces around each character of a script without spaces."""
+    if text.isascii() or not _ALONE.search(text):
+        return text
+    return _ALONE.sub(r" \g<0> ", _MARKS.sub(" ", text))
 
 
 def masks_of(width: int) -> tuple[tuple[int, ...], ...]:
     """Ignored places of each mask for passages of `width` tokens."""
-    return IGNORED if width == SPAN else ((),)
+    if width == SPAN or width < LOOSE:
+        return IGNORED if width == SPAN else ((),)
+    third = -(-width // 3)
+    return tuple(tuple(range(k, min(k + third, width))) for k in range(0, width, third))
 
 
 def seeds(flat: np.ndarray, ends: np.ndarray, counts: np.ndarray, widths: tuple[int, ...]):
@@ -153,7 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     met = hits.join(items.withColumnsRenamed({name: f"item_{name}" for name in _RESTS}), "h")
     agree = reduce(add, [(F.col(name) == F.col(f"item_{name}")).cast("int") for name in _RESTS])
     best = met.withColumn("lost", REST - agree)
-    allowed = F.when(F.col("width") == SPAN, SPAN - MATCHES).otherwise(0)
+    allowed = F.when(F.col("width") == SPAN, SPAN - MATCHES).when(F.col("width") >= LOOSE, 1).otherwise(0)
     return best.filter(F.col("lost") <= allowed).groupBy("doc_id", "item_id").agg(
         F.min("doc_at").alias("first_token"), F.max(F.col("doc_at") + F.col("width")).alias("last_token"),
         F.max(F.col("width") - F.col("lost")).alias("matched"), F.count(F.lit(1)).alias("hits"))

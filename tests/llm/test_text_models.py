@@ -187,6 +187,20 @@ def test_leaks_of_items_that_share_a_passage(spark):
     assert sorted((r.item_id, r.first_token, r.last_token, r.matched) for r in found.collect()) == [(1, 0, 44, 12), (2, 0, 44, 12)]
 
 
+def test_leaks_of_short_items(spark):
+    """One substitution at any place of 8 to 11 tokens, and characters as tokens in scripts without spaces."""
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(8, 12)] + [(20, "東京都は日本の首都です。")]
+    rows, want = [], set()
+    for n, text in items[:4]:
+        for lost in [(k,) for k in range(n)] + [(0, n - 1)]:
+            words = ["zzz" if k in lost else w for k, w in enumerate(text.split())]
+            rows.append((len(rows), " ".join(["a"] + words + ["b"])))
+            want |= {(len(rows) - 1, n)} if len(lost) == 1 else set()
+    rows.append((1000, "昨日、東京都は日本の首都ですと聞いた"))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, benchmark).collect()} == want | {(1000, 20)}
+
+
 def test_leaks_on_documents(spark):
     """Every document that shares eight tokens in a row with an item is found, and no other."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

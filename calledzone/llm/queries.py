@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, near_dup, packing, quality, sentencepiece_bpe, suffix_dedup, toxicity, warc
+from . import alignment, chat, decontaminate, exact_dedup, near_dup, packing, quality, sentencepiece_bpe, suffix_dedup, toxicity, warc
 from .scratch import new_folder
 
-PIECE_MODEL = "piece_bpe_32k.model"
+PIECE_MODEL, BYTE_RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path(name: str = PIECE_MODEL) -> str:
@@ -73,8 +73,15 @@ def op10_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return near_dup.find_components(table(spark, root, "documents"))
 
 
+def op11_alignment(spark: SparkSession, root: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, root, "documents")
+    return alignment.align(docs, tokenizer_path(BYTE_RANKS), public_tokenizers.PATTERN, tokenizer_path())
+
+
 QUERIES = (op1_exact_dedup, op2_sentencepiece, op3_chat_format, op4_quality, op5_warc, op6_suffix_dedup, op7_decontaminate,
-           op8_toxicity, op9_token_matrices, op10_near_dedup)
+           op8_toxicity, op9_token_matrices, op10_near_dedup, op11_alignment)
 
 ORACLES = {
     "op1_exact_dedup": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, exact_dedup, near_dup, packing, quality, sentencepiece_bpe, suffix_dedup, toxicity, warc
+from . import alignment, chat, decontaminate, exact_dedup, near_dup, packing, prefix_trie, quality, sentencepiece_bpe, suffix_dedup, toxicity, warc
 from .scratch import new_folder
 
 PIECE_MODEL, BYTE_RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -80,8 +80,21 @@ def op11_alignment(spark: SparkSession, root: str) -> DataFrame:
     return alignment.align(docs, tokenizer_path(BYTE_RANKS), public_tokenizers.PATTERN, tokenizer_path())
 
 
+def op12_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
+    """All conversations, each begun with the first turns of the first one of its five."""
+    given = prefix_trie.conversations(table(spark, root, "conversations"))
+    return prefix_trie.build_trie(prefix_trie.splice(given))
+
+
 QUERIES = (op1_exact_dedup, op2_sentencepiece, op3_chat_format, op4_quality, op5_warc, op6_suffix_dedup, op7_decontaminate,
-           op8_toxicity, op9_token_matrices, op10_near_dedup, op11_alignment)
+           op8_toxicity, op9_token_matrices, op10_near_dedup, op11_alignment,
+           op12_prefix_trie)
+
+# Unsigned CRC-32 of a decimal conv_id; the polynomial is a fixed value.
+CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+                               lambda x, bit: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"""
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -97,4 +110,35 @@ ORACLES = {
                CASE WHEN n >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to
         FROM p""",
+    "op12_prefix_trie": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+                   octet_length(encode(coalesce(text, ''))) AS bytes
+            FROM conversations WHERE conv_id IS NOT NULL),
+        numbered AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(k, 1, 32)) AS i, k, bytes FROM turns),
+        heads AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {CRC32} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+        rebuilt AS (
+            SELECT c.conv_id, 0 AS part, t.i, t.k, t.bytes FROM heads c JOIN numbered t ON t.conv_id = c.base AND t.i <= c.h
+            UNION ALL
+            SELECT c.conv_id, 1, t.i, t.k, t.bytes FROM heads c JOIN numbered t ON t.conv_id = c.conv_id AND t.i > c.h),
+        path AS (
+            SELECT conv_id, row_number() OVER told AS depth, sha256(string_agg(k, '') OVER told) AS node, bytes
+            FROM rebuilt WINDOW told AS (PARTITION BY conv_id ORDER BY part, i)),
+        member AS (SELECT conv_id, 0 AS depth, 'root' AS node, 0 AS bytes FROM heads UNION ALL SELECT * FROM path),
+        linked AS (
+            SELECT *, lag(node) OVER told AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends
+            FROM member WINDOW told AS (PARTITION BY conv_id ORDER BY depth)),
+        node AS (
+            SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   any_value(bytes) AS bytes,
+                   sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+            FROM linked GROUP BY node),
+        grown AS (SELECT n.*, (SELECT count(*) FROM node c WHERE c.parent = n.node) AS n_children FROM node n),
+        above AS (
+            SELECT m.node, count(*) FILTER (WHERE g.n_children = 0) AS n_leaves, sum((g.n_convs - 1) * g.bytes) AS saved_tokens
+            FROM grown g JOIN member m ON m.conv_id = g.conv_id AND m.depth <= g.depth GROUP BY m.node)
+        SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children, a.n_leaves,
+               a.saved_tokens::BIGINT AS saved_tokens, g.ends_sha256
+        FROM grown g JOIN above a ON a.node = g.node LEFT JOIN node p ON p.node = g.parent""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, exact_dedup, near_dup, packing, prefix_trie, quality, sentencepiece_bpe, suffix_dedup, toxicity, warc
+from . import alignment, chat, decontaminate, exact_dedup, near_dup, ngram_join, packing, prefix_trie, quality, sentencepiece_bpe, suffix_dedup, toxicity, warc
 from .scratch import new_folder
 
 PIECE_MODEL, BYTE_RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -86,9 +86,13 @@ def op12_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
     return prefix_trie.build_trie(prefix_trie.splice(given))
 
 
+def op13_ngram_join(spark: SparkSession, root: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, root, "documents"))
+
+
 QUERIES = (op1_exact_dedup, op2_sentencepiece, op3_chat_format, op4_quality, op5_warc, op6_suffix_dedup, op7_decontaminate,
            op8_toxicity, op9_token_matrices, op10_near_dedup, op11_alignment,
-           op12_prefix_trie)
+           op12_prefix_trie, op13_ngram_join)
 
 # Unsigned CRC-32 of a decimal conv_id; the polynomial is a fixed value.
 CRC32 = """xor(list_reduce(

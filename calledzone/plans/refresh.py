@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calledzone import schema as S
 from calledzone.plans import evaluation, repair, training, zones
-from calledzone.session import materialise
+from calledzone.session import materialise, small_side
 from calledzone.sources import sinks
 from calledzone.sources.tables import GameTables
 
@@ -34,10 +34,11 @@ def refresh(
     training.batch_batters(store, tables, after_season=season - 1, **batter_options)
     repair.repair_batters(store, tables, **batter_options)
     limits = zones.batter_zones(tables.atbats, store.current(), after_season=season - 1)
-    sinks.write_batter_zones(limits, paths.zones)
-    known = spark.read.schema(S.BATTER_ZONES).parquet(paths.zones)
+    zones_table = sinks.zones_table(spark, paths.zones)
+    sinks.write_batter_zones(limits, zones_table)
+    known = zones_table.read()
     # Seasons the store has no zones of keep those they came with, so that older nets can be refitted.
-    others = tables.zones.join(F.broadcast(known.select("year").distinct()), "year", "left_anti")
+    others = tables.zones.join(small_side(known.select("year").distinct()), "year", "left_anti")
     tables = tables.with_zones(known.unionByName(others.select(*known.columns)))
 
     training.batch_yearly(store, tables, [season], **umpire_options)
@@ -50,8 +51,10 @@ def refresh(
     area = zones.area_report(
         zones.net_area(tables, models), zones.season_bucket_area(fact, tables.games)
     )
-    sinks.write_umpire_ucs(evaluation.season_scores(fact, models), paths.ucs)
-    ucs = spark.read.parquet(paths.ucs)
+    scores = sinks.scores_table(spark, paths.ucs)
+    sinks.write_umpire_ucs(evaluation.season_scores(fact, models), scores)
+    ucs = scores.read().where(F.col("season") == season)
+    store.compact()
     by_umpire = evaluation.extra_strikes_by_umpire(ucs, tables.umpires, season, season)
     by_season = evaluation.extra_strikes_by_season(ucs, season, season)
     return {

@@ -78,14 +78,43 @@ def called_pitches(
     return fact
 
 
+def judged_pitches(tables: GameTables, game_types: Iterable[str] = (S.REGULAR,)) -> DataFrame:
+    """All called pitches of officiated games, for jobs that need several views of them.
+
+    `called_pitches` with a zone is `has_zone` here, with known height `known_height`; written
+    once, one shuffle of the pitches serves lists, fits and scores.
+    """
+    atbats = tables.atbats.select("gameName", "num", "batter", "stand", "b_height_in", *[
+        c for c in ("game_date", "season", "month") if c in tables.atbats.columns])
+    zones = tables.zones.select(
+        F.col("batter").cast("long").alias("batter"), F.col("year").alias("season"), "sz_top", "sz_bot",
+        F.lit(True).alias("has_zone"))
+    atbats = with_calendar(atbats).join(officiated_games(tables, game_types), "gameName")
+    atbats = atbats.join(zones, ["batter", "season"], "left").select(
+        "gameName", F.col("num").alias("gameAtBatID"), "game_date", "season", "month", "umpire", "batter", "stand",
+        F.coalesce(F.col("b_height_in") != 0, F.lit(False)).alias("known_height"),
+        F.coalesce("has_zone", F.lit(False)).alias("has_zone"), "sz_top", "sz_bot")
+    season_key = _season_key(tables.atbats, tables.pitches)
+    pitches = tables.pitches.where(P.is_called(F.col("des")) & F.col("px").isNotNull() & F.col("pz").isNotNull()).select(
+        "gameName", "gameAtBatID", *season_key, F.col("gamedayPitchID").alias("pitch_id"),
+        "px", "pz", "pfx_x", "pfx_z", P.strike_flag(F.col("des")).alias("c"))
+    fact = pitches.join(atbats, ["gameName", "gameAtBatID", *season_key]).drop("gameName", "gameAtBatID")
+    top, bottom = F.col("sz_top"), F.col("sz_bot")
+    return fact.withColumn("sz_mid", P.zone_midpoint(top, bottom)).withColumn(
+        "pz_ratio", P.scaled_height(F.col("pz"), top, bottom))
+
+
 def umpire_names(umpires: DataFrame) -> DataFrame:
     """One name per umpire id; the smallest, so that it is always the same one."""
     return umpires.groupBy("id").agg(F.min("name").alias("name"))
 
 
-def umpire_pitch_counts(tables: GameTables, *extra: str, where=None) -> DataFrame:
-    """Called pitches per umpire, season and `extra` columns; names are joined to the counts."""
-    fact = called_pitches(tables, with_zone=False, known_height=True)
+def umpire_pitch_counts(tables: GameTables, *extra: str, where=None, judged: DataFrame | None = None) -> DataFrame:
+    """Called pitches per umpire, season and `extra` columns; names are joined to the counts.
+
+    `judged` may give the rows of `judged_pitches` where they are written already.
+    """
+    fact = called_pitches(tables, with_zone=False, known_height=True) if judged is None else judged.where("known_height")
     if where is not None:
         fact = fact.where(where)
     counts = fact.groupBy(F.col("umpire").alias("id"), "season", *extra).agg(
@@ -100,10 +129,12 @@ def umpire_seasons(tables: GameTables, first_season: int, last_season: int) -> D
     return umpire_pitch_counts(tables, where=F.col("season").between(first_season, last_season))
 
 
-def umpire_months(tables: GameTables, last_season: int, after_month: int = 0) -> DataFrame:
+def umpire_months(
+    tables: GameTables, last_season: int, after_month: int = 0, judged: DataFrame | None = None
+) -> DataFrame:
     """Umpire-months per hand: the individual fit list, or the scoring list with after_month=4."""
     where = (F.col("season") <= last_season) & (F.col("month") > after_month)
-    return umpire_pitch_counts(tables, "stand", "month", where=where)
+    return umpire_pitch_counts(tables, "stand", "month", where=where, judged=judged)
 
 
 def batter_seasons(atbats: DataFrame, after_season: int) -> DataFrame:

@@ -41,9 +41,16 @@ def extra_strikes_by_season(ucs: DataFrame, first_season: int, last_season: int)
     return run_named(ucs.sparkSession, "extra_strikes_by_season", args, ucs=ucs)
 
 
-def comparison_fact(tables: GameTables, fact: DataFrame, last_season: int, after_month: int = 4) -> DataFrame:
+def scored_rows(judged: DataFrame) -> DataFrame:
+    """The rows of `evaluation_fact` among those of `judged_pitches`."""
+    return judged.where(F.col("has_zone") & F.col("stand").isin(*S.HANDS))
+
+
+def comparison_fact(
+    tables: GameTables, fact: DataFrame, last_season: int, after_month: int = 4, judged: DataFrame | None = None
+) -> DataFrame:
     """Pitches of the umpire-months on the scoring list."""
-    listed = umpire_months(tables, last_season, after_month).select(
+    listed = umpire_months(tables, last_season, after_month, judged).select(
         F.col("id").alias("umpire"), F.col("year").alias("season"), "month"
     ).distinct()
     return fact.join(small_side(materialise(listed)), ["umpire", "season", "month"], "left_semi")

@@ -1,4 +1,4 @@
-"""The full refresh: back up, fit, repair, zones, areas, evaluation, reports."""
+"""The refresh: back up, fit, repair, zones, areas, evaluation, reports; of a season, or of all that new games touch."""
 
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -9,6 +9,8 @@ from calledzone import schema as S
 from calledzone.plans import evaluation, repair, training, zones
 from calledzone.session import materialise, small_side
 from calledzone.sources import sinks
+from calledzone.sources.lake import Lake
+from calledzone.sources.published import Versions
 from calledzone.sources.tables import GameTables
 
 
@@ -64,3 +66,25 @@ def refresh(
             ("results", by_umpire), ("results_tot", by_season),
         )
     }
+
+
+def refresh_new(
+    raw: GameTables, lake: Lake, store: sinks.ModelStore, paths: RefreshPaths, run_day: date, started: datetime,
+    **options,
+) -> dict[int, dict[str, str]]:
+    """Take the new games of `raw` into the lake, then refresh the seasons whose rows changed; reports by season.
+
+    Which version of the lake a season was last refreshed from is published after its reports, so a season whose
+    refresh was cut short is refreshed by the next run, new games or not.
+    """
+    lake.ingest(raw)
+    version = lake.version()
+    state = Versions(lake.spark, f"{paths.reports}/_seasons")
+    seen = {int(season): v for season, v in state.notes().items()}
+    written = {}
+    for season in lake.changed_seasons(seen, version):
+        zones = sinks.zones_table(lake.spark, paths.zones).read()
+        tables = lake.tables(zones, version, seasons=[season])
+        written[season] = refresh(tables, store, paths, season, run_day, started, **options)
+        state.publish(lambda old: old, lambda old, season=season: {**old, str(season): version})
+    return written

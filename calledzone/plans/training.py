@@ -67,9 +67,9 @@ def yearly_tasks(games: DataFrame, kind: str = S.UMPIRE_GENERIC) -> DataFrame:
     return C.as_tasks(C.per_hand(C.year_windows(season_range(games))), kind)
 
 
-def individual_tasks(tables: GameTables, last_season: int) -> DataFrame:
+def individual_tasks(tables: GameTables, last_season: int, judged: DataFrame | None = None) -> DataFrame:
     """Year-to-date windows of every umpire-month and hand in the umpire list."""
-    listed = umpire_months(tables, last_season).where(F.col("stand").isin(*S.HANDS)).select(
+    listed = umpire_months(tables, last_season, judged=judged).where(F.col("stand").isin(*S.HANDS)).select(
         F.col("id").alias("entity_id"), F.col("year").alias("season"), "month", "stand"
     )
     return C.as_tasks(C.year_to_date(listed), S.UMPIRE_INDIVIDUAL)
@@ -144,10 +144,14 @@ def train_and_save(
     store.save(train(fact, tasks, kind, **options))
 
 
+def save_buckets(store: ModelStore, fact: DataFrame, tasks: DataFrame) -> None:
+    """Bucket models of the windows and hands of `tasks`."""
+    store.save_buckets(bucket_models(fact.where(F.col("stand").isin(*S.HANDS)), tasks))
+
+
 def train_and_save_buckets(store: ModelStore, fact: DataFrame, games: DataFrame) -> None:
     """Bucket models of all months and hands."""
-    hands = fact.where(F.col("stand").isin(*S.HANDS))
-    store.save_buckets(bucket_models(hands, monthly_tasks(games)))
+    save_buckets(store, fact, monthly_tasks(games))
 
 
 def batch_daily(store, tables: GameTables, **options) -> None:

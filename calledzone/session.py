@@ -39,6 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A folder nobody has written to yet, with all others of this run in the shared folder."""
+    return f"{shared_folder(spark)}/calledzone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` once as a table in the shared folder, for results that several branches read.
 
@@ -47,8 +52,7 @@ def materialise(df: DataFrame) -> DataFrame:
     which may be deleted once the run is over.
     """
     spark = df.sparkSession
-    run = f"{shared_folder(spark)}/calledzone-{spark.sparkContext.applicationId}"
-    path = f"{run}/{uuid.uuid4().hex}"
+    path = run_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -19,6 +19,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 VERSIONS = "_versions"
@@ -99,10 +100,10 @@ class Versions:
 
     def _manifest(self, version: int | None) -> dict:
         version = self.newest() if version is None else version
-        return {"parts": {}, "notes": {}} if version is None else json.loads(self.files.read(self.path(version)))
+        return json.loads(self.files.read(self.path(version))) if version else {"parts": {}, "notes": {}}
 
     def parts(self, version: int | None = None) -> dict[str, list[str]]:
-        """Folders of each part in a version, the newest unless one is named."""
+        """Folders of each part in a version, the newest unless one is named; version 0 is the table before any write."""
         return self._manifest(version)["parts"]
 
     def notes(self, version: int | None = None) -> dict:
@@ -158,7 +159,7 @@ class PublishedTable:
     def stage(self, rows: DataFrame) -> dict[str, list[str]]:
         """Write rows into a folder no manifest names yet, its own, so that writers do not meet; returns its parts."""
         write = f"{WRITE}={uuid.uuid4().hex}"
-        staged = rows.select(*self.schema.fieldNames())
+        staged = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
         if self.by:
             # Even files: small parts are merged, a large one is split.
             staged = staged.hint("rebalance", *self.by)

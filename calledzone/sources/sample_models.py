@@ -67,27 +67,29 @@ def _models(
     return materialise(models)
 
 
-def season_nets(tables: GameTables, fact: DataFrame) -> DataFrame:
-    """Pooled season nets; none is spoiled by bias, some by a missed convergence."""
-    tasks = training.yearly_tasks(tables.games)
+def _pooled_kind(movement: bool) -> tuple[str, tuple[str, ...]]:
+    return (S.UMPIRE_MOVEMENT, S.MOVEMENT_FEATURES) if movement else (S.UMPIRE_GENERIC, S.ZONE_FEATURES)
+
+
+def season_nets(tables: GameTables, fact: DataFrame, movement: bool = False) -> DataFrame:
+    """Pooled season nets, or movement nets; none is spoiled by bias, some by a missed convergence."""
+    kind, features = _pooled_kind(movement)
+    tasks = training.yearly_tasks(tables.games, kind)
     rows = assign_windows(fact, tasks, ("stand",))
-    return _models(tasks, rows, S.ZONE_FEATURES)
+    return _models(tasks, rows, features)
 
 
 def month_nets(tables: GameTables, fact: DataFrame, movement: bool = False) -> DataFrame:
     """Pooled month nets, or movement nets."""
-    kind, features = (
-        (S.UMPIRE_MOVEMENT, S.MOVEMENT_FEATURES) if movement
-        else (S.UMPIRE_GENERIC, S.ZONE_FEATURES)
-    )
+    kind, features = _pooled_kind(movement)
     tasks = training.monthly_tasks(tables.games, kind)
     rows = assign_windows(fact, tasks, ("stand",))
     return _models(tasks, rows, features)
 
 
-def individual_nets(tables: GameTables, fact: DataFrame) -> DataFrame:
+def individual_nets(tables: GameTables, fact: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """Year-to-date nets; every tenth umpire's is bad."""
-    tasks = training.individual_tasks(tables, last_season=9999)
+    tasks = training.individual_tasks(tables, last_season=9999, judged=judged)
     tasks = materialise(tasks)
     rows = assign_windows(fact, tasks.withColumn("umpire", F.col("entity_id")), ("umpire", "stand"))
     bias = f"CASE WHEN entity_id % 10 = 6 THEN {BAD_UMPIRE_BIAS}D ELSE {OUT_BIAS}D END"

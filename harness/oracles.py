@@ -286,6 +286,22 @@ running AS (
   FROM long GROUP BY model, score
   WINDOW w AS (PARTITION BY model ORDER BY score DESC), a AS (PARTITION BY model)
 )"""
+SEASON_ROC = f"""moving_seasons AS MATERIALIZED ({boxed(
+    f"""SELECT w.season, span, d_s, d_e, stand, {centres('pz_ratio')}
+        FROM fact JOIN year_w w ON game_date >= d_s AND game_date < d_e GROUP BY ALL""",
+    1.0, "-21.0", extra=", 0.05::DOUBLE, -0.05::DOUBLE")}),
+season_roc AS (
+  SELECT f.*, {p('px', 'pz_ratio', hidden='g.w_hidden', out='g.w_out')} AS p_gen,
+         {p('px', 'pz_ratio', 'pfx_x', 'pfx_z', hidden='m.w_hidden', out='m.w_out')} AS p_pdata,
+         CASE WHEN h.season IS NULL THEN NULL ELSE coalesce(b.ratio, 0) END AS p_bucket
+  FROM (SELECT * FROM fact
+        SEMI JOIN (SELECT DISTINCT id AS umpire, season, month FROM counts WHERE month > 4) USING (umpire, season, month)) f
+  LEFT JOIN (SELECT * FROM season_nets WHERE status = 'ok' AND sse <> 0) g USING (season, stand)
+  LEFT JOIN (SELECT * FROM moving_seasons WHERE status = 'ok' AND sse <> 0) m USING (season, stand)
+  LEFT JOIN (SELECT DISTINCT season, stand FROM season_buckets) h USING (season, stand)
+  LEFT JOIN season_buckets b ON b.season = f.season AND b.stand = f.stand
+   AND b.grid_x = floor(px * 12) AND b.grid_z = floor(pz * 12)
+)"""
 ROC_CTES = (MONTH_NETS, MOVEMENT_NETS, INDIVIDUAL_NETS, ROC)
 
 
@@ -529,3 +545,15 @@ ORACLES |= {
         f"SELECT *, {key('ump_individual', 'entity_id')} AS model_key FROM individual_nets"
         f" WHERE status <> 'ok' OR {CENTRE} < 0.8", "train", UMPIRE, INDIVIDUAL_UNITS), INDIVIDUAL_NETS),
 }
+
+ORACLES |= {
+    "stored_comparison": ORACLES["roc_scores"],
+    "stored_auc": ORACLES["roc_auc"],
+    "ingested_pitches": ORACLES["called_pitches"],
+    "season_comparison": query("""
+      SELECT pitch_id AS gamedayPitchID, umpire, game_date AS date, CAST(0 AS BIGINT) AS n,
+             round(coalesce(p_gen, -999), 6) AS nn_ind, round(coalesce(p_gen, -999), 6) AS nn_gen,
+             round(coalesce(p_pdata, -999), 6) AS nn_pdata, round(coalesce(p_gen, -999), 6) AS nn_regress,
+             round(coalesce(p_bucket, -999), 6) AS roeg, CAST(c AS SMALLINT) AS c, stand
+      FROM season_roc""", SEASON_NETS, BUCKETS, SEASON_ROC),
+}

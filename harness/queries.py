@@ -19,8 +19,11 @@ from calledzone.plans import evaluation as E
 from calledzone.plans import repair as R
 from calledzone.plans import training as T
 from calledzone.plans import zones as Z
-from calledzone.session import materialise, small_side
+from calledzone.plans.comparison import Comparison
+from calledzone.session import materialise, run_folder, small_side
 from calledzone.sources import sample, sample_models
+from calledzone.sources.lake import TABLES, Lake
+from calledzone.sources.sinks import ModelStore
 from calledzone.sources.tables import GameTables, with_calendar
 
 FIRST, LAST = 1995, 2001
@@ -281,21 +284,28 @@ def area_report(spark, root):
     return rounded(report, 4, "my_area", "diff")
 
 
-def _roc(tables: GameTables) -> DataFrame:
-    """The comparison table, its fact written once because five models are made from it."""
-    fact = materialise(
-        scored_fact(tables).select(
-            "pitch_id", "umpire", "game_date", "season", "month", "stand", "c", *S.MOVEMENT_FEATURES, "pz"
-        )
-    )
-    nets = (
+def _judged(tables: GameTables) -> DataFrame:
+    """Every called pitch, written once for the lists, the nets and the scores of a comparison."""
+    columns = ("pitch_id", "umpire", "game_date", "season", "month", "stand", "known_height", "has_zone", "c", "pz")
+    return materialise(Q.judged_pitches(tables).select(*columns, *S.MOVEMENT_FEATURES))
+
+
+def _comparison_nets(tables: GameTables, judged: DataFrame) -> DataFrame:
+    fact = E.scored_rows(judged)
+    return (
         sample_models.month_nets(tables, fact)
         .unionByName(sample_models.month_nets(tables, fact, movement=True))
-        .unionByName(sample_models.individual_nets(tables, fact))
+        .unionByName(sample_models.individual_nets(tables, fact, judged))
     )
+
+
+def _roc(tables: GameTables) -> DataFrame:
+    """The comparison table, its fact written once because five models are made from it."""
+    judged = _judged(tables)
+    fact = E.scored_rows(judged)
     buckets = materialise(B.bucket_models(fact, T.monthly_tasks(tables.games)))
-    listed = E.comparison_fact(tables, fact, last_season=LAST)
-    return E.compare_models(listed, nets, buckets)
+    listed = E.comparison_fact(tables, fact, last_season=LAST, judged=judged)
+    return E.compare_models(listed, _comparison_nets(tables, judged), buckets)
 
 
 def roc_scores(spark, root):
@@ -321,6 +331,69 @@ def roc_auc(spark, root):
     return rounded(E.areas_under_curves(_roc_data(spark, root)), 6, "auc")
 
 
+def _comparison(tables: GameTables, run_id: str = "run", **settings) -> Comparison:
+    """A run of the comparison in a folder of its own."""
+    folder = run_folder(tables.pitches.sparkSession, "comparison")
+    store = ModelStore(tables.pitches.sparkSession, f"{folder}/store")
+    return Comparison(tables, store, folder, run_id, last_season=LAST, after_season=FIRST - 1, digits=6, **settings)
+
+
+def _stored_comparison(spark, root) -> Comparison:
+    tables = sample.load(spark, root)
+    run = _comparison(tables)
+    run.store.save(_comparison_nets(tables, run.judged))
+    run.fit_buckets()
+    return run
+
+
+def stored_comparison(spark, root):
+    """Scores of nets and buckets read from the store in noted versions, a season at a time."""
+    return _stored_comparison(spark, root).scores().drop("season")
+
+
+def stored_auc(spark, root):
+    """Areas published by a run whose nets and buckets come from the store."""
+    return rounded(_stored_comparison(spark, root).areas(), 6, "auc")
+
+
+def fitted_auc(spark, root):
+    """From fits to areas: nets of all months fitted, stored, read back, scored and compared."""
+    run = _comparison(sample.load(spark, root))
+    run.fit()
+    return rounded(run.areas(), 6, "auc")
+
+
+def season_comparison(spark, root):
+    """Season mode: pooled season nets and buckets on the pitches of their own season, no nets of single umpires."""
+    tables = sample.load(spark, root)
+    run = _comparison(tables, by_season=True, individual=False)
+    fact = E.scored_rows(run.judged)
+    run.store.save(sample_models.season_nets(tables, fact).unionByName(
+        sample_models.season_nets(tables, fact, movement=True)))
+    run.fit_buckets()
+    return run.scores().drop("season")
+
+
+# First days of the batches in which the sample's games arrive; the second one splits a season.
+BATCHES = ("1996-01-01", "1998-07-15")
+
+
+def ingested_pitches(spark, root):
+    """The called pitches of a lake that took its games in by three batches, the last two with games it had already."""
+    tables = sample.load(spark, root)
+    raw = {name: getattr(tables, name).drop("game_date", "season", "month") for name in TABLES}
+    lake = Lake(spark, run_folder(spark, "lake"))
+    for end in (*BATCHES, "9999-12-31"):
+        name = f"gid_{end.replace('-', '_')}"
+        lake.ingest(GameTables(**{table: rows.where(F.col("gameName") < name) for table, rows in raw.items()}))
+    fact = T.umpire_training_fact(lake.tables(tables.zones))
+    fact = fact.select(
+        F.col("pitch_id").alias("gamedayPitchID"), "umpire", "batter", "game_date", "season",
+        "month", "stand", "px", "pz", "pfx_x", "pfx_z", "sz_mid", "pz_ratio", "c",
+    )
+    return rounded(fact, 6, "px", "pz", "pfx_x", "pfx_z", "sz_mid", "pz_ratio")
+
+
 def bad_umpire_models(spark, root):
     tables = sample.load(spark, root)
     fact = scored_fact(tables)
@@ -450,5 +523,5 @@ QUERIES = (
     roc_scores, roc_data, roc_curve, roc_auc, bad_umpire_models, bad_batter_models,
     heatmap_zone, heatmap_batter, heatmap_bucket, heatmap_list, model_edges, pending_models,
     fit_umpire_generic, fit_umpire_individual, fit_movement, fit_batter, fit_batter_generic,
-    repair_models,
+    repair_models, stored_comparison, stored_auc, season_comparison, fitted_auc, ingested_pitches,
 )

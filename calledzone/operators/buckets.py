@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calledzone import schema as S
 from calledzone.functions import pitch as P
-from calledzone.operators.windows import open_days
+from calledzone.operators.prefixes import window_sums
 from calledzone.session import small_side
 
 WINDOW = ("season", "span", "d_s", "d_e")
@@ -19,21 +19,14 @@ def bucket_models(
 ) -> DataFrame:
     """Bucket counts of every task in one aggregation.
 
-    Pitches are counted per day and bucket before windows are attached, so
-    overlapping windows repeat the counts and not the pitches.
+    Pitches are counted once per bucket and stretch of days; windows that overlap take running totals of these counts.
     """
-    keys = [*on, "game_date"]
     square = [P.bucket(F.col("px"), per_foot).alias("grid_x"), P.bucket(F.col("pz"), per_foot).alias("grid_z")]
-    daily = fact.groupBy(*keys, *square).agg(
-        F.count("*").alias("n"), F.sum("c").alias("s")
-    )
-    names = list(dict.fromkeys([*on, "entity_id", *WINDOW, "stand"]))
-    days = open_days(tasks).withColumn("umpire", F.col("entity_id")).select("game_date", *names)
-    by_window = daily.join(small_side(days), keys).groupBy(
-        "entity_id", *WINDOW, "stand", "grid_x", "grid_z"
-    )
-    counts = by_window.agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    return counts.withColumn("ratio", F.col("s") / F.col("n"))
+    rows = fact.select(*on, "game_date", *square, F.lit(1).alias("n"), F.col("c").alias("s"))
+    tasks = tasks.withColumn("umpire", F.col("entity_id"))
+    counts = window_sums(rows, tasks, on, ("grid_x", "grid_z"), ("n", "s"), ("entity_id", *WINDOW, "stand"))
+    return counts.select(
+        "entity_id", *WINDOW, "stand", "grid_x", "grid_z", "n", "s", (F.col("s") / F.col("n")).alias("ratio"))
 
 
 def lookup_table(models: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,30 +1,16 @@
 """ROC curves and areas, exact for any number of distinct scores.
 
-Equal scores are counted together first. The running totals over the rest are
-taken in narrow bands of the score's log-odds: totals of the bands, then of the
-scores inside one band, so no task orders all scores of a model.
+Equal scores are counted together first. The running totals over the rest are taken over ranges of the scores as they
+are spread, so no task orders all scores of a model, nor all that crowd at one end of the scale.
 """
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from calledzone.session import materialise
-
-BANDS_PER_UNIT = 1000.0
-# Beyond any log-odds band of a double; for scores at or outside 0 and 1.
-OUTER_BAND = 1_000_000
-
-
-def _band(score: Column) -> Column:
-    odds = F.floor(F.ln(score / (F.lit(1.0) - score)) * F.lit(BANDS_PER_UNIT))
-    return (
-        F.when(score <= 0.0, F.floor(score) - OUTER_BAND)
-        .when(score >= 1.0, F.floor(score) + OUTER_BAND)
-        .otherwise(odds)
-    )
+from calledzone.operators.running import with_running
+from calledzone.session import small_side
 
 
 def long_scores(scores: DataFrame, columns: Mapping[str, str], label: str = "c") -> DataFrame:
@@ -35,37 +21,11 @@ def long_scores(scores: DataFrame, columns: Mapping[str, str], label: str = "c")
 
 def _running(long: DataFrame) -> DataFrame:
     grouped = long.groupBy("model", "score").agg(
-        F.sum("c").alias("pos"), F.count("*").alias("rows")
-    )
-    # Read twice below; written once, so that the pitches are not scored twice.
-    grouped = materialise(
-        grouped.select(
-            "model", "score", _band(F.col("score")).alias("band"), "pos",
-            (F.col("rows") - F.col("pos")).alias("neg"),
-        )
-    )
-    bands = grouped.groupBy("model", "band").agg(
-        F.sum("pos").alias("band_pos"), F.sum("neg").alias("band_neg")
-    )
-    model = Window.partitionBy("model")
-    higher = model.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.select(
-        "model", "band",
-        F.coalesce(F.sum("band_pos").over(higher), F.lit(0)).alias("pos_before"),
-        F.coalesce(F.sum("band_neg").over(higher), F.lit(0)).alias("neg_before"),
-        F.sum("band_pos").over(model).alias("all_pos"),
-        F.sum("band_neg").over(model).alias("all_neg"),
-    )
-    inside = (
-        Window.partitionBy("model", "band")
-        .orderBy(F.desc("score"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        grouped.join(bands, ["model", "band"])
-        .withColumn("tp", F.col("pos_before") + F.sum("pos").over(inside))
-        .withColumn("fp", F.col("neg_before") + F.sum("neg").over(inside))
+        F.sum("c").alias("pos"), (F.count("*") - F.sum("c")).alias("neg")
     )
+    points = with_running(grouped, ["model"], [F.desc("score")], {"tp": "pos", "fp": "neg"})
+    totals = points.groupBy("model").agg(F.max("tp").alias("all_pos"), F.max("fp").alias("all_neg"))
+    return points.join(small_side(totals), "model")
 
 
 def roc_curve(long: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
 """Pitches of many date windows at once, and the latest N of each window, exactly.
 
 Windows are opened into days, so that a window join is an equality join on the
-day. The latest N pitches of a window are found by counting: per day, then per
-id slice of the one day the limit falls in, until a slice is small enough to
-sort. No task ever sorts a whole window, and every later read keeps just the rows
-past a cut point.
+day. The latest N pitches of a window are found by counting: per day, then by a running
+count over ranges of ids in the one day the limit falls in. No task ever sorts a whole
+window or day, and the read behind it keeps just the rows past a cut point.
 """
 
 from collections.abc import Sequence
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from calledzone.operators.running import with_running
 from calledzone.session import materialise, small_side
 
 SLICE_ROWS = 250_000
@@ -36,58 +36,32 @@ def assign_windows(fact: DataFrame, tasks: DataFrame, on: Sequence[str]) -> Data
     return fact.join(small_side(days), keys)
 
 
-def _narrow(rows: DataFrame, edges: DataFrame, slice_rows: int) -> DataFrame:
-    """Cut each edge's id range into slices and keep the slice its limit falls in."""
-    span = F.col("high") - F.col("low")
-    width = F.floor(span / F.ceil(F.col("rows") / F.lit(float(slice_rows)))) + 1
-    slice_of = F.floor((F.col("pitch_id") - F.col("low")) / width).alias("slice")
-    counts = rows.groupBy("model_key", "need", "game_date", slice_of).agg(
-        F.min("pitch_id").alias("low"), F.max("pitch_id").alias("high"), F.count("*").alias("rows")
-    )
-    higher = Window.partitionBy("model_key").orderBy(F.desc("slice")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    counts = counts.withColumn("above", F.coalesce(F.sum("rows").over(higher), F.lit(0)))
-    hit = (F.col("above") < F.col("need")) & (F.col("above") + F.col("rows") >= F.col("need"))
-    found = counts.where(hit).withColumn("need", F.col("need") - F.col("above"))
-    kept = [c for c in edges.columns if c not in ("need", "low", "high", "rows", "game_date")]
-    return edges.select(*kept).join(found.drop("slice", "above"), "model_key").select(*edges.columns)
-
-
 def recent_cutoffs(
     fact: DataFrame, tasks: DataFrame, on: Sequence[str], limit: int,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Where each task's latest `limit` pitches begin: (model_key, cut_date, cut_id).
 
-    Order is latest day first, then highest pitch id. Tasks below the limit are left out.
+    Order is latest day first, then highest pitch id. Tasks below the limit are left out. The pitches are
+    read twice: counted per day, then ranked within the days some limit falls in, `slice_rows` of them a task.
     """
     keys = [*on, "game_date"]
-    daily = fact.groupBy(*keys).agg(
-        F.count("*").alias("rows"), F.min("pitch_id").alias("low"), F.max("pitch_id").alias("high")
-    )
+    daily = fact.groupBy(*keys).agg(F.count("*").alias("rows"))
     by_day = Window.partitionBy("model_key").orderBy(F.desc("game_date")).rowsBetween(
         Window.unboundedPreceding, -1
     )
     days = open_days(tasks).select("model_key", *keys).join(daily, keys)
     days = days.withColumn("later", F.coalesce(F.sum("rows").over(by_day), F.lit(0)))
     reached = (F.col("later") < limit) & (F.col("later") + F.col("rows") >= limit)
-    need = (F.lit(limit) - F.col("later")).alias("need")
-    edges = materialise(days.where(reached).select("model_key", *keys, need, "low", "high", "rows"))
-
-    def edge_rows():
-        pitches = fact.select(*keys, "pitch_id").join(small_side(edges), keys)
-        return pitches.where(F.col("pitch_id").between(F.col("low"), F.col("high")))
-
-    # Ids are unique whole numbers, so slices shrink until one task can sort them.
-    while not edges.where(F.col("rows") > slice_rows).isEmpty():
-        edges = materialise(_narrow(edge_rows(), edges, slice_rows))
-    by_id = Window.partitionBy("model_key").orderBy(F.desc("pitch_id"))
-    return (
-        edge_rows().withColumn("place", F.row_number().over(by_id))
-        .where(F.col("place") == F.col("need"))
-        .select("model_key", F.col("game_date").alias("cut_date"), F.col("pitch_id").alias("cut_id"))
-    )
+    need = (F.lit(limit) - F.col("later")).alias("place")
+    edges = materialise(days.where(reached).select("model_key", *keys, need, "rows"))
+    # Windows of many models end on one day: it is ranked once for all of them.
+    shared = edges.select(*keys, "rows").distinct()
+    total = shared.agg(F.sum("rows")).first()[0] or 0
+    rows = fact.select(*keys, "pitch_id", F.lit(1).alias("one")).join(small_side(shared.drop("rows")), keys, "left_semi")
+    ranked = with_running(rows, keys, [F.desc("pitch_id")], {"place": "one"}, ranges=max(1, -(-total // slice_rows)))
+    return ranked.join(small_side(edges.drop("rows")), [*keys, "place"]).select(
+        "model_key", F.col("game_date").alias("cut_date"), F.col("pitch_id").alias("cut_id"))
 
 
 def latest_per_window(

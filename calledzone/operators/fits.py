@@ -4,6 +4,9 @@ Pitches at the same place are counted together before they move, which leaves th
 error and its gradient unchanged. A model whose points fit one task is fitted
 there; one with more points stays spread out, and each step sums its measurements
 over the cluster. Both ways run the same damped Gauss-Newton steps, a few hundred at most as a rule.
+
+Sums are taken in blocks of points in their order, and blocks are added in theirs, wherever they lie: a model's weights
+do not depend on how its points are dealt to tasks, nor on whether they fit one.
 """
 
 import zlib
@@ -16,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calledzone import schema as S
-from calledzone.session import materialise, ship_package, spread
+from calledzone.operators.placement import dealt_by_cost
+from calledzone.operators.running import with_running
+from calledzone.session import materialise, ship_package, small_side, spread
 
 # Points of one model held by one task: about 150 MB while measured, at four inputs.
 TASK_POINTS = 200_000
 # Points looked at together.
 BLOCK_POINTS = 50_000
+# Points of one partial sum.
+SUM_POINTS = 50_000
 # Steps damped more than this no longer move a weight: the error cannot be lowered further.
 DAMPING_END = 1e14
 # A fit that gains less than this share of its error in so many steps has stopped moving.
@@ -91,6 +98,15 @@ def measure(w: np.ndarray, units: int, x: np.ndarray, n: np.ndarray, s: np.ndarr
     return loss, (n * p - s) @ through, through.T @ (through * n[:, None])
 
 
+def measure_blocks(w, units, x, n, s, block: int):
+    """`measure` of all points, block after block in their order."""
+    total = (0.0, 0.0, 0.0)
+    for start in range(0, len(x), block):
+        part = slice(start, start + block)
+        total = tuple(a + b for a, b in zip(total, measure(w, units, x[part], n[part], s[part])))
+    return total
+
+
 class Descent:
     """Damped Gauss-Newton (Marquardt, 1963) of one net, a measurement a step.
 
@@ -153,26 +169,28 @@ class Descent:
         }
 
 
-def _fit_block(pdf: pd.DataFrame, features: Sequence[str], rule: FitRule) -> list[dict]:
-    """Fit the models of `pdf` one after another."""
+def _fit_block(
+    pdf: pd.DataFrame, features: Sequence[str], rule: FitRule, sum_points: int = SUM_POINTS
+) -> list[dict]:
+    """Fit the models of `pdf`, whose points are in order, one after another."""
     fitted = []
     for key, part in pdf.groupby("model_key"):
         points = inputs_of(part, features)
         descent = Descent(key, int(points[1].sum()), len(features), rule)
         while descent.running:
-            descent.advance(*measure(descent.w, descent.units, *points))
+            descent.advance(*measure_blocks(descent.w, descent.units, *points, sum_points))
         fitted.append(descent.fit_row(features))
     return fitted
 
 
 def _fit_partition(
-    batches: Iterator[pd.DataFrame], features: Sequence[str], rule: FitRule
+    batches: Iterator[pd.DataFrame], features: Sequence[str], rule: FitRule, sum_points: int = SUM_POINTS
 ) -> Iterator[pd.DataFrame]:
     """Fit sorted points block by block, each model whole."""
 
     def fit(pdf):
         pdf = pdf.sort_values(["model_key", *features], ignore_index=True)
-        return pd.DataFrame(_fit_block(pdf, features, rule), columns=S.FIT.fieldNames())
+        return pd.DataFrame(_fit_block(pdf, features, rule, sum_points), columns=S.FIT.fieldNames())
 
     waiting: list[pd.DataFrame] = []
     size = 0
@@ -195,29 +213,34 @@ def _fit_partition(
 
 
 def _fit_across(
-    points: DataFrame, totals: dict[str, int], features: Sequence[str], rule: FitRule
+    points: DataFrame, totals: dict[str, int], features: Sequence[str], rule: FitRule, sum_points: int = SUM_POINTS
 ) -> DataFrame:
     """Fit models too large for a task; only weights and summed measurements reach the driver."""
     spark = points.sparkSession
     descents = {key: Descent(key, rows, len(features), rule) for key, rows in totals.items()}
+    order = [F.asc(name) for name in features]
+    placed = with_running(points.withColumn("one", F.lit(1)), ["model_key"], order, {"place": "one"})
+    block = F.floor((F.col("place") - 1) / sum_points).alias("block")
+    blocks = materialise(
+        placed.select("model_key", block, *features, "n", "s").repartition("model_key", "block")
+        .sortWithinPartitions("model_key", "block", *features))
     while places := {key: (d.w, d.units) for key, d in descents.items() if d.running}:
 
-        def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[str, np.ndarray] = {}
-            for batch in batches:
-                for key, part in batch.groupby("model_key"):
-                    if key not in places:
-                        continue
-                    loss, gradient, curvature = measure(*places[key], *inputs_of(part, features))
-                    sums[key] = sums.get(key, 0.0) + np.concatenate([[loss], gradient, curvature.ravel()])
-            yield pd.DataFrame(
-                [(key, both.tolist()) for key, both in sums.items()], columns=["model_key", "sums"]
-            )
-
-        parts = points.mapInPandas(shares, "model_key string, sums array<double>")
-        summed = parts.select("model_key", F.posexplode("sums").alias("i", "v")).groupBy("model_key", "i").agg(
-            F.sum("v").alias("v")
-        )
+        def shares(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            if key[0] not in places:
+                return pd.DataFrame({"model_key": [], "block": [], "sums": []})
+            pdf = pdf.sort_values(list(features), ignore_index=True)
+            loss, gradient, curvature = measure(*places[key[0]], *inputs_of(pdf, features))
+            sums = np.concatenate([[loss], gradient, curvature.ravel()])
+            return pd.DataFrame({"model_key": [key[0]], "block": [key[1]], "sums": [sums.tolist()]})
+
+        going = blocks.where(F.col("model_key").isin(*places))
+        parts = going.groupBy("model_key", "block").applyInPandas(
+            shares, "model_key string, block long, sums array<double>")
+        terms = parts.select("model_key", "block", F.posexplode("sums").alias("i", "v")).groupBy("model_key", "i").agg(
+            F.sort_array(F.collect_list(F.struct("block", "v"))).alias("terms"))
+        summed = terms.select(
+            "model_key", "i", F.aggregate("terms", F.lit(0.0), lambda total, term: total + term["v"]).alias("v"))
         measured: dict[str, dict[int, float]] = {}
         for key, i, v in summed.collect():
             measured.setdefault(key, {})[i] = v
@@ -229,34 +252,45 @@ def _fit_across(
     return spark.createDataFrame([tuple(row[f] for f in S.FIT.fieldNames()) for row in rows], S.FIT)
 
 
+def weights_of(inputs: int, units: int) -> int:
+    return units * (inputs + 1) + units + 1
+
+
 def fit_nets(
     points: DataFrame, features: Sequence[str], rule: FitRule, *,
-    most_points: int | None = None, task_points: int = TASK_POINTS,
+    most_points: int | None = None, task_points: int = TASK_POINTS, sum_points: int = SUM_POINTS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One row of weights per model key with enough pitches.
 
     `most_points` is the proven size of a model, if there is one; without it the
-    points are counted first, and models beyond `task_points` fitted across tasks.
+    points are counted first, and models beyond `task_points` fitted across tasks. `sizes` (model_key, n), if
+    given, says how many pitches each model has at most: models are dealt to tasks by it.
     """
 
     def in_task(batches):
-        return _fit_partition(batches, features, rule)
+        return _fit_partition(batches, features, rule, sum_points)
 
     ship_package(points.sparkSession)
     bounded = most_points is not None and most_points <= task_points
     across = None
     if not bounded or rule.min_rows > 1:
         points = materialise(points)
-        sizes = points.groupBy("model_key").agg(F.count("*").alias("points"), F.sum("n").alias("rows"))
-        enough = sizes.where(F.col("rows") >= rule.min_rows)
+        counted = points.groupBy("model_key").agg(F.count("*").alias("points"), F.sum("n").alias("rows"))
+        enough = counted.where(F.col("rows") >= rule.min_rows)
         large = F.col("points") > task_points
         totals = {} if bounded else {row["model_key"]: row["rows"] for row in enough.where(large).collect()}
         if totals:
             wide = points.join(enough.where(large).select("model_key"), "model_key", "left_semi")
-            across = _fit_across(materialise(wide), totals, features, rule)
+            across = _fit_across(wide, totals, features, rule, sum_points)
         points = points.join(enough.where(~large).select("model_key"), "model_key", "left_semi")
-    ordered = spread(points, "model_key").sortWithinPartitions("model_key")
-    fits = ordered.mapInPandas(in_task, S.FIT)
+    if sizes is None:
+        dealt = spread(points, "model_key")
+    else:
+        most = weights_of(len(features), rule.hidden_large or rule.hidden)
+        slots, number = dealt_by_cost(sizes.select("model_key", (F.col("n") * most).alias("cost")))
+        dealt = points.join(small_side(materialise(slots)), "model_key").repartitionById(number, F.col("slot")).drop("slot")
+    fits = dealt.sortWithinPartitions("model_key").mapInPandas(in_task, S.FIT)
     return fits if across is None else fits.unionByName(across)
 
 

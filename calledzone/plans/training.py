@@ -12,8 +12,9 @@ from calledzone.operators import fits
 from calledzone.operators.buckets import bucket_models
 from calledzone.operators.models import pending
 from calledzone.operators.pitches import batter_seasons, called_pitches, season_range, umpire_months
+from calledzone.operators.prefixes import window_sums
 from calledzone.operators.windows import assign_windows, latest_per_window
-from calledzone.session import materialise
+from calledzone.session import materialise, small_side
 from calledzone.sources.sinks import ModelStore
 from calledzone.sources.tables import GameTables, with_calendar
 
@@ -110,6 +111,19 @@ def training_rows(fact: DataFrame, tasks: DataFrame, kind: Kind, limit: int | No
     return latest_per_window(fact, tasks, kind.on, limit)
 
 
+def training_sizes(fact: DataFrame, tasks: DataFrame, kind: Kind, limit: int | None = None) -> DataFrame:
+    """(model_key, n): how many pitches each task has, from counts alone; tasks without pitches are left out."""
+    limit = kind.limit if limit is None else limit
+    if kind.name == S.BATTER:
+        counts = fact.groupBy(F.col("batter").alias("entity_id"), "season").agg(F.count("*").alias("n"))
+        sizes = tasks.select("model_key", "entity_id", "season").join(counts, ["entity_id", "season"])
+    else:
+        rows = fact.select(*kind.on, "game_date", F.lit(1).alias("n"))
+        sizes = window_sums(rows, tasks.withColumn("umpire", F.col("entity_id")), kind.on, (), ("n",))
+    n = F.col("n") if limit is None else F.least(F.col("n"), F.lit(limit))
+    return sizes.select("model_key", n.alias("n"))
+
+
 def train(
     fact: DataFrame, tasks: DataFrame, kind: Kind, *,
     rule: fits.FitRule | None = None, limit: int | None = None,
@@ -125,11 +139,14 @@ def train(
     seasons = [row["season"] for row in tasks.select("season").distinct().collect()]
     fact = fact.where(F.col("season").isin(*seasons))
     fact = materialise(fact.select(*sorted(columns)))
-    rows = training_rows(fact, tasks, kind, limit)
+    rule = rule or kind.rule
+    # Windows with too few pitches are known from counts, before any pitch is moved for them.
+    sizes = materialise(training_sizes(fact, tasks, kind, limit).where(F.col("n") >= rule.min_rows))
+    wanted = tasks.join(small_side(sizes.select("model_key")), "model_key", "left_semi")
+    rows = training_rows(fact, wanted, kind, limit)
     points = fits.training_points(rows, kind.features)
     fitted = fits.fit_nets(
-        points, kind.features, rule or kind.rule,
-        most_points=limit or kind.limit, task_points=task_points,
+        points, kind.features, rule, most_points=limit or kind.limit, task_points=task_points, sizes=sizes,
     )
     return fits.with_fits(tasks, fitted)
 

@@ -550,6 +550,7 @@ ORACLES |= {
     "stored_comparison": ORACLES["roc_scores"],
     "stored_auc": ORACLES["roc_auc"],
     "ingested_pitches": ORACLES["called_pitches"],
+    "bucketed_pitches": ORACLES["called_pitches"],
     "season_comparison": query("""
       SELECT pitch_id AS gamedayPitchID, umpire, game_date AS date, CAST(0 AS BIGINT) AS n,
              round(coalesce(p_gen, -999), 6) AS nn_ind, round(coalesce(p_gen, -999), 6) AS nn_gen,

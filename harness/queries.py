@@ -22,6 +22,7 @@ from calledzone.plans import zones as Z
 from calledzone.plans.comparison import Comparison
 from calledzone.session import materialise, run_folder, small_side
 from calledzone.sources import sample, sample_models
+from calledzone.sources.bucketed import bucket_tables, open_bucketed
 from calledzone.sources.lake import TABLES, Lake
 from calledzone.sources.sinks import ModelStore
 from calledzone.sources.tables import GameTables, with_calendar
@@ -48,12 +49,7 @@ def scored_fact(tables: GameTables) -> DataFrame:
 
 
 def called_pitches(spark, root):
-    fact = T.umpire_training_fact(sample.load(spark, root))
-    fact = fact.select(
-        F.col("pitch_id").alias("gamedayPitchID"), "umpire", "batter", "game_date", "season",
-        "month", "stand", "px", "pz", "pfx_x", "pfx_z", "sz_mid", "pz_ratio", "c",
-    )
-    return rounded(fact, 6, "px", "pz", "pfx_x", "pfx_z", "sz_mid", "pz_ratio")
+    return _training_pitches(sample.load(spark, root))
 
 
 def game_calendar(spark, root):
@@ -376,6 +372,24 @@ def season_comparison(spark, root):
 
 # First days of the batches in which the sample's games arrive; the second one splits a season.
 BATCHES = ("1996-01-01", "1998-07-15")
+BUCKETS = 16
+
+
+def _training_pitches(tables: GameTables) -> DataFrame:
+    fact = T.umpire_training_fact(tables).select(
+        F.col("pitch_id").alias("gamedayPitchID"), "umpire", "batter", "game_date", "season",
+        "month", "stand", "px", "pz", "pfx_x", "pfx_z", "sz_mid", "pz_ratio", "c",
+    )
+    return rounded(fact, 6, "px", "pz", "pfx_x", "pfx_z", "sz_mid", "pz_ratio")
+
+
+def bucketed_pitches(spark, root):
+    """The called pitches of tables stored in buckets by at-bat, where pitches are joined without an exchange."""
+    tables = sample.load(spark, root)
+    folder = run_folder(spark, "bucketed")
+    name = "pitching_" + folder.rpartition("-")[2]
+    bucket_tables(tables, folder, name, BUCKETS)
+    return _training_pitches(open_bucketed(spark, folder, name, BUCKETS, tables.zones))
 
 
 def ingested_pitches(spark, root):
@@ -386,12 +400,7 @@ def ingested_pitches(spark, root):
     for end in (*BATCHES, "9999-12-31"):
         name = f"gid_{end.replace('-', '_')}"
         lake.ingest(GameTables(**{table: rows.where(F.col("gameName") < name) for table, rows in raw.items()}))
-    fact = T.umpire_training_fact(lake.tables(tables.zones))
-    fact = fact.select(
-        F.col("pitch_id").alias("gamedayPitchID"), "umpire", "batter", "game_date", "season",
-        "month", "stand", "px", "pz", "pfx_x", "pfx_z", "sz_mid", "pz_ratio", "c",
-    )
-    return rounded(fact, 6, "px", "pz", "pfx_x", "pfx_z", "sz_mid", "pz_ratio")
+    return _training_pitches(lake.tables(tables.zones))
 
 
 def bad_umpire_models(spark, root):
@@ -524,4 +533,5 @@ QUERIES = (
     heatmap_zone, heatmap_batter, heatmap_bucket, heatmap_list, model_edges, pending_models,
     fit_umpire_generic, fit_umpire_individual, fit_movement, fit_batter, fit_batter_generic,
     repair_models, stored_comparison, stored_auc, season_comparison, fitted_auc, ingested_pitches,
+    bucketed_pitches,
 )

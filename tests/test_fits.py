@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from calledzone.operators import fits
+from calledzone.operators.placement import dealt_by_cost, slots_for
 
 RULE = replace(fits.BATTER_RULE, threshold_floor=0.5, max_steps=300, min_rows=50)
 FEATURES = ("px", "pz")
@@ -105,3 +106,30 @@ def test_batches_do_not_split_a_model(points, monkeypatch):
     assert sorted(r["model_key"] for r in rows) == ["a", "b", "c"]
     assert all(r["n_train"] == whole[r["model_key"]]["n_train"] for r in rows)
     assert all(r["sse"] == pytest.approx(whole[r["model_key"]]["sse"], rel=1e-6) for r in rows)
+
+
+def test_weights_do_not_depend_on_placement(points):
+    """Whatever the tasks, and whether a model fits one or is spread out: the same weights to the last bit."""
+    rule = replace(RULE, max_steps=12)
+    near = fitted(points, most_points=1000, rule=rule, sum_points=64)
+    for other in (fitted(points.repartition(1), task_points=50, rule=rule, sum_points=64),
+                  fitted(points.repartition(13, "px"), task_points=50, rule=rule, sum_points=64),
+                  fitted(points.repartition(5), most_points=1000, rule=rule, sum_points=64)):
+        assert set(near) == set(other)
+        for key in near:
+            assert (other[key].w_hidden, other[key].w_out, other[key].sse) == (near[key].w_hidden, near[key].w_out, near[key].sse)
+
+
+def test_models_are_dealt_by_cost(spark, points):
+    sizes = points.groupBy("model_key").agg(F.sum("n").alias("n"))
+    assert set(fitted(points, most_points=1000, sizes=sizes)) == {"a", "b", "c"}
+    draw = np.random.default_rng(3)
+    costs = [(f"m{i:04}", int(c)) for i, c in enumerate(draw.pareto(1.5, 3000) * 100 + 1)]
+    frame = spark.createDataFrame(costs, "model_key string, cost long")
+    slots, number = dealt_by_cost(frame)
+    of = {r.model_key: r.slot for r in slots.collect()}
+    assert set(of) == {key for key, _ in costs} and number == slots_for(1, spark.sparkContext.defaultParallelism)
+    load = np.bincount([of[key] for key, _ in costs], [c for _, c in costs], number)
+    most = max(c for _, c in costs)
+    assert load.max() <= load.mean() + most and np.median(load) > 0.5 * load.mean()
+    assert dealt_by_cost(frame, task_cost=10_000)[1] == -(-sum(max(c, 1) for _, c in costs) // 10_000)

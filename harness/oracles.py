@@ -558,3 +558,24 @@ ORACLES |= {
              round(coalesce(p_bucket, -999), 6) AS roeg, CAST(c AS SMALLINT) AS c, stand
       FROM season_roc""", SEASON_NETS, BUCKETS, SEASON_ROC),
 }
+
+ORACLES |= {
+    "repair_batter_models": query(fit(
+        "SELECT model_key, season, d_s, d_e, stand, entity_id AS batter FROM keyed_batters"
+        f" WHERE kind = 'batter' AND (status <> 'ok' OR {WORST} > 0.1)",
+        "calls", "r.batter = t.batter", "CASE WHEN n_train > 0 THEN 4 END", BATTER_ROWS, 2**62), BATTER_NETS),
+    "spring_training_set": query("""
+      SELECT pitch_id AS gamedayPitchID, umpire, season, month, stand, round(px, 6) AS px, round(pz_ratio, 6) AS pz_ratio, c
+      FROM thrown
+      WHERE lower(des) IN ('ball', 'ball in dirt', 'called strike') AND px IS NOT NULL AND pz IS NOT NULL
+        AND type IN ('R', 'S') AND sz_top IS NOT NULL AND b_height_in <> 0"""),
+    "both_hands_assignment": query("""
+      SELECT concat_ws('.', 'ump_generic.generic', span, d_s, d_e, 'B') AS model_key, count(*) AS n,
+             CAST(sum(c) AS BIGINT) AS strikes, min(pitch_id) AS first_id, max(pitch_id) AS last_id
+      FROM train JOIN month_w ON game_date >= d_s AND game_date < d_e GROUP BY 1"""),
+    "bucket_model_whole_months": query("""
+      SELECT w.season, d_s, d_e + 1 AS d_e, stand, CAST(floor(px * 12) AS INT) AS grid_x,
+             CAST(floor(pz * 12) AS INT) AS grid_z, count(*) AS n, CAST(sum(c) AS BIGINT) AS s,
+             sum(c) / count(*) AS ratio
+      FROM fact JOIN month_w w ON game_date >= d_s AND game_date <= d_e GROUP BY ALL"""),
+}

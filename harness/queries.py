@@ -514,6 +514,41 @@ def fit_batter_generic(spark, root):
     return _fit_report(T.batter_training_fact(tables), tasks, T.BATTERS_POOLED)
 
 
+def repair_batter_models(spark, root):
+    """Spoiled batter nets found and fitted again."""
+    tables = sample.load(spark, root)
+    bad = R.bad_batter_models(_batter_nets(tables)).where(F.col("kind") == S.BATTER)
+    return _fit_report(
+        T.batter_training_fact(tables), bad.select(*S.TASK.fieldNames()), T.BATTERS, min_rows=BATTER_ROWS)
+
+
+def spring_training_set(spark, root):
+    """Pitches umpire nets may be fitted on when spring games count as well."""
+    fact = T.umpire_training_fact(sample.load(spark, root), incl_spring=True)
+    return rounded(fact.select(
+        F.col("pitch_id").alias("gamedayPitchID"), "umpire", "season", "month", "stand", "px", "pz_ratio", "c",
+    ), 6, "px", "pz_ratio")
+
+
+def both_hands_assignment(spark, root):
+    """Month windows over all hands, key 'B', with the pitches that lie in them."""
+    tables = sample.load(spark, root)
+    tasks = C.as_tasks(C.month_windows(Q.season_range(tables.games)), S.UMPIRE_GENERIC)
+    rows = W.assign_windows(T.umpire_training_fact(tables), tasks, ())
+    return rows.groupBy("model_key").agg(
+        F.count("*").alias("n"), F.sum("c").alias("strikes"),
+        F.min("pitch_id").alias("first_id"), F.max("pitch_id").alias("last_id"),
+    )
+
+
+def bucket_model_whole_months(spark, root):
+    """Month buckets whose windows take in their last day."""
+    tables = sample.load(spark, root)
+    windows = C.per_hand(C.month_windows(Q.season_range(tables.games), include_last_day=True))
+    return B.bucket_models(scored_fact(tables), C.as_tasks(windows, S.UMPIRE_GENERIC)).select(
+        "season", "d_s", "d_e", "stand", "grid_x", "grid_z", "n", "s", "ratio")
+
+
 def repair_models(spark, root):
     """Spoiled umpire nets found and fitted again."""
     tables = sample.load(spark, root)
@@ -533,5 +568,5 @@ QUERIES = (
     heatmap_zone, heatmap_batter, heatmap_bucket, heatmap_list, model_edges, pending_models,
     fit_umpire_generic, fit_umpire_individual, fit_movement, fit_batter, fit_batter_generic,
     repair_models, stored_comparison, stored_auc, season_comparison, fitted_auc, ingested_pitches,
-    bucketed_pitches,
+    bucketed_pitches, repair_batter_models, spring_training_set, both_hands_assignment, bucket_model_whole_months,
 )

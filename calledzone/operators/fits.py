@@ -47,6 +47,8 @@ class FitRule:
     hidden_large: int | None = None
     large_rows: int = 0
     seed: int = 0
+    # A fit that does not end well is begun again from other weights, so many times in all.
+    starts: int = 1
 
     def units(self, rows: int) -> int:
         large = self.hidden_large is not None and rows > self.large_rows
@@ -107,19 +109,32 @@ def measure_blocks(w, units, x, n, s, block: int):
     return total
 
 
+def weights_of(inputs: int, units: int) -> int:
+    """Weights of a net: those into each unit with its bias, and those out of them with one more."""
+    return units * (inputs + 1) + units + 1
+
+
 class Descent:
-    """Damped Gauss-Newton (Marquardt, 1963) of one net, a measurement a step.
+    """Damped Gauss-Newton (Marquardt, 1963) of one net, a measurement a step, from up to `starts` places.
 
     `w` is the place to measure next. A step that lowers the error is kept and the damping
-    relaxed; any other is taken back and damped more.
+    relaxed; any other is taken back and damped more. The first start that ends well is the result; if none
+    does, the one with the smallest error.
     """
 
     def __init__(self, key: str, rows: int, inputs: int, rule: FitRule):
-        self.key, self.rows, self.inputs, self.max_steps = key, rows, inputs, rule.max_steps
+        self.key, self.rows, self.inputs, self.rule = key, rows, inputs, rule
         self.units = rule.units(rows)
         self.threshold = rule.threshold(rows)
-        size = self.units * (inputs + 1) + self.units + 1
-        self.w = np.random.default_rng(zlib.crc32(key.encode()) + rule.seed).standard_normal(size)
+        self.start, self.results = -1, []
+        self._begin()
+
+    def _begin(self) -> None:
+        """Seeded weights of the next start; the first one's seed is the model's key alone."""
+        self.start += 1
+        seed = zlib.crc32(self.key.encode()) + self.rule.seed
+        draw = np.random.default_rng([seed, self.start] if self.start else seed)
+        self.w = draw.standard_normal(weights_of(self.inputs, self.units))
         self.best = self.w
         self.sse, self.steps, self.status = np.nan, 0, ""
         self.damping, self.raise_by = 1e-2, 2.0
@@ -131,7 +146,17 @@ class Descent:
         return not self.status
 
     def advance(self, loss: float, gradient: np.ndarray, curvature: np.ndarray) -> None:
-        """Take in what was measured at `w`; stop, or choose the next place."""
+        """Take in what was measured at `w`; stop, begin again, or choose the next place."""
+        self._step(loss, gradient, curvature)
+        if self.running or (self.status == "ok" and not self.results):
+            return
+        self.results.append((self.status != "ok", np.nan_to_num(self.sse, nan=np.inf), self.start, self.best, self.steps, self.status, self.sse))
+        if self.status != "ok" and self.start + 1 < self.rule.starts:
+            self._begin()
+        else:
+            _, _, _, self.best, self.steps, self.status, self.sse = min(self.results, key=lambda r: r[:3])
+
+    def _step(self, loss: float, gradient: np.ndarray, curvature: np.ndarray) -> None:
         first = self.gradient is None
         finite = bool(np.isfinite(loss) and np.isfinite(gradient).all())
         if first and not finite:
@@ -145,7 +170,7 @@ class Descent:
             self.raise_by *= 2.0
         if np.abs(self.gradient).max() < self.threshold:
             self.status = "ok"
-        elif self.steps >= self.max_steps or self.damping > DAMPING_END or self._stalled():
+        elif self.steps >= self.rule.max_steps or self.damping > DAMPING_END or self._stalled():
             self.status = "not_converged"
         else:
             scale = self.curvature.diagonal()
@@ -154,7 +179,7 @@ class Descent:
             self.steps += 1
 
     def _stalled(self) -> bool:
-        if self.steps % STALL_STEPS:
+        if self.steps == 0 or self.steps % STALL_STEPS:
             return False
         before, self.mark = self.mark, self.sse
         return self.sse > before * (1.0 - STALL_GAIN)
@@ -252,10 +277,6 @@ def _fit_across(
     return spark.createDataFrame([tuple(row[f] for f in S.FIT.fieldNames()) for row in rows], S.FIT)
 
 
-def weights_of(inputs: int, units: int) -> int:
-    return units * (inputs + 1) + units + 1
-
-
 def fit_nets(
     points: DataFrame, features: Sequence[str], rule: FitRule, *,
     most_points: int | None = None, task_points: int = TASK_POINTS, sum_points: int = SUM_POINTS,

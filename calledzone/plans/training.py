@@ -1,7 +1,7 @@
 """Fit jobs: which windows to fit, on which pitches, by which rule."""
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +30,27 @@ class Kind:
     limit: int | None
 
 
+# A fit that does not end well is begun again from other weights, so many times in all.
+STARTS = 10
+
+
+def _again(rule: fits.FitRule) -> fits.FitRule:
+    return replace(rule, starts=STARTS)
+
+
 POOLED = Kind(
-    S.UMPIRE_GENERIC, S.ZONE_FEATURES, fits.POOLED_RULE, ("stand",), S.MAX_TRAINING_PITCHES
+    S.UMPIRE_GENERIC, S.ZONE_FEATURES, _again(fits.POOLED_RULE), ("stand",), S.MAX_TRAINING_PITCHES
 )
 MOVEMENT = Kind(
-    S.UMPIRE_MOVEMENT, S.MOVEMENT_FEATURES, fits.MOVEMENT_RULE, ("stand",), S.MAX_TRAINING_PITCHES
+    S.UMPIRE_MOVEMENT, S.MOVEMENT_FEATURES, _again(fits.MOVEMENT_RULE), ("stand",), S.MAX_TRAINING_PITCHES
 )
 INDIVIDUAL = Kind(
-    S.UMPIRE_INDIVIDUAL, S.ZONE_FEATURES, fits.INDIVIDUAL_RULE, ("umpire", "stand"),
+    S.UMPIRE_INDIVIDUAL, S.ZONE_FEATURES, _again(fits.INDIVIDUAL_RULE), ("umpire", "stand"),
     S.MAX_TRAINING_PITCHES,
 )
-BATTERS = Kind(S.BATTER, S.BATTER_FEATURES, fits.BATTER_RULE, ("batter",), None)
+BATTERS = Kind(S.BATTER, S.BATTER_FEATURES, _again(fits.BATTER_RULE), ("batter",), None)
 BATTERS_POOLED = Kind(
-    S.BATTER_GENERIC, S.BATTER_FEATURES, fits.BATTER_RULE, ("stand",), S.MAX_TRAINING_PITCHES
+    S.BATTER_GENERIC, S.BATTER_FEATURES, _again(fits.BATTER_RULE), ("stand",), S.MAX_TRAINING_PITCHES
 )
 
 

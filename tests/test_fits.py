@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calledzone.operators import fits
 from calledzone.operators.placement import dealt_by_cost, slots_for
+from calledzone.plans import training
 
 RULE = replace(fits.BATTER_RULE, threshold_floor=0.5, max_steps=300, min_rows=50)
 FEATURES = ("px", "pz")
@@ -133,3 +134,34 @@ def test_models_are_dealt_by_cost(spark, points):
     most = max(c for _, c in costs)
     assert load.max() <= load.mean() + most and np.median(load) > 0.5 * load.mean()
     assert dealt_by_cost(frame, task_cost=10_000)[1] == -(-sum(max(c, 1) for _, c in costs) // 10_000)
+
+
+def test_a_fit_begins_again_until_it_ends_well():
+    """The first start that ends well is kept; if none does, the one with the smallest error."""
+    rule = replace(RULE, max_steps=1, starts=3, min_rows=1)
+    descent, size = fits.Descent("m", 100, 2, rule), fits.weights_of(2, 4)
+    steep, flat, curved = np.full(size, 9.0), np.zeros(size), np.eye(size)
+    begun = [descent.w]
+    for loss in (9.0, 8.0, 5.0, 4.0, 7.0, 6.0):
+        descent.advance(loss, steep, curved)
+        begun.append(descent.w)
+    assert not descent.running and (descent.status, descent.sse, descent.start) == ("not_converged", 4.0, 2)
+    assert not np.array_equal(begun[0], begun[2]) and not np.array_equal(begun[2], begun[4])
+    again = fits.Descent("m", 100, 2, rule)
+    assert np.array_equal(again.w, begun[0])
+    for loss, gradient in ((9.0, steep), (8.0, steep), (5.0, steep), (4.5, flat)):
+        again.advance(loss, gradient, curved)
+    assert (again.status, again.sse, again.start) == ("ok", 4.5, 1)
+    broken = fits.Descent("m", 100, 2, rule)
+    for loss in (np.nan, np.inf, 3.0, 2.0):
+        broken.advance(loss, steep, curved)
+    assert (broken.status, broken.sse) == ("not_converged", 2.0)
+
+
+def test_most_movement_nets_end_well(spark, tables):
+    """By their full rule, on the fewest pitches there are."""
+    tasks = training.monthly_tasks(tables.games, training.MOVEMENT.name)
+    nets = training.train(training.umpire_training_fact(tables), tasks, training.MOVEMENT)
+    found = {r.status: r["count"] for r in nets.groupBy("status").count().collect()}
+    fitted = sum(n for status, n in found.items() if status != "too_few_rows")
+    assert found["ok"] > 0.9 * fitted, found

@@ -45,10 +45,13 @@ class Comparison:
     individual: bool = True
     # Scores are kept to so many digits, so that ties on the curves do not hang on a plan's last bits.
     digits: int | None = None
+    # Seasons scored in one job; what a lost driver has to do again at most.
+    seasons_per_step: int = 1
     # The lake's version the tables are of, if they come from one.
     data_version: int | None = None
     _listed: DataFrame | None = field(default=None, repr=False)
     _judged: DataFrame | None = field(default=None, repr=False)
+    _pinned: tuple[DataFrame, DataFrame] | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         self.spark = self.store.spark
@@ -108,17 +111,26 @@ class Comparison:
         return self.ledger.step("models", lambda: {
             "models": self.store.version() or 0, "buckets": self.store.bucket_models.version() or 0})
 
-    def _score(self, season: int) -> dict:
-        fixed = self.models()
+    def pinned(self) -> tuple[DataFrame, DataFrame]:
+        """Nets and buckets of the noted versions; the nets' newest rows are picked out once for all seasons."""
+        if self._pinned is None:
+            fixed = self.models()
+            self._pinned = materialise(self.store.current(fixed["models"])), self.store.buckets(fixed["buckets"])
+        return self._pinned
+
+    def _score(self, seasons: list[int]) -> dict:
+        nets, buckets = self.pinned()
+        # Models of the month before may be of the season before.
+        near = F.col("season").between(seasons[0] - 1, seasons[-1])
         scores = compare_models(
-            self.listed.where(F.col("season") == season), self.store.current(fixed["models"]), self.store.buckets(fixed["buckets"]),
+            self.listed.where(F.col("season").isin(*seasons)), nets.where(near), buckets.where(near),
             by_season=self.settings["by_season"], individual=self.settings["individual"])
         if self.digits is not None:
             names = [name for name in S.UMPIRE_ROC.fieldNames() if name.startswith("nn_") or name == "roeg"]
             scores = scores.withColumns({name: F.round(name, self.digits) for name in names})
         # Replaced, not added: a season scored twice after a lost driver is there once.
         sinks.overwrite_seasons(scores.select(*S.UMPIRE_ROC.fieldNames()), self.scores_table)
-        return {"season": season, "scored_with": fixed}
+        return {"seasons": seasons, "scored_with": self.models()}
 
     def scores(self) -> DataFrame:
         """Scores of all listed pitches; seasons the ledger has are not scored again."""
@@ -126,8 +138,9 @@ class Comparison:
         seasons = self.ledger.step("seasons", lambda: sorted(
             row["season"] for row in self.judged.where(F.col("season") <= self.settings["last_season"])
             .select("season").distinct().collect()))
-        for season in seasons:
-            self.ledger.step(f"scores-{season}", lambda season=season: self._score(season))
+        for start in range(0, len(seasons), self.seasons_per_step):
+            some = seasons[start:start + self.seasons_per_step]
+            self.ledger.step(f"scores-{some[0]}-{some[-1]}", lambda some=some: self._score(some))
         return self.scores_table.read()
 
     def dataset(self) -> DataFrame:

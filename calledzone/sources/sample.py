@@ -23,7 +23,6 @@ SCHEMAS = {
 }
 SLOTS, ORDER_IDS = 64, 1 << 20
 FIRST_DAY = "1995-01-01"
-SEASONS = (1995, 2001)
 
 
 GAME_NAME = "concat('gid_', replace(CAST(o_orderdate AS STRING), '-', '_')) AS gameName"
@@ -89,9 +88,11 @@ def pitches(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     return lines.join(dates, "gameAtBatID")
 
 
-def batter_zones(customer: DataFrame) -> DataFrame:
-    first, last = SEASONS
-    years = customer.selectExpr("c_custkey AS batter", f"explode(sequence({first}, {last})) AS year")
+def batter_zones(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    """Zones of every batter in all seasons from the first order's to the last one's."""
+    first, last = (orders.agg(pick(F.year("o_orderdate"))).scalar() for pick in (F.min, F.max))
+    spans = customer.select(F.col("c_custkey").alias("batter"), first.alias("first"), last.alias("last"))
+    years = spans.selectExpr("batter", "explode(sequence(first, last)) AS year")
     return years.where("(batter + year) % 11 <> 0").selectExpr(
         "batter", "year",
         "3.2D + (batter % 7) * 0.1D AS sz_top", "1.4D + (batter % 5) * 0.08D AS sz_bot",
@@ -111,5 +112,5 @@ def load(spark: SparkSession, root: str) -> GameTables:
         umpires=umpires(orders, table("supplier")),
         atbats=atbats(orders),
         pitches=pitches(table("lineitem"), orders),
-        zones=batter_zones(table("customer")),
+        zones=batter_zones(table("customer"), orders),
     )

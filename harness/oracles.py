@@ -54,7 +54,7 @@ zones AS (
   SELECT c_custkey AS batter, CAST(y AS INT) AS season,
          3.2::DOUBLE + (c_custkey % 7) * 0.1::DOUBLE AS sz_top,
          1.4::DOUBLE + (c_custkey % 5) * 0.08::DOUBLE AS sz_bot
-  FROM customer, range(1995, 2002) AS r(y)
+  FROM customer, (SELECT unnest(range(min(year(d)), max(year(d)) + 1)) AS y FROM ord)
   WHERE (c_custkey + y) % 11 <> 0
 ),
 thrown AS (

@@ -331,7 +331,7 @@ def _comparison(tables: GameTables, run_id: str = "run", **settings) -> Comparis
     """A run of the comparison in a folder of its own."""
     folder = run_folder(tables.pitches.sparkSession, "comparison")
     store = ModelStore(tables.pitches.sparkSession, f"{folder}/store")
-    return Comparison(tables, store, folder, run_id, last_season=LAST, after_season=FIRST - 1, digits=6, **settings)
+    return Comparison(tables, store, folder, run_id, last_season=LAST, after_season=FIRST - 1, digits=6, seasons_per_step=4, **settings)
 
 
 def _stored_comparison(spark, root) -> Comparison:

@@ -64,7 +64,7 @@ def test_a_run_cut_short_goes_on_to_the_same_rows(spark, tables, nets, tmp_path,
         patch.setattr(comparison, "compare_models", lost_in_the_third)
         with pytest.raises(RuntimeError, match="driver lost"):
             run.areas()
-    assert [s for s in run.ledger.done() if s.startswith("scores-")] == ["scores-1995", "scores-1996"]
+    assert [s for s in run.ledger.done() if s.startswith("scores-")] == ["scores-1995-1995", "scores-1996-1996"]
     assert newest_run(spark, root) == {}
     # Meanwhile every net goes, and buckets change.
     run.store.remove(run.store.current())

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder, ship_package
 
-BATCH_BYTES = 8 << 20
+# Hashes and arrays made of a slice take tens of times its bytes, in every worker of an executor.
+BATCH_BYTES = 1 << 20
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

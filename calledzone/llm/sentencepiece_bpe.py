@@ -30,7 +30,7 @@ from .scratch import map_arrow, slices
 
 SPACE = "▁"
 NO_RANK = np.int32(2**31 - 1)
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 TABLE_BITS = 19
 # Text encoded at once; words and symbol arrays take many times as much.
 ENCODED_BYTES = 2 << 20

@@ -47,7 +47,7 @@ PRECISION = 0.9
 THRESHOLD = 0.7
 STEMS = range(4, 7)
 WINDOW = 6
-CLEAN_WORDS = 600_000
+CLEAN_WORDS = 200_000
 # Marks stripped from words, marks that quote, words that report speech.
 EDGES = ".,;:!?()[]{}<>*_~^\"'`´“”„‚‘’«»‹›…¡¿|/\\-–—"
 QUOTES = "\"“”„«»‹›‘’"

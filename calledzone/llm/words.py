@@ -11,7 +11,7 @@ MULTIPLIERS = np.random.default_rng(20240501).integers(0, 1 << 63, 64, dtype=np.
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

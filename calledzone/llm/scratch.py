@@ -15,6 +15,7 @@ from ..session import shared_folder, ship_package
 
 # Hashes and arrays made of a slice take tens of times its bytes, in every worker of an executor.
 BATCH_BYTES = 1 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -75,6 +76,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with this package available to the Python workers."""
+    """mapInArrow with this package available to the Python workers, in batches that suit whole texts.
+
+    Spark's default of 10,000 rows a batch is meant for numbers; with texts a batch takes tens of MB on both sides of
+    the pipe. A session that sets the number itself keeps its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":
+        conf.set(BATCH_ROWS, "1000")
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)

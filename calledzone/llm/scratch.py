@@ -85,4 +85,10 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     if conf.get(BATCH_ROWS) == "10000":
         conf.set(BATCH_ROWS, "1000")
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        # The worker is used again by other stages: what this one took goes back.
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)

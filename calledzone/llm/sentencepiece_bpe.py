@@ -17,6 +17,7 @@ other columns are kept by `encode` and `decode` unless they bear the name of the
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ NO_RANK = np.int32(2**31 - 1)
 REMEMBERED = 250_000
 TABLE_BITS = 19
 # Text encoded at once; words and symbol arrays take many times as much.
-ENCODED_BYTES = 2 << 20
+ENCODED_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -308,11 +309,21 @@ def decode(docs: DataFrame, model: Model, ids_col: str = "ids", text_col: str =
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, number of ids, digests of the ids and of the text they decode to."""
+    """doc_id, number of ids, digests of the ids and of the text they decode to, in one pass over the texts."""
     model = read_model(path)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    coded = decode(encode(texts, model).drop("text"), model)
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model)
+        numbers = [str(i) for i in range(model.vocabulary)]
+        for batch in slices(batches, "text", ENCODED_BYTES):
+            found = encoder.encode([text or "" for text in batch.column("text").to_pylist()])
+            ids = [[*part.tolist(), model.end_id] for part in found]
+            told = [hashlib.sha256(" ".join(map(numbers.__getitem__, part)).encode()).hexdigest() for part in ids]
+            read = [hashlib.sha256(decode_ids(model, part).encode()).hexdigest() for part in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(told), pa.array(read)],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return map_arrow(texts, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

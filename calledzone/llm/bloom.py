@@ -55,22 +55,39 @@ def repeated(hashes: DataFrame, bits: int, number: int = 2) -> DataFrame:
     return keep(_blocks(counted.filter("n > 1")), "bloom")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that begin with `names` and that `df` does not have, letter case aside."""
+    taken = {column.lower() for column in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def probe(df: DataFrame, hash64: Column, blocks: DataFrame, bits: int, number: int = 2,
           flag: str = "__maybe") -> DataFrame:
-    """`df` with `flag`: false only if the hash is surely not in the filter. `df` is not shuffled."""
-    out = df.withColumn("__hash", hash64)
+    """`df` with `flag`: false only if the hash is surely not in the filter. `df` is not shuffled.
+
+    Work columns take names that `df` does not have; `flag` is the caller's to choose.
+    """
+    hashed, *work = unused(df, "__hash", *[f"__{name}{i}" for i in range(number) for name in ("slot", "block", "bits")])
+    out = df.withColumn(hashed, hash64)
     found = []
-    for i, slot in enumerate(slot_columns(F.col("__hash"), bits, number)):
-        side = F.broadcast(blocks.select(F.col("block").alias(f"__block{i}"), F.col("bits").alias(f"__bits{i}")))
-        out = out.withColumn(f"__slot{i}", slot)
-        out = out.join(side, F.shiftright(f"__slot{i}", 15) == F.col(f"__block{i}"), "left")
-        byte = f"cast(conv(hex(substring(__bits{i}, cast((__slot{i} & {BLOCK_BITS - 1}) div 8 + 1 as int), 1)), 16, 10) as int)"
-        found.append(F.coalesce(F.expr(f"shiftright({byte}, cast(__slot{i} % 8 as int)) & 1 = 1"), F.lit(False)))
+    for i, slot in enumerate(slot_columns(F.col(hashed), bits, number)):
+        own, block, words = work[3 * i:3 * i + 3]
+        side = F.broadcast(blocks.select(F.col("block").alias(block), F.col("bits").alias(words)))
+        out = out.withColumn(own, slot)
+        out = out.join(side, F.shiftright(own, 15) == F.col(block), "left")
+        byte = f"cast(conv(hex(substring({words}, cast(({own} & {BLOCK_BITS - 1}) div 8 + 1 as int), 1)), 16, 10) as int)"
+        found.append(F.coalesce(F.expr(f"shiftright({byte}, cast({own} % 8 as int)) & 1 = 1"), F.lit(False)))
     every = found[0]
     for other in found[1:]:
         every = every & other
     out = out.withColumn(flag, every)
-    return out.drop("__hash", *[f"__{name}{i}" for i in range(number) for name in ("slot", "block", "bits")])
+    return out.drop(hashed, *work)
 
 
 def without(df: DataFrame, id_col: str, ids: DataFrame, rows: int) -> DataFrame:
@@ -89,11 +106,12 @@ def within(df: DataFrame, id_col: str, ids: DataFrame, rows: int) -> DataFrame:
 
 def _split(df: DataFrame, id_col: str, ids: DataFrame, rows: int, how: str) -> DataFrame:
     bits = size_for(rows)
-    wanted = ids.toDF("__id")
-    blocks = members(wanted.select(F.xxhash64("__id").alias("h")), bits)
-    flagged = probe(df, F.xxhash64(F.col(f"`{id_col}`").cast("long")), blocks, bits)
-    maybe = flagged.filter("__maybe").drop("__maybe")
-    met = maybe.join(wanted, maybe[id_col].cast("long") == wanted["__id"], how)
+    wanted_id, flag = unused(df, "__id", "__maybe")
+    wanted = ids.toDF(wanted_id)
+    blocks = members(wanted.select(F.xxhash64(wanted_id).alias("h")), bits)
+    own = F.col(f"`{id_col}`").cast("long")
+    flagged = probe(df, F.xxhash64(own), blocks, bits, flag=flag)
+    met = flagged.filter(F.col(flag)).drop(flag).join(wanted, own == F.col(wanted_id), how)
     if how == "left_semi":
         return met
-    return flagged.filter("not __maybe").drop("__maybe").unionByName(met)
+    return flagged.filter(~F.col(flag)).drop(flag).unionByName(met)

@@ -21,10 +21,9 @@ fingerprints are combined before the shuffle and have no hot key. Two fingerprin
 alone: both halves must agree.
 
 Defined cases: null text counts as empty; texts shorter than LENGTH bytes lose nothing; empty texts are
-returned with zeros. A repeated document repeats all its windows. Rows with a null id are matched, under a private
-negative key made of their text (63 bits; an id below zero may be the same by chance), and returned, but
-nothing is removed from them; an id must name one text. An empty table gives an empty
-result. Other columns are not looked at.
+returned with zeros. A repeated document repeats all its windows. Rows with a null id are matched and cut like others, under
+a private negative key made of their text (63 bits; an id below zero may be the same by chance), and come back with a null id;
+an id must name one text. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -210,16 +209,18 @@ def _bitmap(hashes: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, key): the id, or a negative number made of the text where there is none."""
+    private = F.xxhash64("text").bitwiseOR(F.lit(-1 << 63))
+    return two_columns(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", private))
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, stop): stretches of windows that occur elsewhere, in bytes; they may overlap."""
-    texts = two_columns(docs, id_col, text_col)
+    """(doc_id, start, stop): stretches of windows that occur elsewhere, in bytes; they may overlap. Rows with a null
+    id go by their private key."""
+    texts = _keyed(docs, id_col, text_col).select(F.col("key").alias("doc_id"), "text")
     spark = docs.sparkSession
-    size, unnamed = texts.agg(F.sum(F.octet_length("text").cast("long")), F.count_if(F.col("doc_id").isNull())).first()
-    size = size or 0
-    key = F.xxhash64("text").bitwiseOR(F.lit(-1 << 63))
-    private = texts.filter("doc_id is null").select(key.alias("doc_id")) if unnamed else None
-    if unnamed:
-        texts = texts.withColumn("doc_id", F.coalesce("doc_id", key))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = bloom.size_for(size // HALF, per_row=12, max_bits=FILTER_BITS)
     filter_ = spark.sparkContext.broadcast(_bitmap(map_arrow(texts, _half_hashes, "h long"), bits))
     parse = keep(map_arrow(
@@ -258,8 +259,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                  .filter("n > 1 and any_once").select("f1", "f2"), "ranks")
     windows = suffixes.filter("once").join(ranks, ["f1", "f2"], "left_semi").select(
         "doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
-    spans = whole.unionByName(blocks).unionByName(windows)
-    return spans.join(keep(private.distinct(), "private"), "doc_id", "left_anti") if unnamed else spans
+    return whole.unionByName(blocks).unionByName(windows)
 
 
 def _merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,14 +290,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_bytes."""
-    texts = two_columns(docs, id_col, text_col)
-    spans = keep(find_spans(docs, id_col, text_col).groupBy("doc_id").agg(
+    texts = _keyed(docs, id_col, text_col)
+    spans = keep(find_spans(docs, id_col, text_col).groupBy(F.col("doc_id").alias("key")).agg(
         F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    ids, number = spans.select("doc_id"), spans.count()
-    met = bloom.within(texts, "doc_id", ids, number).join(spans, "doc_id")
+    ids, number = spans.select("key"), spans.count()
+    met = bloom.within(texts, "key", ids, number).join(spans, "key")
     cut = map_arrow(met.select("doc_id", "text", "spans"), _cut,
                     "doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary")
-    plain = bloom.without(texts, "doc_id", ids, number).select(
+    plain = bloom.without(texts, "key", ids, number).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept_bytes"))
     return plain.unionByName(cut)

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from calledzone.llm import bloom, exact_dedup, near_dup, suffix_dedup
 from calledzone.llm.components import components
 
@@ -27,6 +29,21 @@ def test_exact_drop_keeps_columns(odd_docs):
     assert sorted(r.doc_id for r in left.collect()) == [2, 3, 5, 7, 7, 8, 9, 10, 11, 12]
 
 
+def test_bloom_work_columns_are_unused_names(spark):
+    """Columns named like every work column stay, also in other letter case, and change nothing."""
+    names = ["__hash", "__maybe", "__id", "__id_", "__BLOCK0", *[f"__{n}{i}" for i in (0, 1) for n in ("slot", "block", "bits") if (n, i) != ("block", 0)]]
+    docs = spark.createDataFrame([(i, "same" if i < 4 else f"text {i}") for i in range(20)], "doc_id long, text string")
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id >= 3)
+    ids = docs.filter("doc_id % 3 = 0").select("doc_id")
+    inside = bloom.within(docs, "doc_id", ids, 20)
+    assert inside.columns == docs.columns
+    assert sorted(map(tuple, inside.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id % 3 == 0)
+
+
 def test_exact_null_ids(spark, no_docs):
     docs = spark.createDataFrame([(None, "a"), (None, "a"), (3, "a"), (None, "b"), (None, "b")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.keep_id, r.kept) for r in exact_dedup.find_copies(docs).collect()), key=str)
@@ -148,10 +165,22 @@ def test_repeats_shared_with_null_ids(spark):
             (3, two[100:500] + free(300)), (None, free(80) + three), (None, free(90) + three[3:]), (4, three[10:250] + free(40)),
             (None, two), (-5, free(250)), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes))
-                 for r in suffix_dedup.remove_repeats(docs).collect() if r.doc_id is not None)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in suffix_dedup.remove_repeats(docs).collect()]
     numbered = [(1000 + n if i is None else i, text) for n, (i, text) in enumerate(rows)]
-    want = [row for row in cut(numbered) if row[0] < 1000]
-    assert [row[2] > 0 for row in want] == [False, True, True, True, True] and got == want
-    left = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect() if r.doc_id is None)
-    assert left == sorted((len(text or ""), 0) for i, text in rows if i is None)
+    want = cut(numbered)
+    assert [row[2] > 0 for row in want if row[0] < 1000] == [False, True, True, True, True]
+    assert sum(row[2] > 0 for row in want if row[0] >= 1000) == 5
+    assert sorted(row for row in got if row[0] is not None) == [row for row in want if row[0] < 1000]
+    assert sorted(row[1:] for row in got if row[0] is None) == sorted(row[1:] for row in want if row[0] >= 1000)
+
+
+def test_repeats_long_runs_and_repeated_rows(spark):
+    """A run of one byte of 1 MB, a document that is given twice, and columns named like the work columns."""
+    rng = random.Random(8)
+    free = "".join(rng.choices("abcdefgh ", k=500))
+    rows = [(1, "z" * 1_000_000), (2, "head " + "z" * 250 + " tail"), (3, free), (3, free), (4, free[:150] + "z" * 199)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("key", "start", "stop", "spans", "entry", "once", "h", "__hash", "__maybe"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs.repartition(3)).collect())
+    assert got == [(1, 1_000_000, 1_000_000, 1), (2, 260, 250, 1), (3, 500, 500, 1), (3, 500, 500, 1), (4, 349, 0, 0)]

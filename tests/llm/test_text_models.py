@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from calledzone.llm import decontaminate, quality, queries, toxicity
 from tests.llm.conftest import LOREM
 
@@ -26,6 +28,73 @@ def test_quality_held_out(spark, odd_docs, no_docs):
     assert {round(r.score, 1) for r in quality.score(odd_docs, unknown).collect()} == {0.5}
 
 
+def all_features(text):
+    """Buckets of every word, n-gram and pair of a text, by plain loops."""
+    words, told, out = text.split(), [], []
+    for at, word in enumerate(words):
+        out += quality.features(word)
+        before = [back for back in range(1, quality.BACK + 1) if back <= at and words[at - back] == word]
+        told.append(quality.name_of(f"\x00{before[0]}" if before else word))
+    for a, b in zip(told, told[1:]):
+        a, b = (int(x) * int(m) for x, m in zip((a, b), quality.MULTIPLIERS))
+        out.append(int(quality.mix(np.array([(a + b) % (1 << 64)], np.uint64))[0]) % quality.BUCKETS)
+    return out
+
+
+def test_quality_is_the_plain_forward_pass():
+    """Scores of many texts at once against averaged vectors and a softmax of each text; the descent against a loop by feature."""
+    rng = random.Random(12)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "a", "ü"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(60)] + ["", "one", "same same same", "x y x y x y"]
+    labels = np.array([rng.randint(0, 1) for _ in texts])
+    counted = [Counter(all_features(text)) for text in texts]
+    places = [np.array(sorted(c), np.int64) for c in counted]
+    counts = [np.array([c[p] for p in sorted(c)], np.int64) for c in counted]
+    vectors, layer, bias = quality.descend(places, counts, labels)
+    scorer = quality.Scorer(quality.fit(places, counts, labels))
+    got = np.concatenate([scorer.score(texts[:17]), scorer.score(texts[17:])])
+    for text, score in zip(texts, got):
+        found = all_features(text)
+        average = sum((vectors[f] for f in found), np.zeros(quality.WIDTH)) / max(1, len(found))
+        odds = np.exp(layer @ average + bias)
+        assert abs(odds[1] / odds.sum() - score) < 1e-9
+    again = plain_descent(counted, labels)
+    assert all(np.allclose(x, y, rtol=0, atol=1e-9) for x, y in zip((vectors, layer, bias), again))
+
+
+def plain_descent(counted, labels, seed=7):
+    rng = np.random.default_rng(seed)
+    width = quality.WIDTH
+    vectors = rng.uniform(-1 / width, 1 / width, (quality.BUCKETS, width))
+    layer, bias, steps = np.zeros((2, width)), np.zeros(2), Counter()
+    for epoch in range(quality.EPOCHS):
+        rate = quality.RATE * (1 - epoch / quality.EPOCHS)
+        for i in rng.permutation(len(labels)):
+            total = max(1, sum(counted[i].values()))
+            average = sum((vectors[f] * n / total for f, n in counted[i].items()), np.zeros(width))
+            odds = np.exp(layer @ average + bias)
+            error = odds / odds.sum() - np.eye(2)[labels[i]]
+            back = error @ layer
+            layer = layer - rate * 5 * np.outer(error, average)
+            bias = bias - rate * 0.1 * error
+            for f, n in counted[i].items():
+                steps[f] += (np.abs(back).max() * n / total) ** 2
+                vectors[f] -= rate * n / total / np.sqrt(1e-8 + steps[f]) * back
+    return vectors, layer, bias
+
+
+def test_quality_of_words_never_learned(spark):
+    """Area under the curve on the held-out third at sf0.1, where low texts repeat words that no other text holds."""
+    root = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{root}/labels.parquet").select("doc_id", "quality")
+    rows = queries.op4_quality(spark, root).filter("held_out").join(labels, "doc_id").collect()
+    low, high = (np.array([r.score for r in rows if r.quality == q]) for q in (0, 1))
+    area = np.mean(low[:, None] < high[None, :]) + np.mean(low[:, None] == high[None, :]) / 2
+    wrong = sum(r.predicted != r.quality for r in rows)
+    print("area", round(area, 4), "wrong", wrong, "of", len(rows), "low ones lost", int((low >= 0.5).sum()), "of", len(low))
+    assert area > 0.98 and wrong < 0.02 * len(rows)
+
+
 def test_toxicity_held_out(spark, odd_docs, no_docs):
     assert accuracy(spark, queries.op8_toxicity(spark, SF), "toxic") > 0.95
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")

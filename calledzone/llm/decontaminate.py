@@ -9,12 +9,14 @@ both sides carry along, tell in how many tokens the stretch agrees. None is miss
 The benchmark may have any size. Document seeds that no item has are dropped inside the scan by a bitmap of
 bounded size (`FILTER_BITS`), which may let others through but loses none; the rest meet the
 items in a join, whose hot keys Spark splits. Items of fewer than `SPAN` tokens are matched as a whole, with
-one substitution from `LOOSE` tokens on (masks that ignore a third each) and without below; items of fewer than `LEAST` tokens are too short to tell from chance and match nothing.
+one substitution from `LOOSE` tokens on (masks that ignore a third each) and without below. Items of fewer than `LEAST`
+tokens may stand in a text by chance: the rows that hold each of them are counted first, and those that a larger share than
+`common` of all rows hold match nothing.
 
 Tokens are lower-cased; ASCII and CJK punctuation and white space end them; in scripts without spaces each character is one. Defined cases: null text counts as empty and
-leaks nothing; rows with a null id match nothing and are kept; items with a null id are used like others, and
-items of the same tokens are reported under the least id; repeated documents are reported
-once; empty documents or an empty benchmark give no leaks. Other columns are not looked at.
+leaks nothing; rows with a null id match nothing and are kept; items with a null id are used like others and
+reported with a null id; items of the same tokens are matched once and all reported; repeated documents are reported
+once; items without tokens match nothing; empty documents or an empty benchmark give no leaks. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from .scratch import keep, map_arrow, slices, two_columns
 from .words import MULTIPLIERS, WordHashes, flat_hashes, mix
 
 SPAN, MATCHES, LOOSE, LEAST = 12, 10, 8, 5
+COMMON = 0.001
 # The places each mask ignores. Every pair of places is in one of them.
 IGNORED = (
     (0, 1, 2, 3), (0, 4, 6, 7), (0, 5, 9, 11), (0, 8, 9, 10), (1, 2, 4, 9), (1, 5, 7, 8),
@@ -104,7 +107,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, counts = flat_hashes(tokens_of(batch.column("text").to_pylist()), memo)
         ends = np.cumsum(counts)
         owner = np.repeat(np.arange(len(counts)), counts)
-        widths = tuple(sorted({min(int(c), SPAN) for c in counts if c >= LEAST}))
+        widths = tuple(sorted({min(int(c), SPAN) for c in counts if c}))
         for width, ignored, hashes, inside in seeds(flat, ends, counts, widths):
             spots = np.flatnonzero(inside & (np.minimum(counts, SPAN)[owner[:len(inside)]] == width))
             yield pa.RecordBatch.from_arrays(
@@ -113,6 +116,22 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["item_id", "h", "width", *_RESTS])
 
 
+def _short_seeds(bits, widths: tuple[int, ...]):
+    """Each seed of short items once a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        bitmap = np.frombuffer(bits.value, np.uint8)
+        for batch in slices(batches):
+            flat, counts = flat_hashes(tokens_of(batch.column("text").to_pylist()), memo)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            for _, _, hashes, inside in seeds(flat, np.cumsum(counts), counts, widths):
+                spots = _known(bitmap, hashes, np.flatnonzero(inside))
+                met = np.stack([owner[spots].astype(np.uint64), hashes[spots]])
+                met = np.unique(met, axis=1)[1] if len(spots) else met[1]
+                yield pa.RecordBatch.from_arrays([pa.array(met.view(np.int64))], names=["h"])
+    return run
+
+
 def _document_seeds(bits, widths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -153,29 +172,64 @@ def _bitmap(items: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each document and item that share a passage: doc_id, item_id, first and last token of it in
-    the document (last one not included), number of matched tokens in its best stretch, hits."""
+def _classes(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> DataFrame:
+    """(class_id, item_id, text): items by their tokens; items of the same tokens are one class."""
+    tokens = map_arrow(two_columns(benchmark, item_id_col, item_text_col), _item_tokens, "doc_id long, text string")
+    return keep(tokens.select(F.xxhash64("text").alias("class_id"), F.col("doc_id").alias("item_id"), "text").distinct(), "classes")
+
+
+def _widths(items: DataFrame) -> tuple[int, ...]:
+    return tuple(sorted(row.width for row in items.select("width").distinct().collect()))  # SPAN values at most
+
+
+def _without_common(items: DataFrame, texts: DataFrame, common: float) -> DataFrame:
+    """Seeds less those of items of fewer than LEAST tokens that a larger share than `common` of all rows hold."""
+    short = items.filter(F.col("width") < LEAST)
+    widths = _widths(short)
+    if not widths:
+        return items
+    bits = texts.sparkSession.sparkContext.broadcast(_bitmap(short))
+    # Few hashes pass the bitmap, so that they are counted before the shuffle.
+    counts = map_arrow(texts, _short_seeds(bits, widths), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    most = int(common * texts.count())
+    often = short.join(counts.filter(F.col("n") > most), "h").select("item_id").distinct()
+    return keep(items.join(often, "item_id", "left_anti"), "rare")
+
+
+def find_classes(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 common: float = COMMON) -> DataFrame:
+    """A row for each document and class of items that share a passage, with column class_id in place of item_id."""
     spark = docs.sparkSession
-    given = map_arrow(two_columns(benchmark, item_id_col, item_text_col), _item_tokens, "doc_id long, text string")
-    given = given.groupBy("text").agg(F.min("doc_id").alias("doc_id")).repartition(spark.sparkContext.defaultParallelism)
+    given = classes.groupBy("text").agg(F.min("class_id").alias("doc_id")).repartition(spark.sparkContext.defaultParallelism)
     rests = ", ".join(f"{name} long" for name in _RESTS)
     items = keep(map_arrow(given, _item_seeds, f"item_id long, h long, width int, {rests}"), "items")
-    widths = tuple(sorted(row.width for row in items.select("width").distinct().collect()))  # at most SPAN - LEAST + 1 values
+    texts = two_columns(docs, id_col, text_col).filter("doc_id is not null")
+    items = _without_common(items, texts, common)
+    widths = _widths(items)
     bits = spark.sparkContext.broadcast(_bitmap(items))
-    hits = map_arrow(two_columns(docs, id_col, text_col).filter("doc_id is not null"), _document_seeds(bits, widths),
-                     f"doc_id long, h long, doc_at long, {rests}")
+    hits = map_arrow(texts, _document_seeds(bits, widths), f"doc_id long, h long, doc_at long, {rests}")
     met = hits.join(items.withColumnsRenamed({name: f"item_{name}" for name in _RESTS}), "h")
     agree = reduce(add, [(F.col(name) == F.col(f"item_{name}")).cast("int") for name in _RESTS])
     best = met.withColumn("lost", REST - agree)
     allowed = F.when(F.col("width") == SPAN, SPAN - MATCHES).when(F.col("width") >= LOOSE, 1).otherwise(0)
-    return best.filter(F.col("lost") <= allowed).groupBy("doc_id", "item_id").agg(
+    return best.filter(F.col("lost") <= allowed).groupBy("doc_id", F.col("item_id").alias("class_id")).agg(
         F.min("doc_at").alias("first_token"), F.max(F.col("doc_at") + F.col("width")).alias("last_token"),
         F.max(F.col("width") - F.col("lost")).alias("matched"), F.count(F.lit(1)).alias("hits"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               item_id_col: str = "item_id", item_text_col: str = "text", common: float = COMMON) -> DataFrame:
+    """A row for each document and item that share a passage: doc_id, item_id, first and last token of it in
+    the document (last one not included), number of matched tokens in its best stretch, hits."""
+    classes = _classes(benchmark, item_id_col, item_text_col)
+    found = find_classes(docs, classes, id_col, text_col, common)
+    return found.join(classes.select("class_id", "item_id"), "class_id").select(
+        "doc_id", "item_id", "first_token", "last_token", "matched", "hits")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               common: float = COMMON) -> DataFrame:
     """`docs` less the documents that hold a passage of the benchmark, with all its columns."""
-    lost = keep(find_leaks(docs, benchmark, id_col, text_col).select("doc_id").distinct(), "lost")
+    found = find_classes(docs, _classes(benchmark, "item_id", "text"), id_col, text_col, common)
+    lost = keep(found.select("doc_id").distinct(), "lost")
     return bloom.without(docs, id_col, lost, lost.count())

@@ -248,12 +248,32 @@ def test_leaks_match_brute_force(spark):
 
 
 def test_leaks_of_items_that_share_a_passage(spark):
-    """A quote from the inside of a passage that two items share is a leak of both."""
+    """A quote from the inside of a passage that items share is a leak of all, those of the same tokens and without an id too."""
     words = [f"v{i}" for i in range(100)]
-    items = [(1, " ".join(["one"] + words[:50])), (2, " ".join(words[:50] + ["two"])), (3, " ".join(["ONE"] + words[:50])), (4, "x y z")]
+    items = [(1, " ".join(["one"] + words[:50])), (2, " ".join(words[:50] + ["two"])), (3, " ".join(["ONE"] + words[:50])), (4, "x y z"),
+             (2, " ".join(words[:50] + ["two"])), (None, " ".join(words[:50]))]
     docs = spark.createDataFrame([(7, " ".join(["q"] + words[3:45] + ["q"]))], "doc_id long, text string")
     found = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted((r.item_id, r.first_token, r.last_token, r.matched) for r in found.collect()) == [(1, 0, 44, 12), (2, 0, 44, 12)]
+    got = sorted(((r.item_id, r.first_token, r.last_token, r.matched) for r in found.collect()), key=str)
+    assert got == [(1, 0, 44, 12), (2, 0, 44, 12), (3, 0, 44, 12), (None, 0, 44, 12)]
+
+
+def test_leaks_of_shortest_items(spark):
+    """Items of one to four tokens match as whole token sequences, unless too many documents hold them."""
+    rng = random.Random(13)
+    words = [f"v{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(words, k=1 + i % 4))) for i in range(40)] + [(40, "..."), (41, "")]
+    texts = [rng.choices(words, k=rng.randint(0, 40)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for common in (0.0, 0.05, 0.5, 1.0):
+        want = set()
+        for item_id, text in items[:40]:
+            item = text.split()
+            held = {d for d, t in enumerate(texts) if any(t[k:k + len(item)] == item for k in range(len(t) - len(item) + 1))}
+            want |= {(d, item_id) for d in held if len(held) <= int(common * len(texts))}
+        got = decontaminate.find_leaks(docs, benchmark, common=common).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want), common
 
 
 def test_leaks_of_short_items(spark):

@@ -2,8 +2,10 @@
 
 A page becomes three records side by side: its response (or a revisit of an earlier equal payload), the request and a
 metadata record; the latter two name the first in WARC-Concurrent-To. Archives are written by Spark's text writer,
-whose line end is the empty line behind a WARC record, so any store Spark can write to will do. Reading
-takes whole files of bounded size and cuts them by Content-Length. The records are then joined by their
+whose line end is the empty line behind a WARC record, so any store Spark can write to will do. Pages go to files by the
+power of four their records stay under, as many a file as FILE_BYTES of that size allow, so that a file before
+compression holds FILE_BYTES at most, or a single larger page. Reading
+takes whole files and cuts them by Content-Length. The records are then joined by their
 identifiers into one nested row per capture. Payloads are not moved by that join unless asked for.
 
 Of records with equal payloads of at least LEAST_BYTES the largest page_id is the response, others revisit it.
@@ -30,7 +32,10 @@ from .exact_dedup import group_copies
 from .scratch import keep, map_arrow
 
 LEAST_BYTES = 1000
-RECORDS_A_FILE = 1500
+FILE_BYTES = 16 << 20
+SMALL_PAGE = 1 << 14
+# More than the three headers of a page take, but for its url.
+HEADERS, URLS = 1 << 12, 8
 # Fixed values of the format.
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -76,11 +81,21 @@ def _records(pages: DataFrame) -> DataFrame:
                        [joined, F.lit("Content-Type: application/warc-fields")],
                        F.concat(F.lit("page_id: "), page, F.lit("\r\n")))
     main = F.when(F.col("keep_id").isNull(), response).otherwise(revisit)
-    return pages.select(F.explode(F.array(main, request, metadata)).alias("value"))
+    return pages.select("part", F.explode(F.array(main, request, metadata)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write gzipped WARC files of `pages` (page_id, url, html) into the folder `path`."""
+def _parts(rows: DataFrame, file_bytes: int) -> DataFrame:
+    """`rows` with the number `part` of the file of their task that their records go to."""
+    size = F.octet_length("html").cast("long") + F.octet_length("url") * URLS + HEADERS
+    step = F.greatest(F.lit(0), F.ceil(F.log(4.0, size / SMALL_PAGE))).cast("long")
+    most = F.lit(SMALL_PAGE).cast("double") * F.pow(F.lit(4.0), step)
+    pages_a_file = F.greatest(F.lit(1.0), F.floor(file_bytes / most)).cast("long")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("part", step * (1 << 33) + F.floor(place / pages_a_file))
+
+
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write gzipped WARC files of `pages` (page_id, url, html) into folders under `path`."""
     url = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("urn:none")), "[\r\n]", "%0A")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -99,8 +114,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
     met = bloom.within(rows, "page_id", ids, number).join(named, ["page_id", "digest"], "left").select(
         "page_id", "url", F.when(F.col("keep_id").isNull(), F.col("html")).otherwise("").alias("html"), "digest", "keep_id",
         F.coalesce("bytes", F.lit(0)).alias("bytes"))
-    _records(alone.unionByName(met)).write.option("lineSep", END).option("compression", "gzip").option(
-        "maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    _records(_parts(alone.unionByName(met), file_bytes)).write.partitionBy("part").option("lineSep", END).option(
+        "compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:

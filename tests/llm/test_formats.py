@@ -1,5 +1,6 @@
 """SentencePiece against the library, packing and chat round trips, archives, the pipeline."""
 
+import gzip
 import hashlib
 import random
 from collections import defaultdict
@@ -7,6 +8,7 @@ from collections import defaultdict
 import corpus_pipeline
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from calledzone.llm import chat, packing, queries, sentencepiece_bpe, warc
 from calledzone.llm.scratch import new_folder
 
@@ -145,6 +147,24 @@ def test_archives(spark):
     assert warc.assemble(warc.read_records(spark, empty)).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    """Many small pages, some of a megabyte and one larger than a file may be; clashing columns and repeated rows."""
+    bound, rng = 1 << 20, random.Random(21)
+    sizes = [rng.randint(0, 3000) for _ in range(400)] + [rng.randint(5000, 200_000) for _ in range(60)] + [1_000_000] * 3 + [3_000_000]
+    rows = [(i, f"http://x/{i}" + "é" * rng.randint(0, 300), chr(97 + i % 26) * size) for i, size in enumerate(sizes)] + [(3, "http://x/3", "again")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for name in ("part", "digest", "keep_id", "bytes", "value", "__id", "__maybe"):
+        pages = pages.withColumn(name, F.lit("clash"))
+    path = new_folder(spark, "warc-test")
+    warc.write_archives(pages, path, bound)
+    files = [gzip.decompress(r.content) for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert all(len(data) <= bound or data.count(b"WARC-Type: response") <= 1 for data in files)
+    assert len(files) < 3 * (sum(map(len, files)) // bound + 1) * 6
+    captures = warc.assemble(warc.read_records(spark, path)).collect()
+    want = [(i, len(html.encode()), hashlib.sha1(html.encode()).hexdigest()) for i, _, html in rows]
+    assert sorted((r.page_id, r.response.payload_bytes, r.response.payload_digest) for r in captures) == sorted(want)
+
+
 def test_pipeline(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert [f(spark, docs, small).columns == docs.columns for _, f in corpus_pipeline.STAGES[:-1]] == [True] * 4

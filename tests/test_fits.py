@@ -2,6 +2,7 @@ import math
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,23 @@ def test_most_movement_nets_end_well(spark, tables):
     found = {r.status: r["count"] for r in nets.groupBy("status").count().collect()}
     fitted = sum(n for status, n in found.items() if status != "too_few_rows")
     assert found["ok"] > 0.9 * fitted, found
+
+
+def test_small_models_are_measured_together(monkeypatch):
+    """Side by side every model takes the steps it takes alone, in a small part of the calls; slopes only for kept steps."""
+    draw = np.random.default_rng(11)
+    rows = []
+    for model in range(300):
+        x, z = draw.normal(0, 1, 12).round(2), draw.normal(2.5, 0.8, 12).round(2)
+        rows += [(f"m{model:03}", a, b, 1, int(c)) for a, b, c in zip(x, z, (abs(x) < 0.8) ^ (draw.random(12) < 0.1))]
+    pdf = pd.DataFrame(rows, columns=["model_key", *FEATURES, "n", "s"]).sort_values(["model_key", *FEATURES])
+    rule = replace(RULE, max_steps=60, starts=2, min_rows=1)
+    alone = [row for _, part in pdf.groupby("model_key") for row in fits._fit_block(part, FEATURES, rule)]
+    models = {"loss": [], "slopes": []}
+    loss, slopes = fits.Measured.__init__, fits.Measured.slopes
+    monkeypatch.setattr(fits.Measured, "__init__", lambda self, w, *more: (models["loss"].append(len(w)), loss(self, w, *more))[1])
+    monkeypatch.setattr(fits.Measured, "slopes", lambda self, which: (models["slopes"].append(which.sum()), slopes(self, which))[1])
+    together = fits._fit_block(pdf, FEATURES, rule)
+    assert sorted(together, key=lambda r: r["model_key"]) == alone
+    assert len(models["loss"]) < sum(models["loss"]) / 20
+    assert sum(models["slopes"]) < sum(models["loss"])

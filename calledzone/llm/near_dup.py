@@ -196,13 +196,21 @@ def _links_between(table: pa.Table) -> pa.Table:
 def _mixed(members: DataFrame) -> DataFrame:
     """Rows (h, cid, comp) of the buckets that hold several components, dealt into blocks of bounded size.
 
-    A bucket of many blocks is compared block by block; each of its rows then goes to as many tasks.
+    A bucket of many blocks is compared block by block; each of its rows then goes to as many tasks. Where one component
+    makes up most of it, its rows are parts by themselves and only meet the parts of the others, as links inside
+    a component are implied: they move as often as the others have parts, mostly once.
     """
-    mixed = keep(members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                          F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", "n"), "mixed")
-    rows = members.join(mixed, "h").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
-        "part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    comps = members.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = comps.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
+    dealt = mixed.filter("k > 1").selectExpr(
+        "h", "most.comp AS major", "n", "most.m AS m", f"ceil(n / {BLOCK}) AS parts",
+        f"ceil(most.m / {BLOCK}) AS own", f"ceil((n - most.m) / {BLOCK}) AS rest")
+    dealt = keep(dealt.selectExpr("h", "major", "parts", "own", "rest", "m * rest + (n - m) * (own + rest) < n * parts AS apart"), "mixed")
+    rows = members.join(dealt, "h").withColumn("inside", F.col("apart") & (F.col("comp") == F.col("major"))).withColumn(
+        "part", F.expr("""cast(CASE WHEN inside THEN pmod(xxhash64(cid), own) WHEN apart THEN own + pmod(xxhash64(cid), rest)
+                                    ELSE pmod(xxhash64(cid), parts) END AS int)"""))
+    spread = rows.withColumn("other", F.expr(
+        "explode(sequence(cast(if(inside, own, 0) AS int), cast(if(apart, own + rest, parts) AS int) - 1))"))
     return spread.select("h", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
                          "cid", "comp", "part")
 

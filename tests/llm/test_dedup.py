@@ -184,3 +184,21 @@ def test_repeats_long_runs_and_repeated_rows(spark):
         docs = docs.withColumn(name, F.lit("clash"))
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs.repartition(3)).collect())
     assert got == [(1, 1_000_000, 1_000_000, 1), (2, 260, 250, 1), (3, 500, 500, 1), (3, 500, 500, 1), (4, 349, 0, 0)]
+
+
+def test_a_large_component_moves_once(spark):
+    """Rows of a bucket's largest component go to the parts of the others alone; rows of different components still meet."""
+    rows = [(1, i, 1) for i in range(5000)] + [(1, 10_000 + i, 10_000 + i // 2) for i in range(20)]
+    rows += [(2, i, i % 3) for i in range(1300)] + [(3, 7, 7), (3, 8, 8)]
+    members = spark.createDataFrame(rows, "h long, cid long, comp long")
+    dealt = near_dup._mixed(members).toPandas()
+    large = dealt[dealt.h == 1]
+    assert len(large) <= 5000 + 20 * 12
+    assert dealt.groupby(["h", "lo", "hi"]).size().max() <= 3 * near_dup.BLOCK
+    met = {1: set(), 2: set(), 3: set()}
+    for (h, lo, hi), block in dealt.groupby(["h", "lo", "hi"]):
+        of = list(zip(block.cid, block.comp, block.part))
+        met[h] |= {(a, b) for a, x, p in of for b, y, q in of if a < b and x != y and (p != q or lo == hi)}
+    for h in met:
+        own = [(cid, comp) for at, cid, comp in rows if at == h]
+        assert met[h] >= {(a, b) for a, x in own for b, y in own if a < b and x != y}

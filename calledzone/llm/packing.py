@@ -26,6 +26,7 @@ from .scratch import keep, map_arrow, slices, two_columns
 from .sentencepiece_bpe import ENCODED_BYTES, Encoder, Model, read_model
 
 LENGTH, PAD, MATRIX_ROWS, GROUP = 2048, 0, 64, 4096
+COUNT = np.arange(LENGTH, dtype="<u2")
 SCHEMA = ("n_rows int, length int, n_tokens long, ids binary, positions binary, "
           "seg_lengths array<int>, seg_rows array<int>, doc_ids array<long>, pieces array<int>")
 
@@ -92,11 +93,11 @@ def _matrices(rows: list[list[tuple]]) -> Iterator[dict]:
             for doc_id, piece, tokens in row:
                 end = at + len(tokens)
                 ids[r, at:end] = tokens
-                places[r, at:end] = np.arange(len(tokens))
+                places[r, at:end] = COUNT[:len(tokens)]
                 for name, value in (("seg_lengths", end), ("seg_rows", r), ("doc_ids", doc_id), ("pieces", piece)):
                     out[name].append(value)
                 at = end
-            places[r, at:] = np.arange(LENGTH - at)
+            places[r, at:] = COUNT[:LENGTH - at]
             out["n_tokens"] += at
         yield out | {"ids": ids.tobytes(), "positions": places.tobytes()}
 
@@ -107,48 +108,65 @@ _MATRIX = pa.schema([
     ("pieces", pa.list_(pa.int32()))])
 
 
+def stored_ids(model: Model) -> str:
+    """Type of an id on the way to its group: two bytes where the vocabulary allows it."""
+    return "<u2" if model.vocabulary <= 1 << 16 else "<u4"
+
+
 def _pieces(model: Model):
     """Pieces that are not full as rows of their own; full ones as matrices, both in one table."""
+    stored = stored_ids(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number = Encoder(model), 0
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("place", pa.int64()), ("tokens", pa.binary()),
                             ("matrix", pa.struct(list(_MATRIX)))])
         for batch in slices(batches, max_bytes=ENCODED_BYTES):
-            full, rest = [], []
+            full, owners, numbers, tokens = [], [], [], []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
-                ids = np.append(ids, model.end_id).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), LENGTH)):
-                    tokens = ids[start:start + LENGTH]
-                    if len(tokens) == LENGTH:
-                        full.append([(doc_id, piece, tokens)])
-                    else:
-                        rest.append({"doc_id": doc_id, "piece": piece, "place": number, "tokens": tokens.tobytes(), "matrix": None})
-                        number += 1
+                ids = np.append(ids, model.end_id)
+                whole = len(ids) // LENGTH
+                for piece in range(whole):
+                    full.append([(doc_id, piece, ids[piece * LENGTH:(piece + 1) * LENGTH])])
+                if whole * LENGTH < len(ids):
+                    owners.append(doc_id)
+                    numbers.append(whole)
+                    tokens.append(ids[whole * LENGTH:].astype(stored).tobytes())
             for matrix in _matrices(full):
                 yield pa.RecordBatch.from_pylist([{"matrix": matrix}], schema=schema)
-            for start in range(0, len(rest), 512):
-                yield pa.RecordBatch.from_pylist(rest[start:start + 512], schema=schema)
+            for start in range(0, len(owners), 512):
+                part = slice(start, start + 512)
+                count = len(owners[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owners[part], pa.int64()), pa.array(numbers[part], pa.int32()),
+                     pa.array(range(number, number + count), pa.int64()), pa.array(tokens[part], pa.binary()),
+                     pa.nulls(count, schema.field("matrix").type)], schema=schema)
+                number += count
     return run
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("piece").to_pylist(), table.column("tokens").to_pylist()),
-                  key=lambda row: (row[0] is None, row[0] or 0, row[1]))
-    segments = [(doc_id, piece, np.frombuffer(tokens, "<u4")) for doc_id, piece, tokens in rows]
-    packed = best_fit_decreasing([len(s[2]) for s in segments])
-    return pa.Table.from_pylist(list(_matrices([[segments[i] for i in row] for row in packed])), schema=_MATRIX)
+def _pack(stored: str):
+    """Matrices of the pieces of a group."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("piece").to_pylist(), table.column("tokens").to_pylist()),
+                      key=lambda row: (row[0] is None, row[0] or 0, row[1]))
+        segments = [(doc_id, piece, np.frombuffer(tokens, stored)) for doc_id, piece, tokens in rows]
+        packed = best_fit_decreasing([len(s[2]) for s in segments])
+        return pa.Table.from_pylist(list(_matrices([[segments[i] for i in row] for row in packed])), schema=_MATRIX)
+    return run
 
 
 def pack_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Matrices of all documents' token ids."""
     groups = max(1, -(-docs.count() // GROUP))
     matrix = ", ".join(field.replace(" ", ": ", 1) for field in SCHEMA.split(", "))
-    pieces = keep(map_arrow(two_columns(docs, id_col, text_col), _pieces(read_model(model_path)),
+    model = read_model(model_path)
+    pieces = keep(map_arrow(two_columns(docs, id_col, text_col), _pieces(model),
                             f"doc_id long, piece int, place long, tokens binary, matrix struct<{matrix}>"), "pieces")
     whole = pieces.filter("matrix is not null").select("matrix.*")
     rest = pieces.filter("matrix is null").select("doc_id", "piece", "tokens",
         F.pmod(F.xxhash64("doc_id", "piece", "place"), F.lit(groups)).alias("group"))
-    return whole.unionByName(rest.groupBy("group").applyInArrow(_pack, SCHEMA))
+    return whole.unionByName(rest.groupBy("group").applyInArrow(_pack(stored_ids(model)), SCHEMA))
 
 
 def unpack(matrices: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 from collections import defaultdict
+from dataclasses import replace
 
 import corpus_pipeline
 import pytest
@@ -180,3 +181,19 @@ def test_pipeline(spark, small):
 
 def test_oracles_name_queries():
     assert set(queries.ORACLES) <= {q.__name__ for q in queries.QUERIES}
+
+
+def test_pieces_take_two_bytes_an_id_on_their_way():
+    """A vocabulary of 32k needs no more; larger ones take four."""
+    import pyarrow as pa
+    model = sentencepiece_bpe.read_model(PATH)
+    texts = ["one two three", "", "the quick brown fox " * 1500]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([5, None, 9], pa.int64()), "text": texts})
+    rows = [row for out in packing._pieces(model)(iter([batch])) for row in out.to_pylist()]
+    encoder = sentencepiece_bpe.Encoder(model)
+    lengths = [len(ids) + 1 for ids in encoder.encode(texts)]
+    parts = [row for row in rows if row["matrix"] is None]
+    assert [(row["doc_id"], row["piece"], len(row["tokens"])) for row in parts] == [
+        (doc_id, n // packing.LENGTH, 2 * (n % packing.LENGTH)) for doc_id, n in zip((5, None, 9), lengths)]
+    assert sum(row["matrix"]["n_rows"] for row in rows if row["matrix"]) == sum(n // packing.LENGTH for n in lengths) > 0
+    assert packing.stored_ids(replace(model, vocabulary=70_000)) == "<u4"

@@ -135,8 +135,8 @@ class Encoder:
         self.char_ids = np.full(0x110000, -1, np.int32)
         for char, i in model.chars.items():
             self.char_ids[ord(char)] = i
-        rest = f"[^{SPACE}\n]" if model.cut_lines else f"[^{SPACE}]"
-        self.pattern = re.compile((r"\n|" if model.cut_lines else "") + f"{SPACE}*{rest}+|{SPACE}+")
+        # Stretches no merge crosses: a run of spaces with the word behind it, and a line end with what follows at once.
+        self.pattern = re.compile(r"\n[^ \n]*| *[^ \n]+| +" if model.cut_lines else " *[^ ]+| +")
         self.known: dict[str, bytes] = {}
         # Long runs of spaces are cut to their ends if each further `run` spaces just add its one piece in front.
         longest = max((len(s) for s in model.surfaces if s and not s.strip(b" ")), default=1)
@@ -149,34 +149,59 @@ class Encoder:
                 self.run, self.run_ids = longest, piece
 
     def words(self, text: str) -> list[str]:
-        """Stretches no merge crosses: a run of spaces with the word behind it, and lines."""
-        return self.pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """Stretches no merge crosses, each without the one space in front that all but line ends have."""
+        if not text:
+            return []
+        text = text.replace(SPACE, " ")
+        if self.model.cut_lines:
+            text = text.replace("\n", " \n")
+        words = text.split(" ")
+        if "" not in words:
+            return words
+        # Runs of spaces: the blank put before a line end above is no space.
+        text = " " + (text.replace(" \n", "\n") if self.model.cut_lines else text)
+        return [word[1:] if word[0] == " " else word for word in self.pattern.findall(text)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        split = [self.words(text) for text in texts]
-        new = [word for word in set().union(*split) if word not in self.known]
+        split, known = [self.words(text) for text in texts], self.known
+        found = [list(map(known.get, words)) for words in split]
+        missed = [i for i, ids in enumerate(found) if None in ids]
+        new = list({word for i in missed for word, ids in zip(split[i], found[i]) if ids is None})
         if new:
-            self.known.update(zip(new, self._encode_words(new)))
-        look = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(look, words)), np.int32) for words in split]
-        if len(self.known) > REMEMBERED:
+            known.update(zip(new, self._encode_stretches(new)))
+            for i in missed:
+                found[i] = map(known.__getitem__, split[i])
+        out = [np.frombuffer(b"".join(ids), np.int32) for ids in found]
+        if len(known) > REMEMBERED:
             # What was seen first stays: it holds the frequent words.
             for word in new:
-                del self.known[word]
+                del known[word]
+        return out
+
+    def _encode_stretches(self, words: list[str]) -> list[bytes]:
+        """Ids of each of `words`, as `words()` gives them."""
+        if not self.model.cut_lines:
+            return self._encode_words([SPACE + word.replace(" ", SPACE) for word in words])
+        ends = [word[:1] == "\n" for word in words]
+        out = self._encode_words([word[1:] if end else SPACE + word.replace(" ", SPACE) for end, word in zip(ends, words)])
+        if any(ends):
+            line_end, = self._encode_words(["\n"])
+            out = [line_end + ids if end else ids for end, ids in zip(ends, out)]
         return out
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        heads, step = [0] * len(words), self.run
-        if step:
+        heads, step, joined = [0] * len(words), self.run, "".join(words)
+        if step and SPACE * (4 * step) in joined:
             for i, word in enumerate(words):
                 if word.startswith(SPACE * (4 * step)):
                     run = len(word) - len(word.lstrip(SPACE))
                     heads[i] = (run - 3 * step) // step
             if any(heads):
                 words = [word[step * head:] for word, head in zip(words, heads)]
+                joined = "".join(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         symbols = self.char_ids[codes]
         ids, owner = self._merge(symbols, codes, np.repeat(np.arange(len(words)), lengths))
         ends = np.cumsum(np.bincount(owner, minlength=len(words))) * 4

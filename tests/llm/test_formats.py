@@ -197,3 +197,15 @@ def test_pieces_take_two_bytes_an_id_on_their_way():
         (doc_id, n // packing.LENGTH, 2 * (n % packing.LENGTH)) for doc_id, n in zip((5, None, 9), lengths)]
     assert sum(row["matrix"]["n_rows"] for row in rows if row["matrix"]) == sum(n // packing.LENGTH for n in lengths) > 0
     assert packing.stored_ids(replace(model, vocabulary=70_000)) == "<u4"
+
+
+def test_plain_texts_are_split_without_the_pattern(library):
+    """Only runs of spaces need the pattern; both ways give the library's ids from one memory of words."""
+    model = sentencepiece_bpe.read_model(PATH)
+    encoder, whole = sentencepiece_bpe.Encoder(model), sentencepiece_bpe.Encoder(replace(model, cut_lines=False))
+    plain = ["the quick\nbrown fox", "fox\n\nthe\tquick fox\nfox", "a▁b", "x"]
+    runs = ["the  quick \n brown fox ", " fox\n   fox", "▁▁a \n", "fox \n", " ", "\n"]
+    for one in (encoder, whole):
+        assert [ids.tolist() for ids in one.encode(runs + plain)] == library.encode(runs + plain)
+    encoder.pattern = None
+    assert [ids.tolist() for ids in encoder.encode(plain)] == library.encode(plain)

@@ -111,3 +111,34 @@ def test_fits_to_areas(spark, tables, tmp_path):
     before = store.version()
     run.fit()
     assert store.version() == before
+
+
+def test_nets_of_umpires_add_each_pitch_up_once(spark, tables, monkeypatch):
+    """Year-to-date windows take running totals; they are those of the pitches opened window by window."""
+    from calledzone.operators.windows import assign_windows
+    from calledzone.plans import training
+
+    fact = evaluation.evaluation_fact(tables)
+    tasks = training.individual_tasks(tables, last_season=9999)
+    rows = assign_windows(fact, tasks.withColumn("umpire", F.col("entity_id")), ("umpire", "stand"))
+    opened = rows.groupBy("model_key").agg(F.count("*"), F.sum("c"), F.expr("sum(CASE WHEN c = 1 THEN floor(px * 1000D) END)"))
+    want = {key: (n, float(s) * (n - s) / n / 2, x / s / 1000 if s else None) for key, n, s, x in opened.collect()}
+    monkeypatch.setattr(sample_models, "assign_windows", None)
+    nets = sample_models.individual_nets(tables, fact).collect()
+    assert {r.model_key for r in nets} == set(want) and len(nets) == len(want) > 0
+    for r in nets:
+        n, sse, centre = want[r.model_key]
+        assert (r.n_train, r.sse) == (n, sse)
+        assert r.w_hidden is None or r.w_hidden[0][0] == pytest.approx(6 * (0.85 - centre))
+
+
+def test_weights_leave_a_row_with_its_score(spark):
+    from calledzone.functions import net
+    from calledzone.operators.scoring import with_net_score
+
+    rows = spark.createDataFrame([("L", 0.0), ("R", 0.0)], "stand string, px double")
+    nets = spark.createDataFrame([("L", [[0.0, 1.0]], [1.0, 2.0])], "stand string, w_hidden array<array<double>>, w_out array<double>")
+    weights = nets.select("stand", *[c.alias(name) for name, c in net.weight_columns(1, "gen_").items()])
+    scored = with_net_score(rows, weights, ["stand"], ["px"], "gen_")
+    assert scored.columns == ["stand", "px", "gen_p"]
+    assert {r.stand: r.gen_p for r in scored.collect()} == {"L": pytest.approx(0.880797, abs=1e-6), "R": None}
